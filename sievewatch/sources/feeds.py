@@ -24,12 +24,10 @@ def explode_bundle(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     return docs.select(*keep, F.posexplode("objects").alias("pos", "o")).select(*keep, "pos", "o.*")
 
 
-def parse_stix_objects(objects: DataFrame, text: str = "value") -> DataFrame:
-    """Objects that come one per row as JSON text; other columns (such as ``pos``) stay."""
-    keep = [c for c in objects.columns if c != text]
-    return objects.select(*keep, F.from_json(text, schemas.STIX_FIELDS).alias("o")).select(
-        *keep, "o.*"
-    )
+def read_stix_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Objects that were landed one per line with their ``pos``; the layout for large graphs,
+    since Spark can split the files and read only the fields a job uses."""
+    return spark.read.schema(f"pos BIGINT, {schemas.STIX_FIELDS}").json(path)
 
 
 def read_cve_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -47,11 +45,10 @@ def parse_cve_feeds(docs: DataFrame, text: str = "value") -> DataFrame:
     return explode_feed(docs.select(F.from_json(text, schemas.CVE_FEED).alias("f")).select("f.*"))
 
 
-def parse_cve_items(items: DataFrame, text: str = "value") -> DataFrame:
-    """CVE items that come one per row as JSON text; other columns stay."""
-    keep = [c for c in items.columns if c != text]
-    parsed = items.select(*keep, F.from_json(text, schemas.CVE_ITEM).alias("c")).select(*keep, "c.*")
-    return parsed.where("id IS NOT NULL AND id <> ''")
+def read_cve_lines(spark: SparkSession, path: str) -> DataFrame:
+    """CVE items that were landed one per line with their ``pos``."""
+    items = spark.read.schema(f"pos BIGINT, {schemas.CVE_ITEM}").json(path)
+    return items.where("id IS NOT NULL AND id <> ''")
 
 
 def cached_feed(spark: SparkSession, landed: str, cache: str, reader) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerts
+from . import alerts, knowledge
 
-MODULES = [alerts]
+MODULES = [alerts, knowledge]
 
 
 def jobs() -> dict:

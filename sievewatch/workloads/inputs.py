@@ -141,7 +141,149 @@ SELECT doc_id AS id, CAST(doc_id AS STRING) AS alert_id,
     AS created_at FROM documents
 """
 
+# --- technique graph -----------------------------------------------------------------------
+
+DERIVED["techniques"] = """
+SELECT p_partkey AS pos, 'attack-pattern--' || CAST(p_partkey AS STRING) AS stix_id,
+  CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE 'T' || CAST(1000 + p_partkey AS STRING)
+    || CASE WHEN p_partkey % 3 = 0 THEN '.001' ELSE '' END END AS technique_id,
+  p_name AS name, p_partkey % 17 = 0 AS deprecated, p_partkey % 19 = 0 AS revoked,
+  CASE CAST(p_size % 3 AS INT) WHEN 0 THEN 'credential-access' WHEN 1 THEN 'command-and-control'
+    ELSE 'defense-evasion' END AS phase_name,
+  CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN 'Linux'
+    ELSE 'Windows,Linux,macOS,IaaS,SaaS,Network,Containers' END AS platform_list,
+  CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN 'File'
+    ELSE 'Process,File,Logon Session,Network Traffic,Driver,Firmware' END AS source_list,
+  CASE WHEN p_size % 6 = 0 THEN NULL ELSE 'Watch ' || lower(p_brand) END AS detection_text,
+  lower(p_type) || ' use of ' || repeat(p_name || ' ', p_size * 3) AS plain_text,
+  '[' || lower(p_type) || '](https://example.org/' || CAST(p_size AS STRING) || ') use of '
+    || repeat(p_name || ' ', p_size * 3) AS linked_text, p_size
+FROM part
+"""
+
+DERIVED["uses_edges"] = """
+SELECT DISTINCT l_partkey, l_suppkey,
+  100000000 + l_partkey * 100000 + l_suppkey AS pos FROM lineitem
+"""
+
+DERIVED["stix_lines"] = """
+SELECT '{"pos":' || CAST(pos AS STRING) || ',"type":"attack-pattern","id":"' || stix_id
+  || '","name":"' || name || '","description":"' || linked_text || '"'
+  || CASE WHEN deprecated THEN ',"x_mitre_deprecated":true' ELSE '' END
+  || CASE WHEN revoked THEN ',"revoked":true' ELSE '' END
+  || ',"external_references":[{"source_name":"capec","external_id":"CAPEC-1"}'
+  || CASE WHEN technique_id IS NULL THEN '' ELSE ',{"source_name":"mitre-attack","external_id":"'
+    || technique_id || '"},{"source_name":"mitre-attack","external_id":"T0"}' END
+  || '],"kill_chain_phases":[{"kill_chain_name":"mitre-attack","phase_name":"' || phase_name
+  || '"},{"kill_chain_name":"other","phase_name":"x"},{"kill_chain_name":"mitre-attack",'
+  || '"phase_name":"initial-access"}]'
+  || CASE WHEN platform_list IS NULL THEN '' ELSE ',"x_mitre_platforms":["'
+    || replace(platform_list, ',', '","') || '"]' END
+  || CASE WHEN source_list IS NULL THEN '' ELSE ',"x_mitre_data_sources":["'
+    || replace(source_list, ',', '","') || '"]' END
+  || CASE WHEN detection_text IS NULL THEN '' ELSE ',"x_mitre_detection":"' || detection_text
+    || '"' END || '}' AS value FROM techniques
+UNION ALL
+SELECT '{"pos":' || CAST(10000000 + s_suppkey AS STRING) || ',"type":"intrusion-set","id":"'
+  || 'intrusion-set--' || CAST(s_suppkey AS STRING) || '","name":"' || s_name || '"}' FROM supplier
+UNION ALL
+SELECT '{"pos":' || CAST(pos AS STRING) || ',"type":"relationship","id":"relationship--'
+  || CAST(pos AS STRING) || '","relationship_type":"uses","source_ref":"intrusion-set--'
+  || CAST(l_suppkey AS STRING) || '","target_ref":"attack-pattern--'
+  || CAST(l_partkey AS STRING) || '"}' FROM uses_edges
+"""
+
+# one small bundle per technique: the technique and a tactic object
+DERIVED["stix_bundles"] = """
+SELECT p_partkey AS doc, '{"type":"bundle","id":"bundle--' || CAST(p_partkey AS STRING)
+  || '","objects":[{"type":"x-mitre-tactic","id":"x-' || CAST(p_size AS STRING)
+  || '"},{"type":"attack-pattern","id":"attack-pattern--' || CAST(p_partkey AS STRING)
+  || '","name":"' || p_name || '"}]}' AS value FROM part
+"""
+
+# --- vulnerability feed --------------------------------------------------------------------
+
+DERIVED["cves"] = """
+SELECT p_partkey AS pos, 'CVE-' || CAST(2000 + p_partkey % 25 AS STRING) || '-'
+    || lpad(CAST(p_partkey AS STRING), 7, '0') AS cve_id,
+  CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'cvssMetricV31' WHEN 1 THEN 'cvssMetricV30'
+    WHEN 2 THEN 'cvssMetricV2' END AS metric_key,
+  p_size / CAST(5 AS DOUBLE) AS base_score,
+  CASE WHEN p_size >= 45 THEN 'CRITICAL' WHEN p_size >= 35 THEN 'HIGH' WHEN p_size >= 20
+    THEN 'MEDIUM' ELSE 'LOW' END AS band,
+  lower(p_brand) AS vendor, replace(p_name, ' ', '_') AS product,
+  CASE WHEN p_partkey % 7 = 0 THEN 'es' ELSE 'en' END AS lang,
+  p_type || ' flaw in ' || repeat(p_name || ' ', 1 + p_size) AS description,
+  CAST(2000 + p_partkey % 25 AS STRING) || '-03-1' || CAST(p_size % 10 AS STRING) AS day,
+  p_size, p_size > 40 AS wide FROM part
+"""
+
+_WIDE_NODES = "".join(
+    f""" || ',{{"cpeMatch":[{{"criteria":"cpe:2.3:a:' || vendor || ':x{i}:1"}},'"""
+    f""" || '{{"criteria":"cpe:2.3:a:' || vendor || ':y{i}:1"}}]}}'"""
+    for i in range(1, 7)
+)
+DERIVED["cve_lines"] = """
+SELECT '{"pos":' || CAST(pos AS STRING) || ',"id":"' || cve_id || '","published":"' || day
+  || 'T10:15:00.000","descriptions":[{"lang":"' || lang || '","value":"' || description
+  || '"},{"lang":"fr","value":"autre"}],"metrics":{'
+  || CASE metric_key
+    WHEN 'cvssMetricV31' THEN '"cvssMetricV2":[{"cvssData":{"baseScore":1.0},"baseSeverity":'
+      || '"LOW"}],"cvssMetricV31":[{"cvssData":{"baseScore":' || CAST(base_score AS STRING)
+      || ',"baseSeverity":"' || band || '"}}]'
+    WHEN 'cvssMetricV30' THEN '"cvssMetricV31":[],"cvssMetricV30":[{"cvssData":{"baseScore":'
+      || CAST(base_score AS STRING) || ',"baseSeverity":"' || band || '"}}]'
+    WHEN 'cvssMetricV2' THEN '"cvssMetricV2":[{"cvssData":{"baseScore":'
+      || CAST(base_score AS STRING) || '},"baseSeverity":"' || band || '"}]' ELSE '' END
+  || '},"weaknesses":[{"description":[{"lang":"en","value":"CWE-' || CAST(p_size AS STRING)
+  || '"},{"lang":"es","value":"x"}]},{"description":[{"lang":"en","value":"CWE-79"},'
+  || '{"lang":"en","value":"CWE-79"}]}' || CASE WHEN wide THEN
+    ',{"description":[{"lang":"en","value":"CWE-20"}]}' ELSE '' END
+  || '],"configurations":[{"nodes":[{"cpeMatch":[{"criteria":"cpe:2.3:a:' || vendor || ':'
+  || product || ':1"},{"criteria":"cpe:2.3:a:' || vendor || ':' || product || ':2"},'
+  || '{"criteria":"cpe:2.3:o:*:' || product || ':1"},{"criteria":"cpe:2.3:a:late:late:1"}]},'
+  || '{"cpeMatch":[{"criteria":"cpe:2.3:a:short"},{"criteria":"cpe:2.3:a:' || vendor || ':tool_'
+  || CAST(p_size AS STRING) || ':1"}]}]}' || CASE WHEN wide THEN ',{"nodes":[{"cpeMatch":[]}'
+""" + _WIDE_NODES + """
+  || ']},{"nodes":[]},{"nodes":[{"cpeMatch":[{"criteria":"cpe:2.3:a:fourth:config:1"}]}]}'
+    ELSE '' END || ']}' AS value FROM cves
+"""
+
+DERIVED["cve_docs"] = """
+SELECT '{"vulnerabilities":[{"cve":{"id":"' || cve_id || '","published":"' || day
+  || '"}},{"cve":{"id":""}},{"cve":{}}]}' AS value FROM cves
+"""
+
+# id lookups of the analysts: many ask for the same well-known CVE
+DERIVED["cve_requests"] = """
+SELECT o_orderkey AS request_id, CASE WHEN o_orderpriority LIKE '1%' THEN ' cve-2021-44228 '
+  WHEN o_orderstatus = 'P' THEN 'CVE-1999-0001'
+  ELSE 'cve-' || CAST(2000 + o_custkey % 25 AS STRING) || '-'
+    || lpad(CAST(o_custkey AS STRING), 7, '0') END AS cve_id FROM orders
+"""
+
+DERIVED["notes"] = """
+SELECT doc_id, text || ' seen CVE-' || CAST(2000 + (doc_id * 2) % 25 AS STRING) || '-'
+  || lpad(CAST(doc_id * 2 AS STRING), 7, '0') || ', then cve-2001-0000001; not CVE-20-1.'
+  AS text FROM documents
+"""
+
+DERIVED["inventory"] = """
+SELECT 'host-' || CAST(l_suppkey AS STRING) AS host, lower(p_brand) AS vendor,
+  replace(p_name, ' ', '_') AS product FROM lineitem JOIN part ON l_partkey = p_partkey
+"""
+
 NEEDS = {
+    "techniques": ["part"],
+    "uses_edges": ["lineitem"],
+    "stix_lines": ["techniques", "supplier", "uses_edges"],
+    "stix_bundles": ["part"],
+    "cves": ["part"],
+    "cve_lines": ["cves"],
+    "cve_docs": ["cves"],
+    "cve_requests": ["orders"],
+    "notes": ["documents"],
+    "inventory": ["lineitem", "part"],
     "alerts": ["events"],
     "raw_fields": ["alerts"],
     "raw_lines": ["raw_fields"],
