@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerts, knowledge
+from . import alerts, knowledge, retrieval
 
-MODULES = [alerts, knowledge]
+MODULES = [alerts, knowledge, retrieval]
 
 
 def jobs() -> dict:

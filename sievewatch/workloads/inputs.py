@@ -17,6 +17,9 @@ BASE = (
 
 DERIVED: dict[str, str] = {}
 
+# the one function whose name differs between the engines
+DIALECT = {"list_reverse(": "reverse("}
+
 # one alert per event; k is the number inside props
 DERIVED["alerts"] = """
 SELECT CAST(event_id AS STRING) AS alert_id, ts,
@@ -273,7 +276,46 @@ SELECT 'host-' || CAST(l_suppkey AS STRING) AS host, lower(p_brand) AS vendor,
   replace(p_name, ' ', '_') AS product FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 
+# --- vector collections --------------------------------------------------------------------
+
+DERIVED["technique_vectors"] = """
+SELECT 'MITRE ATT&CK' AS source, 'T' || lpad(CAST(vec_id AS STRING), 6, '0') AS id,
+  'Technique ' || CAST(vec_id AS STRING) AS name, coalesce(d.text, 'no text') AS text, embedding,
+  'Tactic ' || CAST(label AS STRING) AS tactics, 'Linux' AS platforms,
+  CASE WHEN label < 3 THEN 'none' ELSE 'Group ' || CAST(label AS STRING) END AS threat_groups,
+  label
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+"""
+
+DERIVED["cve_vectors"] = """
+SELECT 'NVD CVE' AS source, 'CVE-2024-' || lpad(CAST(vec_id AS STRING), 6, '0') AS id,
+  'CVE-2024-' || lpad(CAST(vec_id AS STRING), 6, '0') AS name,
+  coalesce(d.text, 'no text') AS text, list_reverse(embedding) AS embedding,
+  CASE WHEN label < 5 THEN 'HIGH' ELSE 'LOW' END AS severity,
+  CAST(label AS DOUBLE) AS cvss_score, 'vendor tool_' || CAST(label AS STRING)
+    AS affected_products, label
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+"""
+
+DERIVED["vector_queries"] = """
+SELECT CAST(vec_id AS STRING) AS query_id, 'query ' || CAST(vec_id AS STRING) AS query,
+  embedding, label FROM embeddings
+"""
+
+# one vector for each search text that occurs in the alerts
+DERIVED["query_vectors"] = """
+SELECT query, embedding FROM (
+  SELECT query, e.embedding, row_number() OVER (PARTITION BY query ORDER BY vec_id) AS rn
+  FROM (SELECT DISTINCT description || ' ' || replace(tags, ',', ' ') AS query,
+    CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3
+      ELSE 4 END AS want FROM alerts) a JOIN embeddings e ON e.label = a.want) x WHERE rn = 1
+"""
+
 NEEDS = {
+    "technique_vectors": ["embeddings", "documents"],
+    "cve_vectors": ["embeddings", "documents"],
+    "vector_queries": ["embeddings"],
+    "query_vectors": ["alerts", "embeddings"],
     "techniques": ["part"],
     "uses_edges": ["lineitem"],
     "stix_lines": ["techniques", "supplier", "uses_edges"],
@@ -333,7 +375,10 @@ class Tables:
         for dep in _closure([name]):
             if dep in BASE:
                 self.base(dep).createOrReplaceTempView(dep)
-        return self.spark.sql(with_inputs(f"SELECT * FROM {name}", name))
+        text = with_inputs(f"SELECT * FROM {name}", name)
+        for theirs, ours in DIALECT.items():
+            text = text.replace(theirs, ours)
+        return self.spark.sql(text)
 
 
     def landed(self, name: str) -> str:
