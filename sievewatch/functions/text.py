@@ -79,10 +79,10 @@ def iso_timestamp(c: Column | str) -> Column:
 
 
 def _json_string(c: Column) -> Column:
-    """A JSON string literal with every non-ASCII character escaped, as Python writes it."""
-    quoted = F.to_json(F.array(c))
-    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    """A JSON string literal with every non-ASCII character escaped, as Python writes it.
 
+    Most texts need no escape at all; only the others go through the character-wise branch.
+    """
     def unit(v: Column) -> Column:
         return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(v)), 4, "0"))
 
@@ -94,9 +94,11 @@ def _json_string(c: Column) -> Column:
         )
         return F.when(cp < 128, ch).when(cp < 0x10000, unit(cp)).otherwise(pair)
 
-    return F.when(
-        quoted.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(quoted, ""), escape), "")
-    ).otherwise(quoted)
+    quoted = F.to_json(F.array(c))
+    inner = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    escaped = F.array_join(F.transform(F.split(inner, ""), escape), "")
+    plain = c.rlike(r"^[\x20\x21\x23-\x5b\x5d-\x7e]*$")
+    return F.when(plain, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(escaped)
 
 
 def python_json(c: Column | str, dtype: T.DataType, indent: int = 2, level: int = 0) -> Column:
@@ -124,3 +126,36 @@ def python_json(c: Column | str, dtype: T.DataType, indent: int = 2, level: int
     else:
         body = c.cast("string")
     return F.coalesce(body, F.lit("null"))
+
+
+def _repr_string(c: Column) -> Column:
+    """Python's repr of a text: double quotes only when it holds ' and no \"."""
+    body = c
+    for char, escaped in [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]:
+        body = F.replace(body, F.lit(char), F.lit(escaped))
+    double = c.contains("'") & ~c.contains('"')
+    single = F.replace(body, F.lit("'"), F.lit("\\'"))
+    return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), single, F.lit("'"))
+    )
+
+
+def python_repr(c: Column | str, dtype: T.DataType) -> Column:
+    """The text ``str(value)`` gives for a dict, list or scalar of this Spark type."""
+    c = col(c)
+    if isinstance(dtype, T.StructType):
+        parts = [
+            F.concat(F.lit(f"'{f.name}': "), python_repr(c[f.name], f.dataType))
+            for f in dtype.fields
+        ]
+        body = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(dtype, T.ArrayType):
+        items = F.transform(c, lambda x: python_repr(x, dtype.elementType))
+        body = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    elif isinstance(dtype, T.StringType):
+        body = _repr_string(c)
+    elif isinstance(dtype, T.BooleanType):
+        body = F.when(c, F.lit("True")).otherwise(F.lit("False"))
+    else:
+        body = c.cast("string")
+    return F.when(c.isNull(), F.lit("None")).otherwise(body)

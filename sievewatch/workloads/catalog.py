@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerts, knowledge, retrieval
+from . import alerts, knowledge, retrieval, texts
 
-MODULES = [alerts, knowledge, retrieval]
+MODULES = [alerts, knowledge, retrieval, texts]
 
 
 def jobs() -> dict:

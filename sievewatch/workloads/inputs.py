@@ -311,7 +311,43 @@ SELECT query, embedding FROM (
       ELSE 4 END AS want FROM alerts) a JOIN embeddings e ON e.label = a.want) x WHERE rn = 1
 """
 
+# --- model answers and agent steps ---------------------------------------------------------
+
+DERIVED["completions"] = """
+SELECT doc_id AS alert_id, 'Sure.' || chr(10)
+  || CASE lang WHEN 'en' THEN 'SEVERITY: CRITICAL' WHEN 'fr' THEN 'Severity:  Medium'
+    WHEN 'de' THEN 'No rating given' ELSE '  severity: low' END || chr(10) || chr(10)
+  || CASE WHEN n_chars % 3 = 0 THEN '' ELSE 'MITRE TECHNIQUES IDENTIFIED:' || chr(10)
+    || '- T1110 - Brute Force' || chr(10) || ' • T1021 Remote Services' || chr(10) || chr(10) END
+  || 'REASONING:' || chr(10) || '- ' || text || chr(10) || '• second point' || chr(10) || chr(10)
+  || 'RECOMMENDED ACTION:' || chr(10) || 'Isolate host ' || CAST(doc_id AS STRING) || chr(10)
+  AS text FROM documents
+"""
+
+DERIVED["mapping_answers"] = """
+SELECT doc_id AS alert_id, 'PRIMARY TECHNIQUE: T' || CAST(1000 + doc_id AS STRING)
+  || ' - Technique of ' || source || chr(10) || 'CONFIDENCE: ' || CASE WHEN n_chars > 2000
+    THEN 'High' ELSE 'Low ' END || chr(10) || 'REASON: ' || replace(text, chr(10), ' ') || chr(10)
+  || CASE WHEN n_chars % 2 = 0 THEN 'SECONDARY TECHNIQUE (if applicable): T1 - Other' ELSE '' END
+  AS text FROM documents
+"""
+
+DERIVED["agent_steps"] = """
+SELECT conv_id AS investigation, 'Alert ID ' || CAST(conv_id AS STRING) AS alert, turn + 1 AS step,
+  CASE WHEN role = 'system' THEN text
+    WHEN turn = 5 AND conv_id % 2 = 0 THEN 'Thought: done' || chr(10) || 'Action: generate_report'
+      || chr(10) || 'Action Input: all findings'
+    ELSE 'Thought: ' || text || chr(10) || 'Action: ' || CASE turn % 4 WHEN 0 THEN 'query_siem'
+        WHEN 1 THEN 'Check_CVE' WHEN 2 THEN 'map_to_mitre' ELSE 'open_shell' END || chr(10)
+      || 'Action Input: "' || CAST(conv_id AS STRING) || '"' || chr(10) || chr(10)
+      || 'Observation: none yet' END AS reply, text AS observation
+FROM conversations
+"""
+
 NEEDS = {
+    "completions": ["documents"],
+    "mapping_answers": ["documents"],
+    "agent_steps": ["conversations"],
     "technique_vectors": ["embeddings", "documents"],
     "cve_vectors": ["embeddings", "documents"],
     "vector_queries": ["embeddings"],
