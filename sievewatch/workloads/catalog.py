@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerts, knowledge, retrieval, texts
+from . import alerts, detections, knowledge, retrieval, texts
 
-MODULES = [alerts, knowledge, retrieval, texts]
+MODULES = [alerts, knowledge, retrieval, texts, detections]
 
 
 def jobs() -> dict:
