@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import alerts, detections, knowledge, retrieval, texts
+from . import alerts, detections, knowledge, retrieval, streams, texts
 
-MODULES = [alerts, knowledge, retrieval, texts, detections]
+MODULES = [alerts, knowledge, retrieval, texts, detections, streams]
 
 
 def jobs() -> dict:
