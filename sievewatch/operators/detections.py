@@ -196,15 +196,12 @@ def rootkit_signs(rows: DataFrame, text: Column | str = "raw_log") -> DataFrame:
 
 def port_scans(
     rows: DataFrame, source: str, port: str, more_than: int = 100, length: str = "60 seconds",
-    ts: str = "ts", approximate: bool = False,
+    ts: str = "ts",
 ) -> DataFrame:
-    """Sources that touch more than ``more_than`` distinct ports in a window.
-
-    A stream needs the approximate count, whose state has a fixed size.
-    """
-    count = F.approx_count_distinct(port) if approximate else F.countDistinct(port)
+    """Sources that touch more than ``more_than`` distinct ports in a window."""
     return (
-        rows.groupBy(source, F.window(ts, length).alias("w")).agg(count.alias("ports"))
+        rows.groupBy(source, F.window(ts, length).alias("w"))
+        .agg(F.countDistinct(port).alias("ports"))
         .where(F.col("ports") > more_than)
         .select(source, F.col("w.start").alias("window_start"), "ports")
     )

@@ -34,9 +34,24 @@ def brute_force_stream(failures: DataFrame, source: str, lateness: str = LATENES
     return dt.brute_force_windows(failures.withWatermark("ts", lateness), source, **limits)
 
 
-def port_scan_stream(rows: DataFrame, source: str, port: str, lateness: str = LATENESS,
-                     **limits) -> DataFrame:
-    return dt.port_scans(rows.withWatermark("ts", lateness), source, port, approximate=True, **limits)
+def port_scan_stream(
+    rows: DataFrame, source: str, port: str, more_than: int = 100, length: str = "60 seconds",
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """Exact distinct ports per source and window: repeats are dropped, then counted.
+
+    The state holds each (source, window, port) once until the watermark closes the window.
+    """
+    once = (
+        rows.withWatermark("ts", lateness)
+        .select(source, F.window("ts", length).alias("w"), port)
+        .dropDuplicates([source, "w", port])
+    )
+    return (
+        once.groupBy(source, "w").agg(F.count("*").alias("ports"))
+        .where(F.col("ports") > more_than)
+        .select(source, F.col("w.start").alias("window_start"), "ports")
+    )
 
 
 def incident_sessions(alerts: DataFrame, gap: str = SESSION_GAP, lateness: str = LATENESS,

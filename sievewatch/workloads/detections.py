@@ -241,18 +241,14 @@ SELECT row_number() OVER (ORDER BY created_at, alert_id, agent_name) AS id, aler
 
 
 def saved_knowledge(t):
-    """Fill once, try again with other rows (ignored), then rebuild by force."""
+    """Rebuild by force over older rows, then try other rows, which are ignored."""
     path = scratch_path(t.spark, "knowledge")
-    first = t.technique_vectors.select("source", "id", "name")
-    other = t.cve_vectors.select("source", "id", "name")
-    written = [
-        stores.save_knowledge(t.spark, first, path),
-        stores.save_knowledge(t.spark, other, path),
-    ]
-    kept = t.spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"))
-    return kept.withColumn("writes", F.lit(sum(written)))
-
-
-R.add("s9_save_knowledge", """
-SELECT source, count(*) AS n, 1 AS writes FROM technique_vectors GROUP BY source""",
+    columns = ["source", "id", "name"]
+    stores.save_knowledge(t.spark, t.cve_vectors.select(*columns), path)
+    stores.save_knowledge(t.spark, t.technique_vectors.select(*columns), path, force=True)
+    stores.save_knowledge(t.spark, t.cve_vectors.select(*columns), path)
+    return t.spark.read.parquet(path)
+
+
+R.add("s9_save_knowledge", "SELECT source, id, name FROM technique_vectors",
       "technique_vectors")(saved_knowledge)

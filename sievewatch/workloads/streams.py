@@ -83,7 +83,11 @@ HAVING count(*) > 8 AND window_start + INTERVAL 6 HOUR <= {CLOSED}""", "alerts")
     ), "windows")
 )
 
-R.add("st4_port_scan_stream")(
+R.add("st4_port_scan_stream", f"""
+, s AS ({SECONDS})
+SELECT agent_name, date_trunc('day', t0) AS window_start, count(DISTINCT rule_id) AS ports FROM s
+GROUP BY 1, 2 HAVING count(DISTINCT rule_id) > 10
+  AND date_trunc('day', t0) + INTERVAL 1 DAY <= {CLOSED}""", "alerts")(
     lambda t: finish(t, live.port_scan_stream(
         all_live(t).withColumn("port", F.col("rule.id")), "agent_name", "port", more_than=10,
         length="1 day",
@@ -144,12 +148,12 @@ UNION ALL SELECT 'rejects', count(*) FROM mixed_lines WHERE form IN (0, 2)""", "
 )
 
 R.add("st8_enriched_stream", """
-SELECT a.alert_id, a.technique_id, v.name AS technique, v.tactics FROM alerts a
-LEFT JOIN technique_vectors v ON v.id = 'T' || lpad(right(a.technique_id, 4), 6, '0')""",
-      "alerts", "technique_vectors")(
+SELECT a.alert_id, a.technique_id, v.name AS technique, v.phase_name AS tactics FROM alerts a
+LEFT JOIN techniques v ON v.technique_id = a.technique_id AND NOT deprecated AND NOT revoked""",
+      "alerts", "techniques")(
     lambda t: finish(t, live.with_techniques(
-        all_live(t), t.technique_vectors.withColumn(
-            "id", F.concat(F.lit("T"), F.right("id", F.lit(4)))
+        all_live(t), t.techniques.where("NOT deprecated AND NOT revoked").select(
+            F.col("technique_id").alias("id"), "name", F.col("phase_name").alias("tactics")
         )
     ).select("alert_id", "technique_id", "technique", "tactics"), "enriched")
 )
