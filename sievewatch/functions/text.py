@@ -92,13 +92,14 @@ def _json_string(c: Column) -> Column:
         pair = F.concat(
             unit(F.shiftright(rest, 10) + 0xD800), unit(rest.bitwiseAND(0x3FF) + 0xDC00)
         )
-        return F.when(cp < 128, ch).when(cp < 0x10000, unit(cp)).otherwise(pair)
+        out = F
+        for char, short in zip('"\\\n\r\t\f\b', ['\\"', "\\\\", "\\n", "\\r", "\\t", "\\f", "\\b"]):
+            out = out.when(ch == char, F.lit(short))
+        return out.when(cp.between(0x20, 0x7E), ch).when(cp < 0x10000, unit(cp)).otherwise(pair)
 
-    quoted = F.to_json(F.array(c))
-    inner = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    escaped = F.array_join(F.transform(F.split(inner, ""), escape), "")
-    plain = c.rlike(r"^[\x20\x21\x23-\x5b\x5d-\x7e]*$")
-    return F.when(plain, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(escaped)
+    plain = c.rlike(r"^[\x20\x21\x23-\x5b\x5d-\x7e]*\z")
+    escaped = F.array_join(F.transform(F.split(c, ""), escape), "")
+    return F.concat(F.lit('"'), F.when(plain, c).otherwise(escaped), F.lit('"'))
 
 
 def python_json(c: Column | str, dtype: T.DataType, indent: int = 2, level: int = 0) -> Column:
@@ -125,7 +126,7 @@ def python_json(c: Column | str, dtype: T.DataType, indent: int = 2, level: int
         body = _json_string(c)
     else:
         body = c.cast("string")
-    return F.coalesce(body, F.lit("null"))
+    return F.when(c.isNull(), F.lit("null")).otherwise(body)
 
 
 def _repr_string(c: Column) -> Column:

@@ -53,7 +53,8 @@ def kpis(alerts: DataFrame) -> DataFrame:
         F.count("*").alias("total"),
         F.count(F.when(queue_band("rule_level") == "CRITICAL", 1)).alias("critical"),
         F.coalesce(mean, F.lit(0.0)).alias("mean_level"),
-        F.coalesce(F.format_string("%.1f", mean), F.lit("0")).alias("mean_level_text"),
+        F.when(mean.isNull(), F.lit("0")).otherwise(F.format_string("%.1f", mean))
+        .alias("mean_level_text"),
     )
 
 

@@ -80,9 +80,12 @@ def decode_sshd(rows: DataFrame, text: str = "raw_log") -> DataFrame:
 
 
 def file_changes(events: DataFrame, slab_seconds: int = 3600) -> DataFrame:
-    """File events whose hash differs from the preceding one of the same host and path."""
+    """File events whose hash differs from the preceding one of the same host and path.
+
+    Repeated deliveries of an event are merged first; they can never be a change.
+    """
     out = previous_value(
-        events, ["host", "path"], ["ts", "seq"], "hash", "ts", "old_hash", slab_seconds
+        events.dropDuplicates(), ["host", "path"], ["ts", "seq"], "hash", "ts", "old_hash", slab_seconds
     )
     return out.where("old_hash IS NOT NULL AND old_hash <> hash").withColumnRenamed(
         "hash", "new_hash"

@@ -72,8 +72,10 @@ def route_requests(requests: DataFrame, alerts: DataFrame) -> DataFrame:
     """
     parsed = parse_requests(requests)
     words = parsed.select("request_id", F.posexplode("id_words").alias("word_pos", "alert_id"))
-    # one row per known id first, so that a much-repeated id cannot multiply the join
-    known = alerts.select("alert_id").distinct()
+    # reduce the alerts to the ids that are asked for (the alerts are only scanned when the
+    # words fit a broadcast), one row per id, so that a much-repeated id cannot multiply the join
+    wanted = words.select("alert_id").distinct()
+    known = alerts.select("alert_id").join(wanted, "alert_id", "left_semi").distinct()
     named = (
         words.join(known, "alert_id")
         .groupBy("request_id")
