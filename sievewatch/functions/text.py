@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-# blanks that Python's str.strip and JavaScript's trim remove; Spark's trim takes ' ' only
-_PY_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
-_JS_BLANK = r"[\s\p{Z}\x{FEFF}]"
+# fixed values: the blanks that Python's str.strip and JavaScript's trim remove (Spark's trim takes
+# ' ' only)
+_COMMON = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+PY_BLANKS = _COMMON + "\x1c\x1d\x1e\x1f\x85"
+JS_BLANKS = _COMMON + "\ufeff"
 
 
 def col(c: Column | str) -> Column:
@@ -14,11 +18,11 @@ def col(c: Column | str) -> Column:
 
 
 def py_strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{_PY_BLANK}+|{_PY_BLANK}+$", "")
+    return F.btrim(col(c), F.lit(PY_BLANKS))
 
 
 def js_trim(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{_JS_BLANK}+|{_JS_BLANK}+$", "")
+    return F.btrim(col(c), F.lit(JS_BLANKS))
 
 
 def first_truthy(*cols: Column | str) -> Column:

@@ -46,17 +46,26 @@ def parse_answers(answers: DataFrame, text: str = "text") -> DataFrame:
     def given(name: str) -> Column:
         return F.col(name) if name in have else F.lit(None).cast("string")
 
+    # one stage per step, so that each pattern runs once per text
     raw = F.coalesce(text, F.lit(""))
+    found = answers.select(
+        "*", F.regexp_extract(raw, SEVERITY, 1).alias("_severity"),
+        F.regexp_extract(raw, REASONING, 1).alias("_reasoning"),
+        F.regexp_extract(raw, TECHNIQUE, 1).alias("_technique"),
+    )
+    trimmed = found.withColumns({
+        "_reasoning": first_truthy(
+            js_trim("_reasoning"), given("reasoning"), F.coalesce(given("result"), F.lit(""))
+        ),
+        "_technique": js_trim("_technique"),
+    })
     out = {
-        "severity": F.coalesce(_found(raw, SEVERITY), given("severity")),
-        "reasoning": clean_text(first_truthy(
-            js_trim(F.coalesce(_found(raw, REASONING), F.lit(""))), given("reasoning"),
-            F.coalesce(given("result"), F.lit("")),
-        )),
-        "technique": first_truthy(js_trim(_found(raw, TECHNIQUE)), given("mitre_technique")),
+        "severity": F.coalesce(F.nullif("_severity", F.lit("")), given("severity")),
+        "reasoning": clean_text("_reasoning"),
+        "technique": first_truthy("_technique", given("mitre_technique")),
     }
     keep = [c for c in answers.columns if c not in out and c not in {"result", "mitre_technique"}]
-    return answers.select(*keep, *[c.alias(n) for n, c in out.items()])
+    return trimmed.select(*keep, *[c.alias(n) for n, c in out.items()])
 
 
 def _section(text: Column, heading: str, stops: list[str]) -> Column:
@@ -112,15 +121,19 @@ def text_severity(text: Column | str) -> Column:
 def step_parts(steps: DataFrame, reply: str = "reply") -> DataFrame:
     """Add ``action``, ``action_input`` (both null unless both are found) and ``thought``."""
     r = F.coalesce(reply, F.lit(""))
-    action = _found(r, ACTION)
-    given = _found(r, ACTION_INPUT)
-    both = action.isNotNull() & given.isNotNull()
-    bare = py_strip(F.regexp_replace(py_strip(given), r"""^["']+|["']+$""", ""))
-    return steps.select(
-        "*",
-        F.when(both, action).alias("action"),
+    found = steps.select(
+        "*", F.regexp_extract(r, ACTION, 1).alias("_action"),
+        F.regexp_extract(r, ACTION_INPUT, 1).alias("_input"),
+        F.regexp_extract(r, THOUGHT, 1).alias("_thought"),
+    )
+    both = (F.length("_action") > 0) & (F.length("_input") > 0)
+    bare = py_strip(F.btrim(py_strip("_input"), F.lit("\"'")))
+    return found.select(
+        *steps.columns,
+        F.when(both, F.col("_action")).alias("action"),
         F.when(both, bare).alias("action_input"),
-        F.coalesce(py_strip(_found(r, THOUGHT)), F.lit("Investigating...")).alias("thought"),
+        F.when(F.length("_thought") > 0, py_strip("_thought"))
+        .otherwise(F.lit("Investigating...")).alias("thought"),
     )
 
 

@@ -96,6 +96,21 @@ def object_index(objects: DataFrame) -> DataFrame:
     return objects.groupBy("id").agg(last).select("id", "last.pos", "last.type", "last.name")
 
 
+def edge_ends(objects: DataFrame) -> DataFrame:
+    """Index of the objects that can be an end of a ``uses`` edge.
+
+    Only rows of group or technique ids are indexed, so the relationships, most of a large graph,
+    are not shuffled. A later definition with another type still counts.
+    """
+    fields = ["id", "pos", "type", "name"]
+    is_end = F.coalesce(F.col("type").isin(GROUP, TECHNIQUE), F.lit(False))
+    ends = objects.where(is_end).select(*fields)
+    redefined = objects.where(~is_end).select(*fields).join(
+        ends.select("id").distinct(), "id", "left_semi"
+    )
+    return object_index(ends.unionByName(redefined))
+
+
 def group_edges(objects: DataFrame) -> DataFrame:
     """``uses`` edges from groups to techniques: ``stix_id, pos, group_name``.
 
@@ -105,7 +120,7 @@ def group_edges(objects: DataFrame) -> DataFrame:
     edges = objects.where((F.col("type") == RELATION) & (F.col("relationship_type") == USES)).select(
         "pos", "source_ref", "target_ref"
     )
-    index = object_index(objects)
+    index = edge_ends(objects)
     groups = index.where(F.col("type") == GROUP).select(
         F.col("id").alias("source_ref"),
         F.coalesce("name", F.lit("Unknown Group")).alias("group_name"),

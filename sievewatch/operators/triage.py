@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.severity import REQUEST_CRITICAL, REQUEST_HIGH, level_number, queue_band
-from ..functions.text import col
+from ..functions.text import PY_BLANKS, col
 
 
 def at_or_above(alerts: DataFrame, min_level: int) -> DataFrame:
@@ -39,7 +39,7 @@ def _route(text: Column, pick) -> Column:
 def parse_requests(requests: DataFrame) -> DataFrame:
     """``(request_id, text)`` -> keyword route and the words that may be an alert id."""
     text = F.lower("text")
-    words = F.filter(F.split(text, r"[\s\x1c-\x1f\x85\p{Z}]+"), lambda w: F.length(w) > 0)
+    words = F.filter(F.split(text, f"[{PY_BLANKS}]+"), lambda w: F.length(w) > 0)
     has_number = F.exists(words, lambda w: w.rlike(r"^\p{Nd}+$"))
     ids = F.filter(words, lambda w: w.rlike(r"^\p{Nd}+$") | w.startswith(ID_PREFIX))
     return requests.select(

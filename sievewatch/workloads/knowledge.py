@@ -31,7 +31,9 @@ DOCUMENT = f"""trim('MITRE ATT&CK Technique: ' || coalesce(technique_id, 'UNKNOW
 
 
 def objects(t):
-    return feeds.read_stix_lines(t.spark, t.landed("stix_lines"))
+    """The landed objects, parsed once into Parquet."""
+    landed = t.landed("stix_lines")
+    return feeds.cached_feed(t.spark, landed, f"{landed}-parsed", feeds.read_stix_lines)
 
 
 R.add("s3_bundle_objects", """
@@ -43,6 +45,13 @@ FROM stix_bundles JOIN part ON p_partkey = doc""", "stix_bundles")(
     lambda t: feeds.parse_stix_bundles(t.stix_bundles).select("doc", "pos", "type", "id", "name")
 )
 
+R.add("s10_cached_feed", """
+SELECT pos, 'attack-pattern' AS type, name FROM techniques
+UNION ALL SELECT 10000000 + s_suppkey, 'intrusion-set', s_name FROM supplier
+UNION ALL SELECT pos, 'relationship', NULL FROM uses_edges""", "techniques", "uses_edges")(
+    lambda t: objects(t).select("pos", "type", "name")
+)
+
 R.add("k1_active_techniques", f"SELECT stix_id AS id, name FROM techniques WHERE {ACTIVE}",
       "techniques")(
     lambda t: tq.active_techniques(objects(t)).select("id", "name")
@@ -164,7 +173,9 @@ CVE_TEXT = f"""'CVE: ' || cve_id || chr(10) || 'Severity: ' || {SEVERITY} || ' (
 
 
 def items(t):
-    return feeds.read_cve_lines(t.spark, t.landed("cve_lines"))
+    """The landed items, parsed once into Parquet."""
+    landed = t.landed("cve_lines")
+    return feeds.cached_feed(t.spark, landed, f"{landed}-parsed", feeds.read_cve_lines)
 
 
 R.add("s4_feed_items", "SELECT 0 AS pos, cve_id AS id, day AS published FROM cves", "cves")(
