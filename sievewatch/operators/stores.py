@@ -78,10 +78,23 @@ def new_records(records: DataFrame, table: DataFrame, arrival: str | None = None
 
 def save_alerts(spark: SparkSession, records: DataFrame, path: str,
                 arrival: str | None = None) -> None:
-    """Append the alerts whose id is not stored yet (the first write wins)."""
+    """Append the alerts whose id is not stored yet (the first write wins).
+
+    The table is partitioned by the day of the alert, so that reads of a time range touch only
+    the folders of its days.
+    """
     table = read_table(spark, path, schemas.ALERTS_TABLE)
-    columns = [f.name for f in table.schema.fields]
-    new_records(records, table, arrival).select(*columns).write.mode("append").parquet(path)
+    columns = [c for c in table.columns if c != "day"]
+    day = F.left("timestamp", F.lit(10)).try_cast("date").alias("day")
+    new_records(records, table, arrival).select(*columns, day).write.mode("append").partitionBy(
+        "day"
+    ).parquet(path)
+
+
+def stored_between(table: DataFrame, start: str, end: str) -> DataFrame:
+    """Stored alerts with ``start <= timestamp < end`` (ISO text, one zone); days are pruned."""
+    days = F.col("day").between(F.lit(start[:10]).cast("date"), F.lit(end[:10]).cast("date"))
+    return table.where(days & (F.col("timestamp") >= start) & (F.col("timestamp") < end))
 
 
 def _append_numbered(spark, rows: DataFrame, path: str, ddl: str, order: list[str]) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 4096
 DIGITS = 6
-_CHUNK = 512  # queries per matrix product
+_CELLS = 4 << 20  # distances held at a time in one task
 
 
 def matrix(column) -> np.ndarray:
@@ -45,8 +45,9 @@ def top_k(queries: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int):
         return np.empty(0, int), np.empty(0, object), np.empty(0)
     k = min(k, len(docs))
     doc_norm = (docs * docs).sum(axis=1)
-    for start in range(0, len(queries), _CHUNK):
-        q = queries[start:start + _CHUNK]
+    chunk = max(1, _CELLS // len(docs))
+    for start in range(0, len(queries), chunk):
+        q = queries[start:start + chunk]
         d = (q * q).sum(axis=1)[:, None] + doc_norm[None, :] - 2.0 * (q @ docs.T)
         d = np.round(np.maximum(d, 0.0), DIGITS)
         kth = np.partition(d, k - 1, axis=1)[:, k - 1]

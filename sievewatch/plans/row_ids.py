@@ -10,13 +10,15 @@ _LOCAL_BITS = 33  # monotonically_increasing_id: partition above, position in pa
 
 
 def with_row_ids(df: DataFrame, order: list, start: int = 0, name: str = "id") -> DataFrame:
-    """Add ``name`` = start + 1, start + 2, ... in the given order.
+    """Add ``name`` = start + 1, start + 2, ... in the given order; ties in any order.
 
-    Rows are range-partitioned and sorted; the checkpoint fixes where each row lies. The offset of
-    a partition is the number of rows before it, from one count per partition.
+    Rows are range-partitioned and sorted; the offset of a partition is the number of rows before
+    it, from one count per partition. The first checkpoint fixes a tie number per row, so that a
+    large group of equal rows can be split between partitions; the second fixes where each row lies.
     """
+    tagged = reliable_checkpoint(df.withColumn("_tie", F.monotonically_increasing_id()))
     placed = reliable_checkpoint(
-        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        tagged.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie")
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     part = F.shiftright("_mid", _LOCAL_BITS)
@@ -29,5 +31,5 @@ def with_row_ids(df: DataFrame, order: list, start: int = 0, name: str = "id") -
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.lit(start + 1) + F.col("_off") + position)
-        .drop("_part", "_off", "_mid")
+        .drop("_part", "_off", "_mid", "_tie")
     )

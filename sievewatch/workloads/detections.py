@@ -202,7 +202,23 @@ SELECT alert_id AS id, timestamp, rule_id, rule_level, description, agent_name,
   CASE WHEN event_type = 'error' THEN '2024-02-01' ELSE '2024-02-02' END AS saved_on
 FROM alerts""", "alerts")(
     lambda t: saved_alerts(t).withColumn("saved_on", F.date_format("created_at", "yyyy-MM-dd"))
-    .drop("raw_data", "created_at")
+    .drop("raw_data", "created_at", "day")
+)
+
+
+def stored_range(t):
+    path = scratch_path(t.spark, "alerts")
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    stores.save_alerts(t.spark, stores.alert_records(raw(t), at), path)
+    return stores.stored_between(
+        t.spark.read.parquet(path), "2024-01-05T00:00:00.000Z", "2024-01-12T12:00:00.000Z"
+    )
+
+
+R.add("s6_stored_between", """
+SELECT alert_id AS id, timestamp, CAST(CAST(ts AS DATE) AS STRING) AS day FROM alerts
+WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-12 12:00:00'""", "alerts")(
+    lambda t: stored_range(t).select("id", "timestamp", F.col("day").cast("string").alias("day"))
 )
 
 

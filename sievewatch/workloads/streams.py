@@ -69,7 +69,7 @@ def stored(t):
 R.add("st3_alert_store", f"""
 SELECT alert_id AS id, timestamp, rule_id, rule_level, description, agent_name, agent_ip,
   'UNKNOWN' AS severity FROM alerts WHERE {KEPT}""", "alerts")(
-    lambda t: stored(t).drop("raw_data", "created_at")
+    lambda t: stored(t).drop("raw_data", "created_at", "day")
 )
 
 R.add("st4_brute_force_stream", f"""

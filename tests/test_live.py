@@ -28,6 +28,16 @@ def test_save_alerts_first_write_wins(spark, tmp_path):
     assert json.loads(row.raw_data)["rule"]["id"] == "5712"
 
 
+def test_stored_range_prunes_days(spark, tmp_path, capsys):
+    raw = src.read_alerts(spark, write_lines(tmp_path / "a.json", SIEM_ALERTS))
+    path = str(tmp_path / "table")
+    stores.save_alerts(spark, stores.alert_records(raw), path)
+    df = stores.stored_between(spark.read.parquet(path), "2024-05-30T15:00", "2024-05-30T17:00")
+    assert df.count() == 2
+    df.explain("formatted")
+    assert "PartitionFilters: [isnotnull(day" in capsys.readouterr().out
+
+
 def test_first_arrival_is_kept(spark):
     rows = spark.createDataFrame([("x", 2, "b"), ("x", 1, "c"), ("y", 3, "d")], "id STRING, n INT, v STRING")
     assert {tuple(r) for r in stores.first_per_id(rows, "n").collect()} == {("x", "c"), ("y", "d")}

@@ -107,6 +107,19 @@ def test_row_ids_are_dense_and_ordered(spark):
     assert [r.v for r in out] == sorted(r.v for r in out)
 
 
+def test_row_ids_with_many_equal_rows(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("v"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # small partitions would be put together again
+    try:
+        out = with_row_ids(df.repartition(6), ["v"])
+        assert sorted(r.id for r in out.collect()) == list(range(1, 4001))
+        sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set(key, "true")
+    assert max(r["count"] for r in sizes) < 2500
+
+
 def failures(spark, seconds, source="1.2.3.4"):
     return spark.createDataFrame([(source, s) for s in seconds], "src_ip STRING, s LONG").withColumn(
         "ts", F.timestamp_seconds("s"))
