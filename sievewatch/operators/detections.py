@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import col
-from ..plans.slabs import epoch_seconds, gaps, previous_value, range_aggregate
+from ..plans.slabs import epoch_seconds, gaps, previous_value, range_sums
 
 # fixed values: limits of the detections
 BRUTE_COUNT, BRUTE_SECONDS = 8, 60
@@ -41,10 +41,7 @@ def brute_force(
     ``attempts`` is the number in the window, ``timespan_seconds`` how long they took.
     """
     counted = _per_second(failures, [source], ts, n=F.count("*"))
-    out = range_aggregate(counted, [source], {
-        "attempts": lambda w: F.sum("n").over(w),
-        "_first": lambda w: F.min("second").over(w),
-    }, before=seconds)
+    out = range_sums(counted, [source], {"attempts": "n"}, before=seconds, first="_first")
     return out.where(F.col("attempts") > more_than).select(
         source, "second", "attempts", (F.col("second") - F.col("_first")).alias("timespan_seconds")
     )
@@ -103,9 +100,7 @@ def frequent_changes(
 ) -> DataFrame:
     """Files that changed more than ``more_than`` times in ``seconds`` at some moment."""
     counted = _per_second(events, ["host", "path"], "ts", n=F.count("*"))
-    out = range_aggregate(
-        counted, ["host", "path"], {"changes": lambda w: F.sum("n").over(w)}, before=seconds
-    )
+    out = range_sums(counted, ["host", "path"], {"changes": "n"}, before=seconds)
     return out.where(F.col("changes") > more_than).groupBy("host", "path").agg(
         F.max("changes").alias("max_changes")
     )
@@ -179,9 +174,7 @@ def failures_without_success(
         events, [source], ts,
         failures=F.count(F.when(failed, 1)), _ok=F.count(F.when(succeeded, 1)),
     ).where("failures > 0 OR _ok > 0")
-    near = range_aggregate(
-        counted, [source], {"_near": lambda w: F.sum("_ok").over(w)}, before=seconds, after=seconds
-    )
+    near = range_sums(counted, [source], {"_near": "_ok"}, before=seconds, after=seconds)
     return near.where("failures > 0 AND _near = 0").select(source, "second", "failures")
 
 

@@ -14,18 +14,21 @@ def epoch_seconds(ts: Column | str) -> Column:
     return F.unix_timestamp(c.cast("timestamp"))
 
 
-def range_aggregate(
-    per_second: DataFrame, keys: list[str], aggregates: dict, before: int, after: int = 0,
-    second: str = "second", min_slab: int = 3600,
+def range_sums(
+    per_second: DataFrame, keys: list[str], sums: dict[str, str], before: int, after: int = 0,
+    first: str | None = None, second: str = "second", min_slab: int = 3600,
 ) -> DataFrame:
-    """Add window aggregates over ``[second - before, second + after]`` of the same key.
+    """Sums over ``[second - before, second + after]`` of the same key.
 
-    ``per_second`` has one row per key and second (aggregate first: that also merges copies), so
-    a slab holds a bounded number of rows. ``aggregates`` maps a new column to a function of the
-    window: ``{"n": lambda w: F.sum("count").over(w)}``. A row is copied to the neighbour slabs
-    whose windows reach it.
+    ``per_second`` has one row per key and second (aggregate first: that also merges copies), so a
+    slab holds a bounded number of rows. ``sums`` maps a new column to the column it adds up;
+    ``first`` (only without ``after``) names a column for the earliest second in the window.
+
+    A row enters the running sum at ``second - after`` and leaves it at ``second + before + 1``, so
+    the cost does not grow with the window length. It is copied to the neighbour slabs whose windows
+    reach it.
     """
-    size = max(before, after, min_slab)
+    size = max(min_slab, 8 * max(before, after))
     own = F.floor(F.col(second) / size)
     spread = F.array_compact(F.array(
         own,
@@ -33,13 +36,29 @@ def range_aggregate(
         F.when(F.floor((F.col(second) - after) / size) < own, own - 1),
     ))
     slabs = per_second.withColumn("_own", own).withColumn("_slab", F.explode(spread))
-    w = (
-        Window.partitionBy(*keys, "_slab").orderBy(second).rangeBetween(-before, after)
-    )
-    out = slabs
-    for name, make in aggregates.items():
-        out = out.withColumn(name, make(w))
-    return out.where("_own = _slab").drop("_own", "_slab")
+    group = Window.partitionBy(*keys, "_slab")
+    none = F.lit(None).cast("bigint")
+    leaves_to = none
+    if first:
+        slabs = slabs.withColumn("_next", F.lead(second).over(group.orderBy(second)))
+        leaves_to = F.col("_next")
+
+    def event(shift: int, sign: int, asks: bool, gone=none):
+        return F.struct(
+            (F.col(second) + shift).alias("_t"), F.lit(asks).alias("_asks"), gone.alias("_gone"),
+            *[(F.col(c) * sign).alias(f"_d_{name}") for name, c in sums.items()],
+        )
+
+    events = [event(-after, 1, after == 0), event(before + 1, -1, False, leaves_to)]
+    if after:
+        events.append(event(0, 0, True))
+    rows = slabs.withColumn("_e", F.explode(F.array(*events))).select("*", "_e.*")
+    run = group.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = {name: F.sum(f"_d_{name}").over(run) for name in sums}
+    if first:
+        # the row after the last one that left, else the first row of the slab
+        out[first] = F.coalesce(F.max("_gone").over(run), F.min(second).over(run))
+    return rows.withColumns(out).where("_asks AND _own = _slab").select(*per_second.columns, *out)
 
 
 def previous_value(

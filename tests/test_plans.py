@@ -9,7 +9,7 @@ from sievewatch.operators import detections as dt
 from sievewatch.plans import nearest as nn
 from sievewatch.plans.pruned import nearest_pruned
 from sievewatch.plans.row_ids import with_row_ids
-from sievewatch.plans.slabs import gaps, previous_value, range_aggregate
+from sievewatch.plans.slabs import gaps, previous_value, range_sums
 
 
 @pytest.fixture(scope="module")
@@ -67,16 +67,19 @@ def hot_events(n=3000):
                          "value": rng.integers(0, 3, n)})
 
 
-def test_range_aggregate_equals_plain_window(spark):
+@pytest.mark.parametrize("before,after,slab", [(700, 300, 100), (60, 0, 3600), (5000, 5000, 10)])
+def test_range_sums_equal_plain_window(spark, before, after, slab):
     pdf = hot_events().groupby(["key", "second"]).size().rename("n").reset_index()
-    out = range_aggregate(
-        spark.createDataFrame(pdf), ["key"], {"total": lambda w: F.sum("n").over(w)},
-        before=700, after=300, min_slab=100,
+    first = None if after else "first"
+    out = range_sums(
+        spark.createDataFrame(pdf), ["key"], {"total": "n"}, before=before, after=after,
+        first=first, min_slab=slab,
     ).toPandas()
     assert len(out) == len(pdf)
-    for r in out.sample(300, random_state=1).itertuples():
-        near = pdf[(pdf.key == r.key) & pdf.second.between(r.second - 700, r.second + 300)]
+    for r in out.sample(400, random_state=1).itertuples():
+        near = pdf[(pdf.key == r.key) & pdf.second.between(r.second - before, r.second + after)]
         assert near.n.sum() == r.total
+        assert first is None or near.second.min() == r.first
 
 
 def test_previous_value_equals_plain_lag(spark):
