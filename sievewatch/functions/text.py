@@ -62,8 +62,12 @@ def _per_char(c: Column, boundary: str, lower_rest: bool) -> Column:
 
 
 def title_case(c: Column | str) -> Column:
-    """Python's ``str.title``: a letter after any non-letter is upper, all others lower."""
-    return _per_char(col(c), r"^\p{L}$", True)
+    """Python's ``str.title``: a letter after any non-letter is upper, all others lower.
+
+    Plain words take the built-in function, which agrees there.
+    """
+    c = col(c)
+    return F.when(c.rlike(r"^[A-Za-z ]*\z"), F.initcap(c)).otherwise(_per_char(c, r"^\p{L}$", True))
 
 
 def capitalise_words(c: Column | str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import col, cut, join_or, one_line, py_strip, title_case
+from ..plans.joins import broadcast_if_small
 
 # fixed values: names in the bundle and text lengths
 ATTACK_SOURCE = "mitre-attack"
@@ -53,15 +54,22 @@ def strip_links(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"\[([^\]]+)\]\([^)]+\)", "$1")
 
 
+def with_parts(objects: DataFrame) -> DataFrame:
+    """Evaluate the technique id and the tactics once; documents and metadata build on these."""
+    return objects.select(
+        "*", technique_id().alias("technique_id"), tactics().alias("tactic_names")
+    )
+
+
 def technique_document() -> Column:
-    """Rich document text of a technique object."""
+    """Rich document text over the columns of ``with_parts``."""
     description = cut(
         strip_links(F.coalesce("description", F.lit(NO_DESCRIPTION))), DESCRIPTION_LENGTH
     )
     return py_strip(F.concat(
-        F.lit("MITRE ATT&CK Technique: "), F.coalesce(technique_id(), F.lit("UNKNOWN")),
+        F.lit("MITRE ATT&CK Technique: "), F.coalesce("technique_id", F.lit("UNKNOWN")),
         F.lit(" — "), F.coalesce("name", F.lit("Unknown")),
-        F.lit("\n\nTactics: "), join_or(tactics(), "Unknown"),
+        F.lit("\n\nTactics: "), join_or("tactic_names", "Unknown"),
         F.lit("\nPlatforms: "), join_or(platforms(), "Unknown"),
         F.lit("\n\nDescription:\n"), description,
         F.lit("\n\nDetection Data Sources: "), join_or(data_sources(5), "Not specified"),
@@ -120,7 +128,8 @@ def group_edges(objects: DataFrame) -> DataFrame:
     edges = objects.where((F.col("type") == RELATION) & (F.col("relationship_type") == USES)).select(
         "pos", "source_ref", "target_ref"
     )
-    index = edge_ends(objects)
+    # names and ids only: one count decides for both sides of the edges
+    index = broadcast_if_small(edge_ends(objects))
     groups = index.where(F.col("type") == GROUP).select(
         F.col("id").alias("source_ref"),
         F.coalesce("name", F.lit("Unknown Group")).alias("group_name"),
@@ -157,15 +166,15 @@ def first_groups(edges: DataFrame, n: int = 10) -> DataFrame:
 
 def technique_rows(objects: DataFrame) -> DataFrame:
     """Knowledge rows of the active techniques: document text and flat metadata."""
-    base = active_techniques(objects).where(F.coalesce(technique_id(), F.lit("UNKNOWN")) != "UNKNOWN")
+    base = with_parts(active_techniques(objects)).where("technique_id <> 'UNKNOWN'")
     rows = base.select(
         F.col("id").alias("stix_id"),
-        technique_id().alias("id"),
+        F.col("technique_id").alias("id"),
         F.coalesce("name", F.lit("Unknown")).alias("name"),
         technique_document().alias("text"),
-        join_or(tactics(), "unknown").alias("tactics"),
+        join_or("tactic_names", "unknown").alias("tactics"),
         join_or(platforms(5), "unknown").alias("platforms"),
-        technique_id().contains(".").alias("is_subtechnique"),
+        F.col("technique_id").contains(".").alias("is_subtechnique"),
         join_or(data_sources(3), "").alias("detection"),
     )
     return (

@@ -39,12 +39,14 @@ def _route(text: Column, pick) -> Column:
 def parse_requests(requests: DataFrame) -> DataFrame:
     """``(request_id, text)`` -> keyword route and the words that may be an alert id."""
     text = F.lower("text")
-    words = F.filter(F.split(text, f"[{PY_BLANKS}]+"), lambda w: F.length(w) > 0)
-    has_number = F.exists(words, lambda w: w.rlike(r"^\p{Nd}+$"))
-    ids = F.filter(words, lambda w: w.rlike(r"^\p{Nd}+$") | w.startswith(ID_PREFIX))
+    edge, end = f"(?:^|[{PY_BLANKS}])", f"(?=[{PY_BLANKS}]|$)"
+    has_number = text.rlike(rf"{edge}\p{{Nd}}+{end}")
+    id_words = F.regexp_extract_all(
+        text, F.lit(rf"{edge}(\p{{Nd}}+|{ID_PREFIX}[^{PY_BLANKS}]*){end}"), F.lit(1)
+    )
     return requests.select(
         "request_id",
-        F.when(text.contains("alert") & has_number, ids)
+        F.when(text.contains("alert") & has_number, id_words)
         .otherwise(F.array().cast("array<string>")).alias("id_words"),
         _route(text, lambda r: r[1]).otherwise(F.lit(None).cast("int")).alias("min_level"),
         _route(text, lambda r: r[2]).otherwise(F.lit(RECENT)).alias("label"),

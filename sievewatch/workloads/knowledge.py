@@ -89,7 +89,9 @@ R.add("k5_strip_links", "SELECT stix_id AS id, plain_text AS description FROM te
 
 R.add("k6_technique_document", f"""
 SELECT stix_id AS id, {DOCUMENT} AS text FROM techniques WHERE {ACTIVE}""", "techniques")(
-    lambda t: tq.active_techniques(objects(t)).select("id", tq.technique_document().alias("text"))
+    lambda t: tq.with_parts(tq.active_techniques(objects(t))).select(
+        "id", tq.technique_document().alias("text")
+    )
 )
 
 R.add("k7_plain_document", f"""

@@ -158,7 +158,7 @@ def test_file_rules(spark):
 
 def test_log_rules(spark):
     lines = spark.createDataFrame([
-        ("Jun 19 10:31:08 kali sshd[19304]: error: maximum authentication attempts exceeded for root "
+        ("Jun 19 10:31:08 node1 sshd[19304]: error: maximum authentication attempts exceeded for root "
          "from 192.168.80.129 port 46018 ssh2",),
         ("ossec: output: 'df -P': /dev/sda1 100G 91G 9G 91% /",),
         ("ossec: output: 'df -P': /dev/sdb1 100G 85G 15G 85% /var",),
