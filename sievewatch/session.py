@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,7 +33,31 @@ def build_session(app: str = "sievewatch", master: str | None = None, **conf: st
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per Spark context.
+
+    Functions that run in Python workers refer to their modules by name, and executors do not see
+    the driver's folders. The zip travels through Spark's own file server.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_sievewatch_shipped", False):
+        home = os.path.dirname(os.path.abspath(__file__))
+        if os.path.isdir(home):  # else it already runs from a shipped zip
+            folder = tempfile.mkdtemp(prefix="sievewatch-code-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            name = os.path.join(folder, "sievewatch.zip")
+            with zipfile.ZipFile(name, "w") as out:
+                for top, _, files in os.walk(home):
+                    for f in sorted(files):
+                        if f.endswith(".py"):
+                            path = os.path.join(top, f)
+                            out.write(path, os.path.relpath(path, os.path.dirname(home)))
+            sc.addPyFile(name)
+        sc._sievewatch_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
