@@ -27,7 +27,7 @@ SIZE = 2048
 GROUPS = 64  # rounded sizes of the large lengths
 SMALL = 4  # lengths up to SIZE / SMALL are small
 SLACK = 256  # a configuration's bin stays if its actual lengths leave at most SIZE / SLACK free
-RANK_ROWS = 50_000  # rows of one rank window
+RANK_ROWS = 4096  # rows of one rank window, on average
 _COLUMNS = 300  # most configurations that column generation adds
 
 
