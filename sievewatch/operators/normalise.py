@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions.text import col, cut, first_truthy
-from ..sources.alerts import RAW_FIELDS, read_alerts
+from ..sources.alerts import CORRUPT, RAW_FIELDS, readable, with_objects
 
 # fixed values: lowest level and skipped rules of the forwarder
 MIN_LEVEL = 5
@@ -48,9 +48,10 @@ def infer_category(groups: Column | str, description: Column | str) -> Column:
 
 
 def rule_level(level: Column | str) -> Column:
-    """Level as int: missing is 0, text that is no integer is null (and fails validation)."""
+    """Level as int: missing is 0, decimals are cut toward zero, other text is null (and fails
+    validation)."""
     text = F.trim(F.coalesce(col(level), F.lit("0")))
-    return text.try_cast("int")
+    return F.regexp_replace(text, r"^([+-]?\d+)\.\d*$", "$1").try_cast("int")
 
 
 def rule_id(rule: Column | str) -> Column:
@@ -158,12 +159,18 @@ REQUIRED = [
     "alert_id", "timestamp", "source.agent_name", "source.agent_ip", "rule.id",
     "rule.description", "rule.level", "category", "raw_log", "indicators", "mitre_hint",
 ]
+# paths whose value has the wrong type; made by read_normalised, used by validated
+TYPE_ERRORS = "_type_errors"
+_NUMBERS = ["rule.level", "indicators.src_port", "indicators.dst_port"]
 
 
 def validated(alerts: DataFrame) -> DataFrame:
     """Add ``errors``, the paths of missing required fields; a null status becomes 'new'."""
     checks = [F.when(F.col(path).isNull(), F.lit(path)) for path in REQUIRED]
-    return alerts.withColumn("errors", F.array_compact(F.array(*checks))).withColumn(
+    errors = F.array_compact(F.array(*checks))
+    if TYPE_ERRORS in alerts.columns:
+        errors = F.array_union(errors, F.col(TYPE_ERRORS))
+    return alerts.withColumn("errors", errors).drop(TYPE_ERRORS).withColumn(
         "status", F.coalesce("status", F.lit("new"))
     )
 
@@ -179,12 +186,32 @@ def rejected_alerts(alerts: DataFrame) -> DataFrame:
 def read_normalised(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
     """Alerts that arrive as normalised JSON lines; ``extra`` names further fields to keep.
 
-    The level is read as text first, so that a wrong type marks the field and not the line.
+    Every well-formed line is a row: objects are read as text and their fields one by one, numbers
+    by a cast that may fail. Paths that hold something of the wrong type are kept in ``_type_errors``,
+    so that such an alert is among the rejected ones.
     """
-    loose = schemas.NORMALISED_ALERT.replace("level: INT", "level: STRING")
-    rows = read_alerts(spark, path, f"{extra}, {loose}" if extra else loose)
-    level = F.col("rule.level").try_cast("int")
-    return rows.withColumn("rule", F.col("rule").withField("level", level))
+    fields = T.StructType.fromDDL(schemas.NORMALISED_ALERT).fields
+    objects = {f.name: f.dataType for f in fields if isinstance(f.dataType, T.StructType)}
+    line = ", ".join(f"{f.name} STRING" for f in fields)
+    layout = f"{extra}, {line}, {CORRUPT} STRING" if extra else f"{line}, {CORRUPT} STRING"
+    reader = spark.read.schema(layout).option("columnNameOfCorruptRecord", CORRUPT)
+    rows = readable(reader.json(path), "alert_id")
+    loose = {
+        name: ", ".join(f"{f.name} STRING" for f in kind.fields) for name, kind in objects.items()
+    }
+    parsed = with_objects(rows.withColumns({f"_{n}_text": F.trim(n) for n in objects}), loose)
+    wrong = [
+        F.when(F.col(f"_{n}_text").isNotNull() & ~F.col(f"_{n}_text").startswith("{"), F.lit(n))
+        for n in objects
+    ]
+    wrong += [
+        F.when(F.col(p).isNotNull() & F.col(p).try_cast("int").isNull(), F.lit(p)) for p in _NUMBERS
+    ]
+    marked = parsed.withColumn(TYPE_ERRORS, F.array_compact(F.array(*wrong)))
+    for path in _NUMBERS:
+        name, field = path.split(".")
+        marked = marked.withColumn(name, F.col(name).withField(field, F.col(path).try_cast("int")))
+    return marked.drop(*[f"_{n}_text" for n in objects])
 
 
 def flat(normalised: DataFrame) -> DataFrame:

@@ -66,7 +66,9 @@ def search(queries: DataFrame, collection: DataFrame, k: int, pruned: bool = Fal
     """
     find = nearest_pruned if pruned else nearest
     hits = find(queries, collection, k, **limits)
-    return hits.join(collection.drop("embedding"), "id").withColumn("text", cut("text", RESULT_TEXT))
+    # only the shown part of the text travels to the hits
+    shown = collection.drop("embedding").withColumn("text", cut("text", RESULT_TEXT))
+    return hits.join(shown, "id")
 
 
 def search_both(

@@ -85,21 +85,25 @@ def weaknesses() -> Column:
     return F.coalesce(F.flatten(per), F.array().cast("array<string>"))
 
 
-def affected_products() -> Column:
-    """Distinct 'vendor product' pairs of the CPE names in feed order, the first ten."""
-    def matches(node: Column) -> Column:
-        return F.slice(F.coalesce(node["cpeMatch"], F.array()), 1, MAX_MATCHES)
+def named_products(configs: int | None = None, nodes: int | None = None, matches: int | None = None) -> Column:
+    """Distinct 'vendor product' pairs of the CPE names in feed order; ``None`` sets no limit."""
+    def some(items: Column, most: int | None) -> Column:
+        items = F.coalesce(items, F.array())
+        return items if most is None else F.slice(items, 1, most)
 
-    def nodes(config: Column) -> Column:
-        listed = F.slice(F.coalesce(config["nodes"], F.array()), 1, MAX_NODES)
-        return F.flatten(F.transform(listed, matches))
+    def of_config(config: Column) -> Column:
+        return F.flatten(F.transform(some(config["nodes"], nodes), lambda n: some(n["cpeMatch"], matches)))
 
-    cpes = F.flatten(F.transform(F.slice("configurations", 1, MAX_CONFIGS), nodes))
+    cpes = F.flatten(F.transform(some(F.col("configurations"), configs), of_config))
     parts = F.transform(cpes, lambda m: F.split(F.coalesce(m["criteria"], F.lit("")), ":"))
     named = F.filter(parts, lambda p: (F.size(p) >= 5) & (p[3] != "*") & (p[4] != "*"))
-    pairs = F.transform(named, lambda p: F.concat(p[3], F.lit(" "), p[4]))
-    distinct = F.slice(F.array_distinct(pairs), 1, MAX_PRODUCTS)
-    return F.coalesce(distinct, F.array().cast("array<string>"))
+    pairs = F.array_distinct(F.transform(named, lambda p: F.concat(p[3], F.lit(" "), p[4])))
+    return F.coalesce(pairs, F.array().cast("array<string>"))
+
+
+def affected_products() -> Column:
+    """The products shown in texts and metadata: the first ten of the first configurations."""
+    return F.slice(named_products(MAX_CONFIGS, MAX_NODES, MAX_MATCHES), 1, MAX_PRODUCTS)
 
 
 def published_day(default: str) -> Column:
@@ -225,10 +229,19 @@ def match_text_cves(rows: DataFrame, cves: DataFrame, text: str, key: str) -> Da
     return cves_in_text(rows, text, key).join(cves, F.col("cve_id") == cves["id"]).drop("id")
 
 
+def software_facts(items: DataFrame) -> DataFrame:
+    """What ``match_software`` needs of a feed: every product an item names."""
+    return items.select(
+        "id", severity().alias("severity"), score().alias("cvss_score"),
+        named_products().alias("products"),
+    )
+
+
 def match_software(inventory: DataFrame, cves: DataFrame) -> DataFrame:
     """Installed software (``host, vendor, product``) with the CVEs that name it.
 
-    Inventory rows are grouped by product first: hosts are counted per product, and the CVE
+    ``cves`` holds ``id, severity, cvss_score`` and ``products``, here every product of the feed
+    item (``named_products()``), not the short list of the texts. Inventory rows are grouped by product first: hosts are counted per product, and the CVE
     join sees each product once.
     """
     per_product = inventory.groupBy("vendor", "product").agg(

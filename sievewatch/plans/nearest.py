@@ -18,8 +18,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import reliable_checkpoint
+
 BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS = 4096
 DIGITS = 6
@@ -31,6 +34,9 @@ def matrix(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
+    lengths = pc.unique(pc.list_value_length(column))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths.to_pylist())[:5]}")
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(n, -1) if n else values.reshape(0, 0)
 
@@ -81,9 +87,13 @@ def _sorted_docs(table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def measure(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes of the vectors as float64)."""
-    n, dim = df.agg(F.count("*"), F.max(F.size("vector"))).first()
-    return n, n * (dim or 0) * 8
+    """(rows, bytes of the vectors as float64 and of the ids as Python objects)."""
+    n, low, high, text = df.agg(
+        F.count("*"), F.min(F.size("vector")), F.max(F.size("vector")), F.sum(F.octet_length("id"))
+    ).first()
+    if low != high:
+        raise ValueError(f"vectors of different lengths: {low} to {high}")
+    return n, n * ((high or 0) * 8 + 64) + (text or 0)
 
 
 def _as_pairs(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -92,6 +102,23 @@ def _as_pairs(df: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
+_NUMBER = 17  # separator and row number behind the id
+
+
+def numbered(queries: DataFrame) -> DataFrame:
+    """Query ids with a row number behind them, so that each query row is answered for itself.
+
+    The numbers hold for one run of the plan; checkpoint it before it is used twice.
+    """
+    row = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+    return queries.where("id is not null").withColumn("id", F.concat("id", F.lit("\x1f"), row))
+
+
+def unnumbered(answers: DataFrame) -> DataFrame:
+    return answers.withColumn(
+        "query_id", F.expr(f"substring(query_id, 1, length(query_id) - {_NUMBER})"))
+
+
 def _best(partial: DataFrame, k: int) -> DataFrame:
     """Merge per-task answers: at most ``k`` rows per query come from each task."""
     order = Window.partitionBy("query_id").orderBy("distance", "id")
@@ -123,11 +150,20 @@ def _local_to_docs(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def answer(batches):
         query_ids, vectors = shared.value
+        best = None  # the best k of all batches of the task so far
         for b in batches:
             if b.num_rows:
                 doc_ids, m = _sorted_docs(b)
-                r, i, d = top_k(vectors, m, doc_ids, k)
-                yield _batch(query_ids[r], i, d)
+                found = top_k(vectors, m, doc_ids, k)
+                if best is not None:
+                    r, i, d = (np.concatenate(x) for x in zip(best, found, strict=True))
+                    order = np.lexsort((i, d, r))
+                    r, i, d = r[order], i[order], d[order]
+                    keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+                    found = r[keep], i[keep], d[keep]
+                best = found
+        if best is not None:
+            yield _batch(query_ids[best[0]], best[1], best[2])
 
     return _best(docs.mapInArrow(answer, OUT), k)
 
@@ -173,13 +209,15 @@ def nearest(
 ) -> DataFrame:
     """``query_id, id, distance, rank`` of the ``k`` nearest docs of every query.
 
-    Ids are unique on both sides; fewer docs than ``k`` give fewer rows.
+    Every query row is answered for itself, also when ids repeat; documents that repeat an id are
+    rows of their own. Fewer docs than ``k`` give fewer rows. Vectors of different lengths raise an
+    error. Queries without an id or a vector are left out.
     """
     q, d = _as_pairs(queries, query_key, vector), _as_pairs(docs, doc_key, vector)
     n_d, d_bytes = measure(d)
     if d_bytes <= broadcast_bytes:
-        return _local_to_queries(q, d, k)
+        return _local_to_queries(q.where("id is not null"), d, k)
     n_q, q_bytes = measure(q)
     if q_bytes <= broadcast_bytes:
-        return _local_to_docs(q, d, k)
-    return _grid(q, n_q, d, n_d, k, block_rows)
+        return unnumbered(_local_to_docs(numbered(q), d, k))
+    return unnumbered(_grid(reliable_checkpoint(numbered(q)), n_q, d, n_d, k, block_rows))

@@ -16,7 +16,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import reliable_checkpoint
-from .nearest import BLOCK_ROWS, DIGITS, _as_pairs, _best, _cells, block_of, matrix
+from .nearest import (
+    BLOCK_ROWS, DIGITS, _as_pairs, _best, _cells, block_of, matrix, numbered, unnumbered,
+)
 
 MAX_CENTROIDS = 2048
 
@@ -75,7 +77,8 @@ def nearest_pruned(
     block_rows: int = BLOCK_ROWS, seed: int = 7,
 ) -> DataFrame:
     """Same rows as ``nearest``: ``query_id, id, distance, rank``."""
-    q, d = _as_pairs(queries, query_key, vector), _as_pairs(docs, doc_key, vector)
+    q = reliable_checkpoint(numbered(_as_pairs(queries, query_key, vector)))
+    d = _as_pairs(docs, doc_key, vector)
     if n_clusters is None:
         n_clusters = min(MAX_CENTROIDS, max(1, int(math.sqrt(d.count()))))
     points = d.select(array_to_vector("vector").alias("features"))
@@ -127,4 +130,4 @@ def nearest_pruned(
 
     more = bounded.mapInArrow(open_clusters, "id string, vector array<float>, cluster int")
     second = _blocked(more, docs_c, sizes, k, block_rows)
-    return _best(first.unionByName(second), k)
+    return unnumbered(_best(first.unionByName(second), k))

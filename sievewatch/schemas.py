@@ -6,9 +6,10 @@ RULE = (
 )
 # rule.id and rule.level come as number or as string, so both are read as text.
 # `data` is an open object and stays JSON text.
+AGENT = "id STRING, name STRING, ip STRING"
 RAW_ALERT = (
     "id STRING, timestamp STRING, location STRING, full_log STRING, message STRING, "
-    f"rule STRUCT<{RULE}>, agent STRUCT<id: STRING, name: STRING, ip: STRING>, data STRING"
+    f"rule STRUCT<{RULE}>, agent STRUCT<{AGENT}>, data STRING"
 )
 # keys of `data` the jobs read
 ALERT_DATA = (

@@ -14,13 +14,30 @@ from ..functions.text import py_strip
 
 CORRUPT = "_corrupt"
 RAW_FIELDS = ["id", "timestamp", "location", "full_log", "message", "rule", "agent", "data"]
+# objects inside an alert: read as text, so that a field of another kind never spoils its line
+OBJECTS = {"rule": schemas.RULE, "agent": schemas.AGENT}
+_LINE = ", ".join(f"{f} STRING" for f in RAW_FIELDS)
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
-def read_alerts(spark: SparkSession, path: str, schema: str = schemas.RAW_ALERT) -> DataFrame:
-    """Readable alerts of a file or folder; blank and malformed lines are left out."""
-    df = spark.read.schema(f"{schema}, {CORRUPT} STRING").options(**_OPTIONS).json(path)
-    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+def readable(rows: DataFrame, witness: str) -> DataFrame:
+    """Rows of well-formed lines. The second test never holds; it makes the reader parse a line
+    also for jobs that ask for no column at all, such as a count."""
+    return rows.where(F.col(CORRUPT).isNull() | (F.col(witness) == F.col(CORRUPT))).drop(CORRUPT)
+
+
+def with_objects(rows: DataFrame, objects: dict[str, str]) -> DataFrame:
+    """Parse object columns from their text; what does not fit becomes null, field by field."""
+    return rows.withColumns({name: F.from_json(name, layout) for name, layout in objects.items()})
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Readable alerts of a file or folder; blank and malformed lines are left out.
+
+    Which rows come back does not depend on the columns asked for: every well-formed line is a row.
+    """
+    df = spark.read.schema(f"{_LINE}, {CORRUPT} STRING").options(**_OPTIONS).json(path)
+    return with_objects(readable(df, "id"), OBJECTS)
 
 
 def stream_alerts(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -28,10 +45,10 @@ def stream_alerts(spark: SparkSession, folder: str, max_files: int | None = None
 
     ``max_files`` limits the files of one micro-batch.
     """
-    reader = spark.readStream.schema(f"{schemas.RAW_ALERT}, {CORRUPT} STRING").options(**_OPTIONS)
+    reader = spark.readStream.schema(f"{_LINE}, {CORRUPT} STRING").options(**_OPTIONS)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(folder).where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    return with_objects(readable(reader.json(folder), "id"), OBJECTS)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -50,16 +67,14 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return (
         lines.select(py_strip(value).alias("line"))
         .where(F.length("line") > 0)
-        .select("line", F.from_json("line", f"{schemas.RAW_ALERT}, {CORRUPT} STRING", _OPTIONS)
-                .alias("alert"))
+        .select("line", F.from_json("line", f"{_LINE}, {CORRUPT} STRING", _OPTIONS).alias("alert"))
     )
 
 
 def alerts_of(parsed: DataFrame) -> DataFrame:
     """The readable alerts, one column per raw field."""
-    return parsed.select(f"alert.{CORRUPT}", *[f"alert.{f}" for f in RAW_FIELDS]).where(
-        F.col(CORRUPT).isNull()
-    ).drop(CORRUPT)
+    rows = parsed.select(f"alert.{CORRUPT}", *[f"alert.{f}" for f in RAW_FIELDS])
+    return with_objects(rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), OBJECTS)
 
 
 def rejected_lines(parsed: DataFrame) -> DataFrame:

@@ -274,6 +274,10 @@ SELECT doc_id, text || ' seen CVE-' || CAST(2000 + (doc_id * 2) % 25 AS STRING)
 DERIVED["inventory"] = """
 SELECT 'host-' || CAST(l_suppkey AS STRING) AS host, lower(p_brand) AS vendor,
   replace(p_name, ' ', '_') AS product FROM lineitem JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT 'host-' || CAST(p_size AS STRING), lower(p_brand),
+  CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'x6' WHEN 1 THEN 'y1' WHEN 2 THEN 'tool_45' ELSE 'x3' END
+  FROM part WHERE p_partkey % 20 < 4
+UNION ALL SELECT 'host-' || CAST(s_suppkey AS STRING), 'fourth', 'config' FROM supplier
 """
 
 # --- vector collections --------------------------------------------------------------------
@@ -361,7 +365,7 @@ NEEDS = {
     "cve_docs": ["cves"],
     "cve_requests": ["orders"],
     "notes": ["documents"],
-    "inventory": ["lineitem", "part"],
+    "inventory": ["lineitem", "part", "supplier"],
     "alerts": ["events"],
     "raw_fields": ["alerts"],
     "raw_lines": ["raw_fields"],

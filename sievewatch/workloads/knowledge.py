@@ -164,6 +164,11 @@ SEVERITY = "CASE WHEN metric_key IS NULL THEN 'UNKNOWN' ELSE band END"
 SCORE = "CASE WHEN metric_key IS NULL THEN 0.0::DOUBLE ELSE base_score END"
 WEAK = """list_concat(['CWE-' || CAST(p_size AS STRING), 'CWE-79', 'CWE-79'],
   CASE WHEN wide THEN ['CWE-20'] ELSE [] END)"""
+# every product of a feed item, beyond what the texts show
+ALL_PRODUCTS = """list_distinct(list_concat([vendor || ' ' || product, 'late late',
+    vendor || ' tool_' || CAST(p_size AS STRING)], CASE WHEN wide THEN list_concat(['fourth config'],
+    [vendor || ' x' || CAST(i AS STRING) FOR i IN range(1, 7)],
+    [vendor || ' y' || CAST(i AS STRING) FOR i IN range(1, 7)]) ELSE [] END))"""
 PRODUCTS = """list_concat([vendor || ' ' || product, vendor || ' tool_' || CAST(p_size AS STRING)],
   CASE WHEN wide THEN [vendor || ' x1', vendor || ' y1', vendor || ' x2', vendor || ' y2',
     vendor || ' x3', vendor || ' y3', vendor || ' x4', vendor || ' y4'] ELSE [] END)"""
@@ -286,10 +291,10 @@ R.add("v13_software_match", f"""
 , inv AS (SELECT vendor, product, count(DISTINCT host) AS n_hosts FROM inventory
   GROUP BY vendor, product),
 named AS (SELECT cve_id, {SEVERITY} AS severity, {SCORE} AS cvss_score,
-    unnest({PRODUCTS}) AS vp FROM cves)
+    unnest({ALL_PRODUCTS}) AS vp FROM cves)
 SELECT vendor, product, n_hosts, cve_id, severity, cvss_score FROM inv
 JOIN named ON vp = vendor || ' ' || product""", "inventory", "cves")(
-    lambda t: vu.match_software(t.inventory, vu.with_facts(items(t)))
+    lambda t: vu.match_software(t.inventory, vu.software_facts(items(t)))
 )
 
 R.add("v14_first_cves", f"""

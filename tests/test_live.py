@@ -23,16 +23,16 @@ def test_save_alerts_first_write_wins(spark, tmp_path):
         stores.save_alerts(spark, stores.alert_records(more.unionByName(more), at("2024-01-02")), path)
     got = spark.read.parquet(path)
     assert got.count() == 5 and got.where("created_at < '2024-01-02'").count() == 2
-    row = got.where("id = '1717000001'").first()
-    assert (row.severity, row.rule_level, row.agent_name) == ("UNKNOWN", 10, "web-server-prod")
-    assert json.loads(row.raw_data)["rule"]["id"] == "5712"
+    row = got.where("id = '7301'").first()
+    assert (row.severity, row.rule_level, row.agent_name) == ("UNKNOWN", 11, "edge-gw")
+    assert json.loads(row.raw_data)["rule"]["id"] == "40111"
 
 
 def test_stored_range_prunes_days(spark, tmp_path, capsys):
     raw = src.read_alerts(spark, write_lines(tmp_path / "a.json", SIEM_ALERTS))
     path = str(tmp_path / "table")
     stores.save_alerts(spark, stores.alert_records(raw), path)
-    df = stores.stored_between(spark.read.parquet(path), "2024-05-30T15:00", "2024-05-30T17:00")
+    df = stores.stored_between(spark.read.parquet(path), "2025-03-04T09:00", "2025-03-04T11:00")
     assert df.count() == 2
     df.explain("formatted")
     assert "PartitionFilters: [isnotnull(day" in capsys.readouterr().out

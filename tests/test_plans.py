@@ -158,18 +158,18 @@ def test_file_rules(spark):
 
 def test_log_rules(spark):
     lines = spark.createDataFrame([
-        ("Jun 19 10:31:08 node1 sshd[19304]: error: maximum authentication attempts exceeded for root "
-         "from 192.168.80.129 port 46018 ssh2",),
-        ("ossec: output: 'df -P': /dev/sda1 100G 91G 9G 91% /",),
-        ("ossec: output: 'df -P': /dev/sdb1 100G 85G 15G 85% /var",),
-        ("ossec: rootcheck: Hidden PID detected: 1234. Process not visible in /proc filesystem.",),
+        ("Feb 03 04:05:06 relay sshd[211]: error: maximum authentication attempts exceeded for olga "
+         "from 203.0.113.8 port 50022 ssh2",),
+        ("ossec: output: 'df -P': /dev/vda2 40G 37G 3G 92% /",),
+        ("ossec: output: 'df -P': /dev/vdb1 80G 69G 11G 86% /srv",),
+        ("ossec: rootcheck: Hidden PID detected: 8806. Process not visible in /proc filesystem.",),
     ], "raw_log STRING")
     ssh = dt.decode_sshd(lines).where("ip IS NOT NULL").first()
     assert (ssh.user, ssh.ip, ssh.port, ssh.service, ssh.process) == (
-        "root", "192.168.80.129", 46018, "ssh2", "sshd")
+        "olga", "203.0.113.8", 50022, "ssh2", "sshd")
     disks = {(r.mount, r.usage_percent, r.state) for r in dt.disk_alerts(lines).collect()}
-    assert disks == {("/", 91, "full"), ("/var", 85, "high")}
-    assert [r.hidden_pid for r in dt.rootkit_signs(lines).collect()] == [1234]
+    assert disks == {("/", 92, "full"), ("/srv", 86, "high")}
+    assert [r.hidden_pid for r in dt.rootkit_signs(lines).collect()] == [8806]
 
 
 def test_limits_per_period(spark):
@@ -184,3 +184,17 @@ def test_limits_per_period(spark):
                                    F.timestamp_seconds(F.lit(5)).alias("ts"))
     assert dt.port_scans(scan.unionByName(scan), "src", "port").first().ports == 101
     assert dt.port_scans(scan.limit(100), "src", "port").count() == 0
+
+
+@pytest.mark.parametrize("layout", [{}, {"broadcast_bytes": 2000}, {"broadcast_bytes": 0, "block_rows": 5}])
+def test_repeated_ids_in_every_layout(spark, layout):
+    docs = [("d0", [0.0, 0.0]), ("d0", [1.0, 0.0]), ("d1", [5.0, 5.0])] + [(f"e{i}", [9.0 + i, 9.0]) for i in range(40)]
+    asked = [("q", [0.0, 0.0]), ("q", [0.0, 0.0]), ("q", [5.0, 5.0]), (None, [1.0, 1.0]), ("n", None)]
+    d = spark.createDataFrame(docs, "id STRING, embedding ARRAY<FLOAT>")
+    q = spark.createDataFrame(asked, "query_id STRING, embedding ARRAY<FLOAT>")
+    got = sorted((r.query_id, r.rank, r.id, r.distance) for r in nn.nearest(q, d, 2, **layout).collect())
+    assert got == [("q", 1, "d0", 0.0), ("q", 1, "d0", 0.0), ("q", 1, "d1", 0.0),
+                   ("q", 2, "d0", 1.0), ("q", 2, "d0", 1.0), ("q", 2, "e0", 32.0)]
+    ragged = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "id STRING, embedding ARRAY<FLOAT>")
+    with pytest.raises(ValueError, match="different lengths"):
+        nn.nearest(q, ragged, 2, **layout).collect()
