@@ -111,11 +111,12 @@ def file_hash() -> Column:
 def normalise(raw: DataFrame, ingest_time: Column | None = None) -> DataFrame:
     """Project raw alerts to the normalised schema.
 
-    A missing id becomes a hash of the content and a missing time the ``ingest_time``, so that a
+    A missing id becomes a hash of the content (of the whole ``line`` where the reader kept it, so
+    that keys outside the raw fields count too) and a missing time the ``ingest_time``, so that a
     rerun gives the same row. Columns other than the raw fields are carried along.
     """
     keep = [c for c in raw.columns if c not in RAW_FIELDS]
-    content = F.to_json(F.struct(*RAW_FIELDS))
+    content = F.col("line") if "line" in keep else F.to_json(F.struct(*RAW_FIELDS))
     now = ingest_time if ingest_time is not None else F.current_timestamp()
     null_int = F.lit(None).cast("int")
     fallback_id = F.concat(F.lit("alert-"), F.sha2(content, 256))

@@ -10,8 +10,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..functions.text import iso_timestamp
 from ..plans.row_ids import with_row_ids
 from ..sources.alerts import RAW_FIELDS
+from .normalise import rule_level
 
 
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -25,8 +27,12 @@ def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def alert_records(raw: DataFrame, created_at: Column | None = None) -> DataFrame:
-    """Raw alerts in table shape; missing fields become '' or 0, the severity 'UNKNOWN'."""
-    extra = [c for c in raw.columns if c not in RAW_FIELDS]
+    """Raw alerts in table shape; missing fields become '' or 0, the severity 'UNKNOWN'.
+
+    ``raw_data`` is the whole source line if the reader kept it (``read_whole_alerts``), else what
+    the raw fields hold of it.
+    """
+    extra = [c for c in raw.columns if c not in RAW_FIELDS and c != "line"]
     empty = F.lit("")
     severity = F.col("severity") if "severity" in raw.columns else F.lit(None).cast("string")
     whole = F.struct(*[c for c in RAW_FIELDS if c in raw.columns])
@@ -35,12 +41,12 @@ def alert_records(raw: DataFrame, created_at: Column | None = None) -> DataFrame
         F.coalesce("id", empty).alias("id"),
         F.coalesce("timestamp", empty).alias("timestamp"),
         F.coalesce("rule.id", empty).alias("rule_id"),
-        F.coalesce(F.col("rule.level").try_cast("int"), F.lit(0)).alias("rule_level"),
+        F.coalesce(rule_level("rule.level"), F.lit(0)).alias("rule_level"),
         F.coalesce("rule.description", empty).alias("description"),
         F.coalesce("agent.name", empty).alias("agent_name"),
         F.coalesce("agent.ip", empty).alias("agent_ip"),
         F.coalesce(severity, F.lit("UNKNOWN")).alias("severity"),
-        F.to_json(whole).alias("raw_data"),
+        (F.col("line") if "line" in raw.columns else F.to_json(whole)).alias("raw_data"),
         (created_at if created_at is not None else F.current_timestamp()).alias("created_at"),
     )
 
@@ -80,21 +86,31 @@ def save_alerts(spark: SparkSession, records: DataFrame, path: str,
                 arrival: str | None = None) -> None:
     """Append the alerts whose id is not stored yet (the first write wins).
 
-    The table is partitioned by the day of the alert, so that reads of a time range touch only
-    the folders of its days.
+    The table is partitioned by the UTC day of the alert, so that reads of a time range touch only
+    the folders of its days; alerts whose time cannot be read lie in the folder without a day.
     """
     table = read_table(spark, path, schemas.ALERTS_TABLE)
     columns = [c for c in table.columns if c != "day"]
-    day = F.left("timestamp", F.lit(10)).try_cast("date").alias("day")
+    day = F.to_date(iso_timestamp("timestamp")).alias("day")
     new_records(records, table, arrival).select(*columns, day).write.mode("append").partitionBy(
         "day"
     ).parquet(path)
 
 
 def stored_between(table: DataFrame, start: str, end: str) -> DataFrame:
-    """Stored alerts with ``start <= timestamp < end`` (ISO text, one zone); days are pruned."""
-    days = F.col("day").between(F.lit(start[:10]).cast("date"), F.lit(end[:10]).cast("date"))
-    return table.where(days & (F.col("timestamp") >= start) & (F.col("timestamp") < end))
+    """Stored alerts with ``start <= time < end``, compared as instants; days are pruned.
+
+    ``start`` and ``end`` are ISO text, in UTC unless they name an offset.
+    """
+    low, high = (F.lit(x).cast("timestamp") for x in (start, end))
+    days = F.col("day").between(F.to_date(low), F.to_date(high))
+    ts = iso_timestamp("timestamp")
+    return table.where(days & (ts >= low) & (ts < high))
+
+
+def stored_without_time(table: DataFrame) -> DataFrame:
+    """Stored alerts whose time cannot be read; no range read returns them."""
+    return table.where(F.col("day").isNull())
 
 
 def _append_numbered(spark, rows: DataFrame, path: str, ddl: str, order: list[str]) -> None:

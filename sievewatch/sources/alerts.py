@@ -71,12 +71,19 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def alerts_of(parsed: DataFrame) -> DataFrame:
-    """The readable alerts, one column per raw field."""
-    rows = parsed.select(f"alert.{CORRUPT}", *[f"alert.{f}" for f in RAW_FIELDS])
+def alerts_of(parsed: DataFrame, with_line: bool = False) -> DataFrame:
+    """The readable alerts, one column per raw field; ``with_line`` keeps the whole source line,
+    for jobs that store alerts or need an id from all their keys."""
+    line = ["line"] if with_line else []
+    rows = parsed.select(*line, f"alert.{CORRUPT}", *[f"alert.{f}" for f in RAW_FIELDS])
     return with_objects(rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT), OBJECTS)
 
 
+def read_whole_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """``read_alerts`` with the source line of each alert."""
+    return alerts_of(parse_lines(read_lines(spark, path)), with_line=True)
+
+
 def rejected_lines(parsed: DataFrame) -> DataFrame:
     """The lines a reader would silently drop."""
     return parsed.where(F.col(f"alert.{CORRUPT}").isNotNull()).select("line")

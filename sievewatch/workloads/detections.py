@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detections as dt, stores
 from ..session import scratch_path
+from ..sources import alerts as src
 from .alerts import raw
 from .inputs import Registry
 
@@ -185,7 +186,7 @@ FROM (SELECT * FROM seen WHERE snap = 'old') o FULL JOIN (SELECT * FROM seen WHE
 def saved_alerts(t):
     """Save the failures with a severity first, then all alerts twice."""
     path = scratch_path(t.spark, "alerts")
-    rows = raw(t)
+    rows = src.read_whole_alerts(t.spark, t.landed("raw_lines"))
     early = rows.where(F.array_contains("rule.groups", "sshd")).withColumn("severity", F.lit("HIGH"))
     at = lambda text: F.lit(text).cast("timestamp")
     stores.save_alerts(t.spark, stores.alert_records(early, at("2024-02-01 00:00:00")), path)
@@ -199,10 +200,11 @@ def saved_alerts(t):
 R.add("s6_save_alerts", """
 SELECT alert_id AS id, timestamp, rule_id, rule_level, description, agent_name, agent_ip,
   CASE WHEN event_type = 'error' THEN 'HIGH' ELSE 'UNKNOWN' END AS severity,
-  CASE WHEN event_type = 'error' THEN '2024-02-01' ELSE '2024-02-02' END AS saved_on
-FROM alerts""", "alerts")(
+  CASE WHEN event_type = 'error' THEN '2024-02-01' ELSE '2024-02-02' END AS saved_on,
+  value AS raw_data
+FROM alerts a JOIN raw_lines r ON a.seq = r.seq""", "alerts", "raw_lines")(
     lambda t: saved_alerts(t).withColumn("saved_on", F.date_format("created_at", "yyyy-MM-dd"))
-    .drop("raw_data", "created_at", "day")
+    .drop("created_at", "day")
 )
 
 

@@ -155,3 +155,21 @@ def test_tail_from_the_end(tmp_path):
     assert reader.initialOffset() == {"byte": 4} == reader.latestOffset()
     assert tail.TailReader(str(log), False, 1).initialOffset() == {"byte": 0}
     assert tail.TailReader(str(tmp_path / "none"), True, 1).latestOffset() == {"byte": 0}
+
+
+def test_whole_line_and_instants(spark, tmp_path):
+    lines = ['{"timestamp": "2024-05-30T23:30:00-0500", "rule": {"id": "1", "firedtimes": 3}}',
+             '{"timestamp": "2024-05-30T23:30:00-0500", "rule": {"id": "1", "firedtimes": 4}, "manager": {"name": "m"}}',
+             '{"id": "x", "timestamp": "yesterday", "rule": {"level": "7.9"}}']
+    (tmp_path / "a.json").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    raw = src.read_whole_alerts(spark, str(tmp_path / "a.json"))
+    ids = [r.alert_id for r in nz.normalise(raw).collect()]
+    assert len(set(ids)) == 3 and ids == [r.alert_id for r in nz.normalise(raw).collect()]
+    named = raw.withColumn("id", F.coalesce("id", F.sha2("line", 256)))
+    path = str(tmp_path / "table")
+    stores.save_alerts(spark, stores.alert_records(named), path)
+    table = spark.read.parquet(path)
+    assert {r.raw_data for r in table.collect()} == set(lines)
+    assert stores.stored_between(table, "2024-05-31T04:00", "2024-05-31T05:00").count() == 2
+    assert stores.stored_between(table, "2024-05-30T23:00", "2024-05-31T00:00").count() == 0
+    assert [(r.id, r.rule_level) for r in stores.stored_without_time(table).collect()] == [("x", 7)]
