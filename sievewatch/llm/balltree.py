@@ -98,7 +98,7 @@ def _cell(k: int):
         s = Search(
             _matrix(shard["vector"]), np.asarray(shard["id"], np.int64), np.asarray(shard["key"], np.int64),
             _matrix(queries["vector"]), q_key, floor, k)
-        at, place = np.nonzero(s.key >= 0)
+        at, place = np.nonzero(s.score > _NONE)
         good = s.score[at, place] >= floor[at]
         at, place = at[good], place[good]
         return pa.table({

@@ -68,16 +68,18 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROU
 def even_shards(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """``v, shard, slot``: shards whose counts differ by at most one, slots without gaps from 0.
 
-    Label propagation first; then the nodes are laid out by label and, within it, by their smallest neighbour, so that
-    linked nodes lie side by side, and this order is cut into equal parts. Only links across
+    Label propagation first; then each node is laid next to its smallest neighbour (or itself), in the order of
+    that neighbour's label, so that linked nodes lie side by side, and this order is cut into equal parts. Only links across
     a cut, or between nodes that no shard could hold together, stay cut. The order comes
     from range partitions; a group of any size is split between them.
     """
     labels = propagate(nodes, links, shards, rounds)
     both = links.select("a", "b").union(links.select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    laid = labels.join(least, labels["v"] == least["a"], "left").select(
-        "v", "shard", F.least("v", F.coalesce("m", "v")).alias("anchor"))
+    anchored = labels.join(least, labels["v"] == least["a"], "left").select(
+        "v", F.least("v", F.coalesce("m", "v")).alias("anchor"))
+    where = labels.select(F.col("v").alias("_v"), "shard")
+    laid = anchored.join(where, anchored["anchor"] == where["_v"]).select("v", "shard", "anchor")
     n = laid.count()
     numbered = with_row_ids(laid, ["shard", "anchor", "v"], start=-1, name="_at")
     shard = F.expr(f"cast(_at * {shards}L div {max(n, 1)}L as int)")
