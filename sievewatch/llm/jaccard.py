@@ -5,8 +5,9 @@ tokens are ordered: those whose hash lies in the lowest ``1/LOW_SHARE`` of the h
 rare before frequent (number of sets, capped at ``COMMON``), then the rest by hash. If two sets have
 similarity ``t`` or more, the first ``n - ceil(t n) + l`` tokens of both share at least ``l`` tokens,
 for each ``l``. Each set picks its own ``l`` by estimated cost, and a pair is verified when it shares as many prefix
-tokens as the smaller ``l`` of the two asks for. Only the low range has to be counted, and
-tokens of one set alone never leave the counting stage.
+tokens as the smaller ``l`` of the two asks for. Only the low range has to be counted for all sets;
+those that may have a partner after that are counted again with all their tokens. Tokens of one set
+alone never leave the counting stage, and shared tokens are enough for the verification.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import reliable_checkpoint
 from .common import bounded_batches, components, stored
@@ -28,7 +29,8 @@ VERIFY_COST = 8  # a verification in list entries
 PART_TOKENS = 1 << 20  # counted tokens of one partition, on average
 SPLIT = 1 << 12  # cells of the hash range that partitions are made of
 BROADCAST_IDS = 2_000_000  # ids (8 bytes) that may be broadcast
-STAR_ROUNDS = 3
+STAR_ROUNDS = 3  # most rounds of stars before pairs are made
+PAIRS_AT_ONCE = 200_000  # pairs of list entries, beside twice their number, that need no stars first
 _LIMIT = np.uint64((1 << 64) // LOW_SHARE)
 
 
@@ -37,50 +39,65 @@ def _need(n, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
+def _kept(tokens: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """Number of low tokens, and the tokens a prefix may need beyond them."""
+    low = int(np.searchsorted(tokens, _LIMIT))
+    return low, tokens[low : max(low, min(len(tokens), _need(len(tokens), percent) + MOST_MATCHES - 1))]
+
+
 def _sketch(percent: int, k: int):
-    """Rows of texts to rows of counted tokens: one row per batch and cell, and one per text."""
+    """Texts to sets: digest, size, low tokens, and the further tokens a prefix may need."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b["text"].to_pylist(), k)
-            keys = [digest(s) for s in sets]
-            n = np.array([len(s) for s in sets], np.int64)
-            kept = []
-            for s in sets:
-                low = int(np.searchsorted(s, _LIMIT))
-                kept.append(s[: max(low, min(len(s), _need(len(s), percent) + MOST_MATCHES - 1))])
+            cut = [_kept(s, percent) for s in sets]
             yield pa.RecordBatch.from_pydict({
-                "id": b["id"], "v": pa.array(keys, pa.binary()), "n": pa.array(n),
-                "low": pa.array([s.astype("<u8").tobytes() for s in kept], pa.binary()),
+                "id": b["id"], "v": pa.array([digest(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "n_low": pa.array([n for n, _ in cut], pa.int64()),
+                "low": pa.array([s[:n].astype("<u8").tobytes() for s, (n, _) in zip(sets, cut, strict=True)], pa.binary()),
+                "extra": pa.array([x.astype("<u8").tobytes() for _, x in cut], pa.binary()),
             })
 
     return rows
 
 
-def _to_cells(parts: int):
-    """Sets to ``(part, tokens, owner, keys)``: the counted tokens of a batch, dealt by hash range."""
+def _dealt(keys: list[bytes], sets: list[np.ndarray], parts: int, limit: int) -> pa.RecordBatch:
+    """``(part, tokens, owner, keys)``: the tokens of a batch of sets, dealt by hash range."""
+    width = np.uint64(limit // parts + 1)
+    tokens = np.concatenate([np.zeros(0, "<u8"), *sets])
+    owner = np.repeat(np.arange(len(sets), dtype="<u4"), [len(s) for s in sets])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    cuts = np.searchsorted(tokens, np.arange(1, parts, dtype=np.uint64) * width)
+    out = {"part": [], "tokens": [], "owner": [], "keys": []}
+    for p, (t, o) in enumerate(zip(np.split(tokens, cuts), np.split(owner, cuts), strict=True)):
+        if len(t):
+            seen, local = np.unique(o, return_inverse=True)
+            out["part"].append(p)
+            out["tokens"].append(t.tobytes())
+            out["owner"].append(local.astype("<u2").tobytes())  # a batch has at most 4096 rows
+            out["keys"].append(b"".join(keys[i] for i in seen))
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array(out["part"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("tokens", "owner", "keys")}})
+
+
+_CELLS = "part int, tokens binary, owner binary, keys binary"
+
 
+def _low_to_cells(parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _LIMIT // np.uint64(parts) + np.uint64(1)
         for b in batches:
-            keys = b["v"].to_pylist()
-            sets = [np.frombuffer(x, "<u8") for x in b["low"].to_pylist()]
-            sets = [s[: np.searchsorted(s, _LIMIT)] for s in sets]
-            tokens = np.concatenate([np.zeros(0, "<u8"), *sets])
-            owner = np.repeat(np.arange(len(sets), dtype="<u4"), [len(s) for s in sets])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            cuts = np.searchsorted(tokens, np.arange(1, parts, dtype=np.uint64) * width)
-            out = {"part": [], "tokens": [], "owner": [], "keys": []}
-            for p, (t, o) in enumerate(zip(np.split(tokens, cuts), np.split(owner, cuts), strict=True)):
-                if len(t):
-                    seen, local = np.unique(o, return_inverse=True)
-                    out["part"].append(p)
-                    out["tokens"].append(t.tobytes())
-                    out["owner"].append(local.astype("<u4").tobytes())
-                    out["keys"].append(b"".join(keys[i] for i in seen))
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(out["part"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("tokens", "owner", "keys")}})
+            yield _dealt(b["v"].to_pylist(), [np.frombuffer(x, "<u8") for x in b["low"].to_pylist()], parts, int(_LIMIT))
+
+    return rows
+
+
+def _text_to_cells(parts: int, k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = shingle_sets(b["text"].to_pylist(), k)
+            yield _dealt([digest(s) for s in sets], sets, parts, 1 << 64)
 
     return rows
 
@@ -90,7 +107,7 @@ def _count(table: pa.Table) -> pa.Table:
     tokens, owner, keys, base = [], [], [], 0
     for t, o, k in zip(table["tokens"].to_pylist(), table["owner"].to_pylist(), table["keys"].to_pylist(), strict=True):
         tokens.append(np.frombuffer(t, "<u8"))
-        owner.append(np.frombuffer(o, "<u4").astype(np.int64) + base)
+        owner.append(np.frombuffer(o, "<u2").astype(np.int64) + base)
         keys.append(np.frombuffer(k, "V16"))
         base += len(keys[-1])
     tokens, owner, keys = np.concatenate(tokens), np.concatenate(owner), np.concatenate(keys)
@@ -117,73 +134,84 @@ def _count(table: pa.Table) -> pa.Table:
 
 
 def _prefixes(percent: int):
-    """Sets with their shared tokens to prefix rows ``(v, n, u, l, token)``."""
+    """Sets with their shared tokens to prefix rows ``(v, n, u, l, token)``.
+
+    ``counted`` tokens of a set were counted; those that are not among ``tokens`` are held by it alone (``u``).
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = {"v": [], "n": [], "u": [], "l": [], "token": []}
-            for v, n, low, tokens, held in zip(*(b[c].to_pylist() for c in ("v", "n", "low", "tokens", "held")), strict=True):
-                low = np.frombuffer(low, "<u8")
-                counted = int(np.searchsorted(low, _LIMIT))
+            for v, n, counted, extra, tokens, held in zip(
+                    *(b[c].to_pylist() for c in ("v", "n", "counted", "extra", "tokens", "held")), strict=True):
                 t = np.frombuffer(b"".join(tokens or []), "<u8")
                 h = np.frombuffer(b"".join(held or []), "<u2")
-                alone, p = counted - len(t), _need(n, percent)
-                room = p - alone  # prefix tokens left for shared ones
+                more = np.frombuffer(extra, "<u8")
+                alone = counted - len(t)
+                room = _need(n, percent) - alone  # prefix tokens left for shared ones
                 if room <= 0:
                     continue
                 order = np.lexsort((t, h))
-                t = np.r_[t[order], low[counted:]][: room + MOST_MATCHES - 1]
-                h = np.r_[h[order], np.full(len(low) - counted, COMMON)][: room + MOST_MATCHES - 1]
+                t = np.r_[t[order], more][: room + MOST_MATCHES - 1]
+                h = np.r_[h[order], np.full(len(more), COMMON)][: room + MOST_MATCHES - 1]
+                if not len(t):
+                    continue
                 work = np.cumsum(h.astype(np.int64) - 1)
                 best = min(
-                    range(1, MOST_MATCHES + 1),
-                    key=lambda m: work[min(room + m - 1, len(t)) - 1] * (1 + VERIFY_COST / m) if len(t) else 0)
+                    range(1, MOST_MATCHES + 1), key=lambda m: work[min(room + m - 1, len(t)) - 1] * (1 + VERIFY_COST / m))
                 best = max(1, min(best, len(t) - room + 1))
                 for x in t[: room + best - 1].view("<i8").tolist():
                     for c, y in (("v", v), ("n", n), ("u", alone), ("l", best), ("token", x)):
                         out[c].append(y)
             yield pa.RecordBatch.from_pydict({
-                "v": pa.array(out["v"], pa.binary()), "n": pa.array(out["n"], pa.int64()), "u": pa.array(out["u"], pa.int32()),
+                "v": pa.array(out["v"], pa.binary()), "n": pa.array(out["n"], pa.int64()), "u": pa.array(out["u"], pa.int64()),
                 "l": pa.array(out["l"], pa.int32()), "token": pa.array(out["token"], pa.int64())})
 
     return rows
 
 
-def _full_sets(k: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(b["text"].to_pylist(), k)
-            yield pa.RecordBatch.from_pydict({
-                "v": pa.array([digest(s) for s in sets], pa.binary()),
-                "tokens": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
+def _busy(index: DataFrame) -> DataFrame:
+    """Prefix rows whose token is in two prefixes or more."""
+    tokens = index.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    return index.join(tokens, "token")
 
-    return rows
+
+def _index(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Prefix rows of ``sets (v, n, counted, extra)``, and the shared tokens of each set.
+
+    A cell range holds the tokens of one hash range; a set has at most one row per range afterwards.
+    """
+    shared = cells.groupBy("part").applyInArrow(_count, "v binary, tokens binary, held binary")
+    per_set = shared.groupBy("v").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("held").alias("held"))
+    both = sets.join(per_set, "v", "left")
+    return both.mapInArrow(_prefixes(percent), "v binary, n long, u long, l int, token long"), both
 
 
 def _linked(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
-            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
+            for x, y, n, m in zip(*(b[c].to_pylist() for c in ("x", "y", "n", "m")), strict=True):
+                both = np.frombuffer(x + y, "<u8")
+                both = np.sort(both)
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * common >= percent * (len(both) - common))
+                good.append(100 * common >= percent * (n + m - common))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return rows
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of sets whose similarity holds."""
-    left = pairs.join(sets.select(F.col("v").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("v").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a binary, b binary")
+    """The pairs ``(a, b)`` of sets whose similarity holds; tokens of one set alone cannot be common."""
+    left = pairs.join(sets.select(F.col("v").alias("a"), F.col("n"), F.col("tokens").alias("x")), "a")
+    both = left.join(sets.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
+    return both.select("a", "b", "x", "y", "n", "m").mapInArrow(_linked(percent), "a binary, b binary")
 
 
-def _sizes_fit(percent: int, x: str, y: str):
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+def _may_link(percent: int, n: str, u: str, m: str, w: str) -> Column:
+    """Sizes ``n, m`` with ``u, w`` tokens of their own leave room for the overlap that is needed."""
+    most = F.least(F.col(n) - F.col(u), F.col(m) - F.col(w))
+    return most * (100 + percent) >= (F.col(n) + F.col(m)) * percent
 
 
 def near_duplicates(
@@ -202,7 +230,7 @@ def near_duplicates(
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = stored(rows.mapInArrow(_sketch(percent, k), f"id {rows.schema['id'].dataType.simpleString()}, v binary, n long, low binary"), "sets")
+    base = stored(rows.mapInArrow(_sketch(percent, k), f"id {rows.schema['id'].dataType.simpleString()}, v binary, n long, n_low long, low binary, extra binary"), "sets")
     classes = base.where("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     links = set_links(rows, base, classes, k, percent)
     roots = components(links)
@@ -214,59 +242,70 @@ def near_duplicates(
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _parts(tokens: int | None) -> int:
+    return int(min(SPLIT, max(64, (tokens or 0) // PART_TOKENS)))
+
+
 def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` between different sets that give the same components as all links."""
     spark = rows.sparkSession
-    counted = base.agg(F.sum(F.length("low")).alias("bytes")).first().bytes or 0
-    parts = int(min(SPLIT, max(64, counted // 8 // PART_TOKENS)))
-    shared = (
-        base.where("n > 0").select("v", "low").mapInArrow(_to_cells(parts), "part int, tokens binary, owner binary, keys binary")
-        .groupBy("part").applyInArrow(_count, "v binary, tokens binary, held binary")
-    )
-    # a set has at most one row per part here
-    per_set = shared.groupBy("v").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("held").alias("held"))
-    one = base.where("n > 0").groupBy("v").agg(F.min("n").alias("n"), F.min("low").alias("low"))
-    index = stored(
-        one.join(per_set, "v", "left").mapInArrow(_prefixes(percent), "v binary, n long, u int, l int, token long"), "prefixes")
-    busy = index.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    index = stored(index.join(busy, "token"), "lists")
-    members = index.select("v").distinct()
-    # full sets of the indexed vertices, from the texts of one row each
+    real = base.where("n > 0")
+    tokens = real.agg(F.sum("n_low").alias("low"), F.sum("n").alias("all")).first()
+    parts = _parts(tokens.low)
+    # first with the low tokens of all sets ...
+    cells = real.select("v", "low").mapInArrow(_low_to_cells(parts), _CELLS)
+    sets = real.groupBy("v").agg(F.min("n").alias("n"), F.min("n_low").alias("counted"), F.min("extra").alias("extra"))
+    members = stored(_busy(_index(cells, sets, percent)[0]).select("v").distinct(), "members")
+    # ... then with all tokens of the sets that may have a partner: one text each
     ids = classes.join(members, "v").select(F.col("id").alias("_id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(ids), rows["id"].eqNullSafe(F.col("_id")), "left_semi") if few else rows
-    sets = texts.select("text").mapInArrow(_full_sets(k), "v binary, tokens binary")
-    sets = stored(sets.join(members, "v", "left_semi").dropDuplicates(["v"]), "fullsets")
+    cells = texts.select("text").mapInArrow(_text_to_cells(_parts(tokens.all), k), _CELLS)
+    sets = classes.join(members, "v").select("v", "n", F.col("n").alias("counted"), F.lit(b"").alias("extra"))
+    both = _index(cells, sets, percent)[1]
+    sets = stored(both, "sharedtokens")
+    index = stored(_busy(stored(sets.mapInArrow(_prefixes(percent), "v binary, n long, u long, l int, token long"), "prefixes")), "lists")
+    members = index.select("v").distinct()
+    joined = F.expr("aggregate(tokens, x'', (a, x) -> concat(a, x))")
+    sets = sets.join(members, "v", "left_semi").select("v", "n", joined.alias("tokens"))
 
     found = None
     comp = members.select("v", F.col("v").alias("comp"))
     lists = index.select("token", "v", "n", "u", "l")
-    for turn in range(STAR_ROUNDS + 1):
+    turn = 0
+    while True:
         lists_now = lists.join(comp, "v")
         open_tokens = lists_now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         open_tokens = open_tokens.where("lo != hi").select("token")
         lists_now = reliable_checkpoint(lists_now.join(open_tokens, "token"))
-        if lists_now.isEmpty():
+        cost = lists_now.groupBy("token").agg(F.count("*").alias("c")).agg(
+            F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+        if not cost.rows:
             break
-        if turn < STAR_ROUNDS:
+        stars = turn < STAR_ROUNDS and cost.pairs > PAIRS_AT_ONCE + 2 * cost.rows
+        if stars:
             # star: the set with the fewest tokens of its own, then others by a hash, is compared with all
             order = [F.col("u"), F.col("n")] if turn == 0 else [F.xxhash64("comp", F.lit(turn)), F.col("u")]
-            heads = lists_now.groupBy("token").agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("v"), F.col("n").alias("m"), F.col("comp").alias("hc"))).alias("h"))
-            heads = heads.select("token", F.col("h.v").alias("head"), F.col("h.m").alias("m"), F.col("h.hc").alias("hc"))
-            pairs = lists_now.join(heads, "token").where(_sizes_fit(percent, "n", "m") & (F.col("comp") != F.col("hc")))
+            own = [F.col("v"), F.col("n").alias("m"), F.col("u").alias("w"), F.col("comp").alias("hc")]
+            heads = lists_now.groupBy("token").agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *own)).alias("h"))
+            heads = heads.select("token", F.col("h.v").alias("head"), "h.m", "h.w", "h.hc")
+            pairs = lists_now.join(heads, "token").where(_may_link(percent, "n", "u", "m", "w") & (F.col("comp") != F.col("hc")))
             pairs = pairs.select(F.least("v", "head").alias("a"), F.greatest("v", "head").alias("b")).distinct()
         else:
             # what is left: pairs of different components with enough shared prefix tokens
             x, y = lists_now.alias("x"), lists_now.alias("y")
             pairs = (
                 x.join(y, F.col("x.token") == F.col("y.token"))
-                .where((F.col("x.v") < F.col("y.v")) & (F.col("x.comp") != F.col("y.comp")) & _sizes_fit(percent, "x.n", "y.n"))
+                .where((F.col("x.v") < F.col("y.v")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(percent, "x.n", "x.u", "y.n", "y.u"))
                 .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
                 .agg(F.count("*").alias("shared"), F.min(F.least("x.l", "y.l")).alias("asked"))
                 .where("shared >= asked").select("a", "b")
             )
         good = reliable_checkpoint(_verify(pairs, sets, percent))
         found = good if found is None else found.union(good)
+        if not stars:
+            break
+        turn += 1
         roots = components(found)
         comp = members.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("comp"))
     if found is None:

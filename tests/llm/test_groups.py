@@ -111,6 +111,7 @@ def brute_components(rows, k, percent):
 @pytest.mark.parametrize(("k", "percent", "rounds"), [(3, 90, 2), (5, 80, 2), (3, 90, 0), (2, 60, 1)])
 def test_jaccard(spark, monkeypatch, k, percent, rounds):
     monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", -1_000_000_000)
     rnd = random.Random(k * percent + rounds)
     words = [f"w{i}" for i in range(60)]
     passage = [rnd.choice(words) for _ in range(55)]
