@@ -8,9 +8,19 @@ from .. import schemas
 
 
 def read_stix_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of the bundle documents under ``path`` with their position."""
+    """Objects of the bundle documents under ``path`` with document name and position.
+
+    A multi-line document is read by one task; land large ones by line (``read_stix_lines``).
+    """
     docs = spark.read.schema(schemas.STIX_BUNDLE).json(path, multiLine=True)
-    return explode_bundle(docs)
+    return explode_bundle(docs.withColumn("doc", F.input_file_name()), ["doc"])
+
+
+def in_document_order(rows: DataFrame) -> DataFrame:
+    """Rows of several documents with a ``pos`` that orders all of them: by document name, then
+    position. The operators only compare positions, so "the last definition wins" and "first
+    groups" hold across documents."""
+    return rows.withColumn("pos", F.struct("doc", "pos"))
 
 
 def parse_stix_bundles(docs: DataFrame, text: str = "value") -> DataFrame:
@@ -31,13 +41,14 @@ def read_stix_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cve_feed(spark: SparkSession, path: str) -> DataFrame:
-    """CVE items of the feed documents under ``path``, without items that have no id."""
+    """CVE items of the feed documents under ``path`` with document name and position, without
+    items that have no id. A multi-line document is read by one task."""
     docs = spark.read.schema(schemas.CVE_FEED).json(path, multiLine=True)
-    return explode_feed(docs)
+    return explode_feed(docs.withColumn("doc", F.input_file_name()), ["doc"])
 
 
-def explode_feed(docs: DataFrame) -> DataFrame:
-    items = docs.select(F.posexplode("vulnerabilities").alias("pos", "v")).select("pos", "v.cve.*")
+def explode_feed(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    items = docs.select(*keep, F.posexplode("vulnerabilities").alias("pos", "v")).select(*keep, "pos", "v.cve.*")
     return items.where("id IS NOT NULL AND id <> ''")
 
 
@@ -52,8 +63,13 @@ def read_cve_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_feed(spark: SparkSession, landed: str, cache: str, reader) -> DataFrame:
-    """Parse a landed document once into Parquet and read that from then on."""
-    reader(spark, landed).write.mode("ignore").parquet(cache)
+    """Parse a landed document once into Parquet and read that from then on.
+
+    Only a cache that was written to its end counts; what a failed write left is replaced.
+    """
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        reader(spark, landed).write.mode("overwrite").parquet(cache)
     return spark.read.parquet(cache)
 
 

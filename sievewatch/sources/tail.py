@@ -1,7 +1,10 @@
 """``tail`` data source: follow one growing text file from any Spark streaming query.
 
-The offset is a byte position that always lies at a line end, so a restarted query goes on
-without loss or repeat. A batch is cut into byte ranges which the executors read; the driver
+The offset is a byte position that always lies at a line end, with the identity of the file (its
+inode), so a restarted query goes on without loss or repeat and a rotated file is read from its
+start however long it has grown. Lines added to the old file after the last batch and before the
+rotation are not seen; land rotated files in a folder where that matters. Every executor must be
+able to open the path. A batch is cut into byte ranges which the executors read; the driver
 looks only at the file size and the last bytes.
 """
 
@@ -43,15 +46,20 @@ class TailReader(DataSourceStreamReader):
         self.from_end = from_end
         self.range_bytes = range_bytes
 
+    def _file(self) -> int:
+        return os.stat(self.path).st_ino if os.path.exists(self.path) else 0
+
     def initialOffset(self) -> dict:
-        return {"byte": _last_line_end(self.path) if self.from_end else 0}
+        return {"byte": _last_line_end(self.path) if self.from_end else 0, "file": self._file()}
 
     def latestOffset(self) -> dict:
-        return {"byte": _last_line_end(self.path)}
+        return {"byte": _last_line_end(self.path), "file": self._file()}
 
     def partitions(self, start: dict, end: dict):
         first, last = start["byte"], end["byte"]
-        if last < first:  # the file was rotated: begin with the new file
+        # another file, or a cut one, took its place: begin with its first line
+        other = start.get("file", 0) not in (0, end.get("file", 0))
+        if last < first or other:
             first = 0
         return [
             ByteRange(pos, min(pos + self.range_bytes, last))

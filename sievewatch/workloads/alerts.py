@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import queue_band
 from ..operators import dashboard, normalise as nz, triage
-from ..sources import alerts as src
+from ..session import scratch_path
+from ..sources import alerts as src, feeds
 from .inputs import Registry
 
 R = Registry()
@@ -41,6 +42,23 @@ def triage_alerts(t):
 
 # --- sources -------------------------------------------------------------------------------
 
+def landed_flows(t):
+    """Line items as flow CSV files, with blanks in the header names as the public sets have them."""
+    path = scratch_path(t.spark, "flows")
+    t.lineitem.select(
+        F.concat(F.lit(" "), "l_returnflag", F.lit(" ")).alias(" Label"),
+        F.concat(F.lit("10.1."), F.col("l_suppkey").cast("string")).alias("Src IP "),
+        F.col("l_linenumber").cast("string").alias(" Dst Port"),
+        F.col("l_orderkey").cast("string").alias("Flow Duration"),
+    ).write.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+R.add("s5_read_flows", """
+SELECT l_returnflag AS label, '10.1.' || CAST(l_suppkey AS STRING) AS src_ip,
+  CAST(l_linenumber AS STRING) AS dst_port, CAST(l_orderkey AS STRING) AS flow_duration
+FROM lineitem""")(lambda t: feeds.flow_view(feeds.read_flows(t.spark, landed_flows(t))))
+
 R.add("s1_read_alert_lines", """
 SELECT CAST(seq AS STRING) AS id, 'agent-' AS agent_prefix, 1 AS n_rules FROM mixed_lines
 WHERE form > 2""", "mixed_lines")(

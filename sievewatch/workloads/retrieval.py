@@ -34,10 +34,13 @@ both_hits AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER B
 """
 
 
-R.add("r1_text_vectors")(
+R.add("r1_text_vectors", """
+SELECT doc_id, 256 AS dims,
+  CASE WHEN regexp_matches(text, '[\\p{L}\\p{Nd}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length
+FROM documents""")(
     lambda t: rv.text_vectors(rv.fit_text_vectors(t.documents), t.documents).select(
         "doc_id", F.size("embedding").alias("dims"),
-        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("norm2"),
+        F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 3).alias("length"),
     )
 )
 

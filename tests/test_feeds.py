@@ -159,3 +159,32 @@ def test_hot_group(spark):
     assert edges.count() == 249
     top = {r.stix_id: r.threat_groups for r in tq.first_groups(edges).collect()}
     assert top["ap-0"] == ", ".join(f"G{i}" for i in range(10)) and top["ap-7"] == "G0"
+
+
+def test_several_documents(spark, tmp_path):
+    """Positions restart per document; document order decides across them."""
+    folder = tmp_path / "bundles"
+    folder.mkdir()
+    for name, title in (("a.json", "Old name"), ("b.json", "New name")):
+        (folder / name).write_text(json.dumps({"type": "bundle", "id": name, "objects": [
+            {"type": "intrusion-set", "id": "is--1", "name": title},
+            {"type": "attack-pattern", "id": "ap--1", "name": "T"},
+            {"type": "intrusion-set", "id": f"is--{name}", "name": f"Group of {name}"},
+            {"type": "relationship", "id": f"r--{name}", "relationship_type": "uses", "source_ref": f"is--{name}",
+             "target_ref": "ap--1"},
+        ]}, indent=1), encoding="utf-8")
+    objs = feeds.read_stix_bundle(spark, str(folder))
+    assert objs.count() == 8 and {r.doc.rpartition("/")[2] for r in objs.collect()} == {"a.json", "b.json"}
+    ordered = feeds.in_document_order(objs)
+    assert {r.id: r.name for r in tq.object_index(ordered).collect()}["is--1"] == "New name"
+    first = tq.first_groups(tq.group_edges(ordered)).first()
+    assert first.threat_groups == "Group of a.json, Group of b.json"
+
+
+def test_half_written_cache_is_replaced(spark, tmp_path):
+    objects(spark, tmp_path)
+    cache = tmp_path / "cache"
+    spark.range(3).write.parquet(str(cache))
+    (cache / "_SUCCESS").unlink()
+    got = feeds.cached_feed(spark, str(tmp_path / "bundle.json"), str(cache), feeds.read_stix_bundle)
+    assert got.count() == 9

@@ -152,9 +152,14 @@ def test_tail_from_the_end(tmp_path):
     log = tmp_path / "a.log"
     log.write_text("old\npart", encoding="utf-8")
     reader = tail.TailReader(str(log), True, 1 << 20)
-    assert reader.initialOffset() == {"byte": 4} == reader.latestOffset()
-    assert tail.TailReader(str(log), False, 1).initialOffset() == {"byte": 0}
-    assert tail.TailReader(str(tmp_path / "none"), True, 1).latestOffset() == {"byte": 0}
+    assert reader.initialOffset()["byte"] == 4 == reader.latestOffset()["byte"]
+    assert tail.TailReader(str(log), False, 1).initialOffset()["byte"] == 0
+    assert tail.TailReader(str(tmp_path / "none"), True, 1).latestOffset() == {"byte": 0, "file": 0}
+    start = reader.latestOffset()
+    log.rename(tmp_path / "a.log.1")
+    log.write_text("new 1\nnew 2\nnew 3\n", encoding="utf-8")  # already longer than the old offset
+    parts = reader.partitions(start, reader.latestOffset())
+    assert [v for p in parts for (v,) in reader.read(p)] == ["new 1", "new 2", "new 3"]
 
 
 def test_whole_line_and_instants(spark, tmp_path):
