@@ -122,6 +122,31 @@ def summary_line(attempts: str | None = "attempts", src_ip: str = "src_ip") -> C
     )
 
 
+def route_rows(alerts: DataFrame, **line: str | None) -> DataFrame:
+    """``label, alert_id, summary``: the lines behind each filter route, in one scan.
+
+    An answer is its header and the lines of its label; the lines are not repeated per request.
+    """
+    labels = [F.when(F.col("rule_level") >= low, F.lit(label)) for _, low, label in REQUEST_ROUTES]
+    return alerts.select(
+        F.explode(F.array_compact(F.array(*labels, F.lit(RECENT)))).alias("label"),
+        "alert_id", summary_line(**line).alias("summary"),
+    )
+
+
+def id_details(routed: DataFrame, shown: DataFrame) -> DataFrame:
+    """``request_id, alert_id, answer`` of the id route: the alert itself, as indented JSON.
+
+    ``shown`` holds ``alert_id, alert_json``; of a repeated id the smallest text is taken.
+    """
+    asked = routed.where(F.col("route") == "id").select("request_id", "alert_id", "header")
+    one = shown.join(asked.select("alert_id").distinct(), "alert_id", "left_semi")
+    one = one.groupBy("alert_id").agg(F.min("alert_json").alias("alert_json"))
+    return asked.join(one, "alert_id").select(
+        "request_id", "alert_id", F.concat("header", F.lit("\n"), "alert_json").alias("answer")
+    )
+
+
 def with_band(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("band", queue_band("rule_level"))
 

@@ -207,15 +207,22 @@ FROM counted""", "requests", "alerts")(
     lambda t: triage.route_requests(t.requests.select("request_id", "text"), t.alerts)
 )
 
-R.add("t4_summary_line", """
-SELECT alert_id, '[Alert ' || alert_id || '] Level ' || CAST(rule_level AS STRING) || '/15 | '
+SUMMARY = """'[Alert ' || alert_id || '] Level ' || CAST(rule_level AS STRING) || '/15 | '
   || description || ' | Host: ' || agent_name || ' (' || agent_ip || ') | Source IP: '
   || coalesce(srcip, 'N/A')
   || CASE WHEN attempts = 0 THEN '' ELSE ', ' || CAST(attempts AS STRING) || ' attempts' END
-  || ' | Time: ' || timestamp AS summary FROM alerts""", "alerts")(
+  || ' | Time: ' || timestamp"""
+
+R.add("t4_summary_line", f"SELECT alert_id, {SUMMARY} AS summary FROM alerts", "alerts")(
     lambda t: triage_alerts(t).select("alert_id", triage.summary_line().alias("summary"))
 )
 
+R.add("t3_route_rows", f"""
+SELECT label, alert_id, {SUMMARY} AS summary FROM alerts JOIN (VALUES ('CRITICAL (level 10+)', 10),
+  ('HIGH severity (level 7+)', 7), ('recent', -1)) r(label, low) ON rule_level >= low""", "alerts")(
+    lambda t: triage.route_rows(triage_alerts(t))
+)
+
 R.add("t5_queue_band", f"SELECT alert_id, {BAND} AS band FROM alerts", "alerts")(
     lambda t: triage.with_band(t.alerts).select("alert_id", "band")
 )

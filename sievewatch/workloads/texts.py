@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers as an, normalise as nz, prompts as pr, reports as rp, retrieval as rv
+from ..operators import answers as an, normalise as nz, prompts as pr, reports as rp, retrieval as rv, triage
 from .alerts import CATEGORY, DST_IP, HASH, SRC_IP, USER, raw
 from .inputs import Registry
 from .retrieval import CONTEXT, CVE_NULLS, ranked
@@ -88,21 +88,45 @@ SELECT query_id, {filled(pr.MAPPING_PROMPT, alert_description='query', mitre_can
     lambda t: pr.mapping_prompts(t.vector_queries, t.technique_vectors)
 )
 
-R.add("p4_findings", """
-SELECT alert_id, 'Alert: {''id'': ''' || alert_id || ''', ''level'': ' || CAST(rule_level AS STRING)
+FINDINGS = """'Alert: {''id'': ''' || alert_id || ''', ''level'': ' || CAST(rule_level AS STRING)
   || ', ''groups'': [''' || replace(tags, ',', ''', ''') || '''], ''srcip'': '
   || coalesce('''' || srcip || '''', 'None') || '}' || chr(10) || 'Classification: '
-  || CASE WHEN rule_level >= 5 THEN '{''severity'': ''HIGH'', ''note'': "it''s"}' ELSE '{}' END
-  AS findings FROM alerts""", "alerts")(
-    lambda t: (lambda rows: rows.select("alert_id", pr.findings(rows).alias("findings")))(
-        t.alerts.select(
-            "alert_id",
-            F.struct(F.col("alert_id").alias("id"), F.col("rule_level").alias("level"),
-                     F.col("rule_groups").alias("groups"), "srcip").alias("alert"),
-            F.when(F.col("rule_level") >= 5, F.struct(
-                F.lit("HIGH").alias("severity"), F.lit("it's").alias("note")
-            )).alias("classification"),
-        )
+  || CASE WHEN rule_level >= 5 THEN '{''severity'': ''HIGH'', ''note'': "it''s"}' ELSE '{}' END"""
+
+
+def found(t):
+    rows = t.alerts.select(
+        "alert_id",
+        F.struct(F.col("alert_id").alias("id"), F.col("rule_level").alias("level"),
+                 F.col("rule_groups").alias("groups"), "srcip").alias("alert"),
+        F.when(F.col("rule_level") >= 5, F.struct(
+            F.lit("HIGH").alias("severity"), F.lit("it's").alias("note")
+        )).alias("classification"),
+    )
+    return rows.select("alert_id", pr.findings(rows).alias("findings"))
+
+
+R.add("p4_findings", f"SELECT alert_id, {FINDINGS} AS findings FROM alerts", "alerts")(found)
+
+R.add("p4_report_prompts", f"""
+SELECT alert_id, {filled(pr.report_layout('INCIDENT REPORT'), findings='(' + FINDINGS + ')',
+                         timestamp="'2024-03-01 12:00:00'")} AS prompt FROM alerts""", "alerts")(
+    lambda t: pr.report_prompts(found(t), F.lit("2024-03-01 12:00:00").cast("timestamp"))
+)
+
+R.add("t3_id_details", f"""
+, asked AS (SELECT CAST(o_orderkey AS STRING) AS request_id,
+    CAST(o_custkey AS STRING) AS alert_id FROM orders)
+SELECT request_id, alert_id, 'Alert Details:' || chr(10) || {ALERT_JSON} AS answer
+FROM asked JOIN raw_fields USING (alert_id)""", "raw_fields")(
+    lambda t: triage.id_details(
+        triage.route_requests(t.orders.select(
+            F.col("o_orderkey").cast("string").alias("request_id"),
+            F.concat(F.lit("show alert "), F.col("o_custkey").cast("string")).alias("text"),
+        ), t.alerts),
+        (lambda rows: rows.select(
+            "alert_id", pr.alert_json("alert", rows.schema["alert"].dataType).alias("alert_json")
+        ))(alert_structs(t)),
     )
 )
 
