@@ -26,6 +26,16 @@ IGNORED_PATHS = [
 IGNORED_SUFFIXES = r"\.log$|\.swp$"
 
 
+# fixed values: rule groups of a failed login
+FAILURE_GROUPS = ["authentication_failed", "authentication_failures"]
+
+
+def login_failures(alerts: DataFrame, groups: str = "rule_groups", source: str = "src_ip") -> DataFrame:
+    """Failed logins with a known source: the input of the brute-force detections."""
+    failed = F.arrays_overlap(F.coalesce(groups, F.array().cast("array<string>")), F.array(*map(F.lit, FAILURE_GROUPS)))
+    return alerts.where(failed & (F.length(source) > 0))
+
+
 def _per_second(rows: DataFrame, keys: list[str], ts: str, **measures: Column) -> DataFrame:
     return rows.groupBy(*keys, epoch_seconds(ts).alias("second")).agg(
         *[c.alias(n) for n, c in measures.items()]

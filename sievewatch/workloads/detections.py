@@ -26,6 +26,19 @@ FROM w WHERE attempts > 8""", "alerts")(
     lambda t: dt.brute_force(t.alerts, "agent_name", more_than=8, seconds=21600)
 )
 
+RANGE_IP = "OVER (PARTITION BY srcip ORDER BY second RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)"
+
+R.add("d1_failures_per_source", f"""
+, s AS (SELECT srcip, {SEC} AS second, count(*) AS n FROM alerts
+  WHERE srcip <> '' AND tags LIKE '%authentication_failed%' GROUP BY 1, 2),
+w AS (SELECT srcip, second, sum(n) {RANGE_IP} AS attempts, min(second) {RANGE_IP} AS first FROM s)
+SELECT srcip AS src_ip, second, CAST(attempts AS BIGINT) AS attempts,
+  second - first AS timespan_seconds FROM w WHERE attempts > 1""", "alerts")(
+    lambda t: dt.brute_force(
+        dt.login_failures(t.alerts.withColumnRenamed("srcip", "src_ip")), more_than=1, seconds=604800
+    )
+)
+
 R.add("d1_brute_force_windows", """
 SELECT agent_name, window_start, window_start + INTERVAL 6 HOUR AS window_end,
   count(*) AS attempts FROM (
