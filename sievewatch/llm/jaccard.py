@@ -278,8 +278,13 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
         open_tokens = lists_now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         open_tokens = open_tokens.where("lo != hi").select("token")
         lists_now = reliable_checkpoint(lists_now.join(open_tokens, "token"))
-        cost = lists_now.groupBy("token").agg(F.count("*").alias("c")).agg(
-            F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+        lists = lists_now.drop("comp")  # a token whose sets are joined stays so
+        # pairs of different components, over all tokens
+        cost = (
+            lists_now.groupBy("token", "comp").agg(F.count("*").alias("c"))
+            .groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"))
+            .agg(F.sum("c").alias("rows"), F.sum((F.col("c") * F.col("c") - F.col("same")) / 2).alias("pairs")).first()
+        )
         if not cost.rows:
             break
         stars = turn < STAR_ROUNDS and cost.pairs > PAIRS_AT_ONCE + 2 * cost.rows
