@@ -22,6 +22,8 @@ DEPTH = 3  # leading tokens of a leaf
 LEAST_TOKENS = 4  # shorter lines stay
 LEAST_DOCUMENTS = 8  # a template recurs from here on
 FIXED_SHARE = 0.6  # least share of places that are no wildcard
+#: Rows of the lists that are broadcast instead of shuffling lines or texts (8 and about 60 bytes a row).
+BROADCAST_LEAVES, BROADCAST_ROWS = 2_000_000, 300_000
 _VARIABLE = re.compile(r"\S*[0-9]\S*")
 
 
@@ -84,6 +86,11 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [b["row"], b["line"], pa.array(template, pa.int64()), pa.array(share, pa.float64())], names=["row", "line", "template", "share"])
 
 
+def _sent(stored_rows: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast if it is small enough; else Spark joins by a shuffle."""
+    return F.broadcast(stored_rows) if stored_rows.count() <= most else stored_rows
+
+
 def recurring_lines(rows: DataFrame) -> DataFrame:
     """``row, line`` of every line to drop, for ``rows (row, text)`` with unique ``row``."""
     bounded_batches(rows.sparkSession)
@@ -92,7 +99,7 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
         lines.select("row", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
         .where(F.col("docs") >= LEAST_DOCUMENTS).select("leaf")
     )
-    met = stored(lines.join(leaves, "leaf"), "met")
+    met = stored(lines.join(_sent(stored(leaves, "leaves"), BROADCAST_LEAVES), "leaf"), "met")
     places = met.select("leaf", "tokens").mapInArrow(_places, "leaf long, place int, token long, n long")
     places = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
     # the fixed tokens of a leaf, place << 32 | token: no more than its lines / LEAST_DOCUMENTS at each place
@@ -119,8 +126,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.xxhash64(F.col(id_col).cast("string"), text)
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), key.alias("row"))
     gone = stored(recurring_lines(base.select("row", "text")).distinct(), "dropped")
-    per_row = gone.groupBy("row").agg(F.collect_list("line").alias("_gone"))
-    joined = base.join(per_row, "row", "left")
+    per_row = stored(gone.groupBy("row").agg(F.collect_list("line").alias("_gone")), "gone")
+    joined = base.join(_sent(per_row, BROADCAST_ROWS), "row", "left")
     rest = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(coalesce(_gone, array()), i)), '\\n')")
     return joined.select(
         "doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
