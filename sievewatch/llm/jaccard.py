@@ -1,7 +1,7 @@
 """Near-duplicate classes by a Jaccard join on word shingles with adaptive multi-match prefixes.
 
 Sets are compared, not documents: equal sets share a digest and count as one vertex ``v``. All
-tokens are ordered: those whose hash lies in the lowest ``1/LOW_SHARE`` of the hash range come first,
+tokens are ordered: those whose hash lies in the low range (``LOW_SHARE`` prefix lengths) come first,
 rare before frequent (number of sets, capped at ``COMMON``), then the rest by hash. If two sets have
 similarity ``t`` or more, the first ``n - ceil(t n) + l`` tokens of both share at least ``l`` tokens,
 for each ``l``. Each set picks its own ``l`` by estimated cost, and a pair is verified when it shares as many prefix
@@ -22,16 +22,15 @@ from ..session import reliable_checkpoint
 from .common import bounded_batches, components, stored
 from .shingles import digest, shingle_sets
 
-LOW_SHARE = 5  # one token in so many is counted
+LOW_SHARE = 1.75  # share of the tokens that is counted for all sets, in prefix lengths
 COMMON = 256  # frequencies from here on count as equal
 MOST_MATCHES = 4  # largest l
 VERIFY_COST = 8  # a verification in list entries
 PART_TOKENS = 1 << 20  # counted tokens of one partition, on average
 SPLIT = 1 << 12  # cells of the hash range that partitions are made of
 BROADCAST_IDS = 2_000_000  # ids (8 bytes) that may be broadcast
-STAR_ROUNDS = 3  # most rounds of stars before pairs are made
+STAR_ROUNDS = 1  # most rounds of stars before pairs are made
 PAIRS_AT_ONCE = 200_000  # pairs of list entries, beside twice their number, that need no stars first
-_LIMIT = np.uint64((1 << 64) // LOW_SHARE)
 
 
 def _need(n, percent: int):
@@ -39,24 +38,28 @@ def _need(n, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def _kept(tokens: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """Number of low tokens, and the tokens a prefix may need beyond them."""
-    low = int(np.searchsorted(tokens, _LIMIT))
-    return low, tokens[low : max(low, min(len(tokens), _need(len(tokens), percent) + MOST_MATCHES - 1))]
+def _limit(percent: int) -> int:
+    """End of the low range of hashes."""
+    return int((1 << 64) * min(1.0, LOW_SHARE * (100 - percent) / 100))
+
+
+def _low(tokens: np.ndarray, limit: int) -> int:
+    return len(tokens) if limit >= 1 << 64 else int(np.searchsorted(tokens, np.uint64(limit)))
 
 
 def _sketch(percent: int, k: int):
-    """Texts to sets: digest, size, low tokens, and the further tokens a prefix may need."""
+    """Texts to sets: digest, size, number of low tokens, and the further tokens a prefix may need."""
+    limit = _limit(percent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b["text"].to_pylist(), k)
-            cut = [_kept(s, percent) for s in sets]
+            low = [_low(s, limit) for s in sets]
+            ends = [max(m, min(len(s), _need(len(s), percent) + MOST_MATCHES - 1)) for s, m in zip(sets, low, strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "id": b["id"], "v": pa.array([digest(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
-                "n_low": pa.array([n for n, _ in cut], pa.int64()),
-                "low": pa.array([s[:n].astype("<u8").tobytes() for s, (n, _) in zip(sets, cut, strict=True)], pa.binary()),
-                "extra": pa.array([x.astype("<u8").tobytes() for _, x in cut], pa.binary()),
+                "n_low": pa.array(low, pa.int64()),
+                "extra": pa.array([s[m:e].astype("<u8").tobytes() for s, m, e in zip(sets, low, ends, strict=True)], pa.binary()),
             })
 
     return rows
@@ -85,19 +88,13 @@ def _dealt(keys: list[bytes], sets: list[np.ndarray], parts: int, limit: int) ->
 _CELLS = "part int, tokens binary, owner binary, keys binary"
 
 
-def _low_to_cells(parts: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _dealt(b["v"].to_pylist(), [np.frombuffer(x, "<u8") for x in b["low"].to_pylist()], parts, int(_LIMIT))
-
-    return rows
-
+def _to_cells(parts: int, k: int, limit: int = 1 << 64):
+    """Texts to the cells of their tokens below ``limit``."""
 
-def _text_to_cells(parts: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(b["text"].to_pylist(), k)
-            yield _dealt([digest(s) for s in sets], sets, parts, 1 << 64)
+            yield _dealt([digest(s) for s in sets], [s[: _low(s, limit)] for s in sets], parts, limit)
 
     return rows
 
@@ -125,7 +122,7 @@ def _count(table: pa.Table) -> pa.Table:
     order = np.argsort(owner, kind="stable")
     tokens, owner, held = tokens[order], owner[order], held[order]
     at = np.flatnonzero(np.r_[len(owner) > 0, owner[1:] != owner[:-1]])
-    ends = np.r_[at[1:], len(owner)].astype(int)
+    ends = np.r_[at[1:], len(owner)][: len(at)].astype(int)  # none if no token is shared
     return pa.table({
         "v": pa.array([keys[first[owner[i]]].tobytes() for i in at], pa.binary()),
         "tokens": pa.array([tokens[i:j].astype("<u8").tobytes() for i, j in zip(at, ends, strict=True)], pa.binary()),
@@ -230,7 +227,7 @@ def near_duplicates(
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = stored(rows.mapInArrow(_sketch(percent, k), f"id {rows.schema['id'].dataType.simpleString()}, v binary, n long, n_low long, low binary, extra binary"), "sets")
+    base = stored(rows.mapInArrow(_sketch(percent, k), f"id {rows.schema['id'].dataType.simpleString()}, v binary, n long, n_low long, extra binary"), "sets")
     classes = base.where("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     links = set_links(rows, base, classes, k, percent)
     roots = components(links)
@@ -251,16 +248,15 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
     spark = rows.sparkSession
     real = base.where("n > 0")
     tokens = real.agg(F.sum("n_low").alias("low"), F.sum("n").alias("all")).first()
-    parts = _parts(tokens.low)
     # first with the low tokens of all sets ...
-    cells = real.select("v", "low").mapInArrow(_low_to_cells(parts), _CELLS)
+    cells = rows.select("text").mapInArrow(_to_cells(_parts(tokens.low), k, _limit(percent)), _CELLS)
     sets = real.groupBy("v").agg(F.min("n").alias("n"), F.min("n_low").alias("counted"), F.min("extra").alias("extra"))
     members = stored(_busy(_index(cells, sets, percent)[0]).select("v").distinct(), "members")
     # ... then with all tokens of the sets that may have a partner: one text each
     ids = classes.join(members, "v").select(F.col("id").alias("_id")).distinct()
     few = ids.count() <= BROADCAST_IDS
     texts = rows.join(F.broadcast(ids), rows["id"].eqNullSafe(F.col("_id")), "left_semi") if few else rows
-    cells = texts.select("text").mapInArrow(_text_to_cells(_parts(tokens.all), k), _CELLS)
+    cells = texts.select("text").mapInArrow(_to_cells(_parts(tokens.all), k), _CELLS)
     sets = classes.join(members, "v").select("v", "n", F.col("n").alias("counted"), F.lit(b"").alias("extra"))
     both = _index(cells, sets, percent)[1]
     sets = stored(both, "sharedtokens")
@@ -270,11 +266,11 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
     sets = sets.join(members, "v", "left_semi").select("v", "n", joined.alias("tokens"))
 
     found = None
-    comp = members.select("v", F.col("v").alias("comp"))
+    comp = None  # at first every set is a component of its own
     lists = index.select("token", "v", "n", "u", "l")
     turn = 0
     while True:
-        lists_now = lists.join(comp, "v")
+        lists_now = lists.withColumn("comp", F.col("v")) if comp is None else lists.join(comp, "v")
         open_tokens = lists_now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         open_tokens = open_tokens.where("lo != hi").select("token")
         lists_now = reliable_checkpoint(lists_now.join(open_tokens, "token"))
