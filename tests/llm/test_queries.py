@@ -44,8 +44,9 @@ def test_pipeline(spark, con, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     folder, columns = str(tmp_path), docs.columns
     first = docs.where("length(text) > 400").orderBy("doc_id").first()
+    shouted = "".join(c.upper() if c.isascii() else c for c in first.text)
     extra = [
-        (10_000, first.text.upper(), first.lang, "s", 1), (10_001, first.text + " tail", first.lang, "s", 1),
+        (10_000, shouted, first.lang, "s", 1), (10_001, first.text + " tail", first.lang, "s", 1),
         (10_002, None, None, None, None), (10_003, "", None, None, None), (10_004, "12 34", None, None, None),
     ]
     docs.unionByName(spark.createDataFrame(extra, docs.schema)).write.parquet(f"{folder}/documents.parquet")
