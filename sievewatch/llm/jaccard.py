@@ -270,7 +270,8 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
     lists = index.select("token", "v", "n", "u", "l")
     turn = 0
     while True:
-        lists_now = lists.withColumn("comp", F.col("v")) if comp is None else lists.join(comp, "v")
+        # used twice below, so the join is made once
+        lists_now = lists.withColumn("comp", F.col("v")) if comp is None else reliable_checkpoint(lists.join(comp, "v"))
         open_tokens = lists_now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         open_tokens = open_tokens.where("lo != hi").select("token")
         lists_now = reliable_checkpoint(lists_now.join(open_tokens, "token"))
