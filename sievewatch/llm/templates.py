@@ -1,13 +1,16 @@
 """Removal of lines that follow a recurring template: a fixed-depth log-template tree.
 
 The tree has the number of tokens on its first level and the leading tokens below. Tokens with a
-digit are variable from the start. In a leaf shared by enough documents every place keeps the tokens
-that recur there; the others become wildcards. This needs counts only, so it does not depend on the
+digit are variable from the start. In a leaf shared by enough documents a token is fixed at its place by
+its share of the lines of the leaf, at several levels: a line follows the template of all its words, and
+at each level the one that keeps only the tokens with that share or more. Fields with few values thus
+part a leaf at the low levels only, whatever the size of the input. This needs counts only, so it does not depend on the
 order in which lines are met, and a leaf of any size is counted on the map side.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,6 +25,8 @@ DEPTH = 3  # leading tokens of a leaf
 LEAST_TOKENS = 4  # shorter lines stay
 LEAST_DOCUMENTS = 8  # a template recurs from here on
 FIXED_SHARE = 0.6  # least share of places that are no wildcard
+#: Levels: least share of the lines of a leaf that hold a fixed token. At most 1 / SHARES[0] tokens of a place are listed.
+SHARES = (0.05, 0.2, 0.5, 0.9)
 #: Rows of the lists that are broadcast instead of shuffling lines or texts (8 and about 60 bytes a row).
 BROADCAST_LEAVES, BROADCAST_ROWS = 2_000_000, 300_000
 _VARIABLE = re.compile(r"\S*[0-9]\S*")
@@ -55,6 +60,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _WILD = zlib.crc32(b"<*>")
+_LEVEL_BITS = 3
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,17 +79,30 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with the fixed tokens of their leaf to ``(row, line, template, share)``."""
+    """Lines with the listed tokens of their leaf to ``(row, line, template)``: the different templates of all levels."""
     for b in batches:
-        template, share = [], []
-        for leaf, tokens, fixed in zip(b["leaf"].to_pylist(), b["tokens"].to_pylist(), b["fixed"].to_pylist(), strict=True):
-            known = set(fixed or ())
-            t = np.frombuffer(tokens, "<u4").tolist()
-            kept = [x if x != _WILD and (i < DEPTH or i << 32 | x in known) else 0 for i, x in enumerate(t)]
-            template.append(_hash(f"{leaf} {kept}"))
-            share.append(sum(map(bool, kept)) / len(kept))
-        yield pa.RecordBatch.from_arrays(
-            [b["row"], b["line"], pa.array(template, pa.int64()), pa.array(share, pa.float64())], names=["row", "line", "template", "share"])
+        out, known, last = {"row": [], "line": [], "template": []}, {}, None
+        for row, line, leaf, tokens, fixed in zip(*(b[c].to_pylist() for c in ("row", "line", "leaf", "tokens", "fixed")), strict=True):
+            if leaf != last:
+                known, last = {x >> _LEVEL_BITS: x & (1 << _LEVEL_BITS) - 1 for x in fixed or ()}, leaf
+            t = np.frombuffer(tokens, "<u4")
+            # level of each place; below 0 it is a wildcard at every level but the first
+            level = np.array([
+                -2 if x == _WILD else len(SHARES) if i < DEPTH else known.get(i << 32 | x, -1) for i, x in enumerate(t.tolist())])
+            before = -1
+            for least in range(-1, len(SHARES)):
+                stay = level >= least
+                n = int(stay.sum())
+                if n < FIXED_SHARE * len(t):
+                    break  # higher levels keep less
+                if n != before:
+                    before = n
+                    key = leaf.to_bytes(8, "little", signed=True) + np.where(stay, t, 0).astype("<u4").tobytes()
+                    out["row"].append(row)
+                    out["line"].append(line)
+                    out["template"].append(int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True))
+        yield pa.RecordBatch.from_pydict({
+            "row": pa.array(out["row"], pa.int64()), "line": pa.array(out["line"], pa.int32()), "template": pa.array(out["template"], pa.int64())})
 
 
 def _sent(stored_rows: DataFrame, most: int) -> DataFrame:
@@ -96,29 +115,35 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     bounded_batches(rows.sparkSession)
     lines = stored(rows.mapInArrow(_lines, "row long, leaf long, line int, tokens binary"), "lines")
     leaves = (
-        lines.select("row", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("docs"))
-        .where(F.col("docs") >= LEAST_DOCUMENTS).select("leaf")
+        lines.groupBy("row", "leaf").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("k").alias("lines"))
+        .where(F.col("docs") >= LEAST_DOCUMENTS).select("leaf", "lines")
     )
-    met = stored(lines.join(_sent(stored(leaves, "leaves"), BROADCAST_LEAVES), "leaf"), "met")
+    leaves = stored(leaves, "leaves")
+    met = stored(lines.join(_sent(leaves.select("leaf"), BROADCAST_LEAVES), "leaf"), "met")
     places = met.select("leaf", "tokens").mapInArrow(_places, "leaf long, place int, token long, n long")
-    places = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    # the fixed tokens of a leaf, place << 32 | token: no more than its lines / LEAST_DOCUMENTS at each place
-    fixed = places.groupBy("leaf").agg(F.collect_list(F.expr("shiftleft(cast(place as bigint), 32) | token")).alias("fixed"))
+    places = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
+    # a token of fewer lines than LEAST_DOCUMENTS is in no recurring template
+    places = places.where(F.col("n") >= LEAST_DOCUMENTS).join(_sent(leaves, BROADCAST_LEAVES), "leaf")
+    places = places.where(F.col("n") >= F.col("lines") * SHARES[0])
+    level = sum((F.col("n") >= F.col("lines") * x).cast("long") for x in SHARES) - 1
+    # (place << 32 | token) and its level; no more than 1 / SHARES[0] at each place
+    entry = F.expr(f"shiftleft(shiftleft(cast(place as bigint), 32) | token, {_LEVEL_BITS})").bitwiseOR(level)
+    fixed = places.groupBy("leaf").agg(F.collect_list(entry).alias("fixed"))
     found = met.join(fixed, "leaf", "left").select("row", "line", "leaf", "tokens", "fixed").mapInArrow(
-        _templates, "row long, line int, template long, share double")
-    found = stored(found.where(F.col("share") >= FIXED_SHARE).select("row", "line", "template"), "templates")
+        _templates, "row long, line int, template long")
+    found = stored(found, "templates")
     often = (
         found.select("row", "template").distinct().groupBy("template").agg(F.count("*").alias("docs"))
         .where(F.col("docs") >= LEAST_DOCUMENTS).select("template")
     )
-    return found.join(often, "template").select("row", "line")
+    return found.join(_sent(stored(often, "often"), BROADCAST_LEAVES), "template").select("row", "line")
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, text``: one row per input row, without its recurring lines.
 
-    A line goes in every document if its template occurs in ``LEAST_DOCUMENTS`` documents or more and
-    at least ``FIXED_SHARE`` of its places are no wildcards; lines below ``LEAST_TOKENS`` tokens stay. A null text stays
+    A line goes in every document if one of its templates occurs in ``LEAST_DOCUMENTS`` documents or more and
+    at least ``FIXED_SHARE`` of its places are no wildcards there; lines below ``LEAST_TOKENS`` tokens stay. A null text stays
     null and has no lines; an empty text has one. Rows are told apart by content, so null and repeated ids do
     no harm: rows that share id and text are one document and get the same text. Other columns are not read.
     """

@@ -148,3 +148,19 @@ def test_line_templates(spark):
     assert out[12].text is None and out[12].n_lines == 0 and out[13].text == "" and out[15].text == "word\n\nword"
     assert out[14].text == ""
     assert templates.drop_recurring_lines(table(spark, [])).count() == 0
+
+
+def test_template_fields_at_every_size(spark):
+    # fields without digits: each value is in 8 lines and more, each product of values in fewer
+    rnd = random.Random(3)
+    word = lambda k, n: f"{k}{chr(97 + n // 26)}{chr(97 + n % 26)}"
+    for size in (40, 3000):
+        texts = [
+            f"Posted on the wall by {word('au', rnd.randrange(50))} about {word('ca', rnd.randrange(20))} in the state {word('st', rnd.randrange(30))}"
+            for _ in range(size)]
+        texts += [f"Moved over to a {word('x', rnd.randrange(3))} and {word('y', rnd.randrange(4))} or {word('z', rnd.randrange(5))} place" for _ in range(size)]
+        # another message of the same leaf, with digits, in a twentieth of its lines or less
+        texts += [f"Posted on the side of page {i} is a line with a number" for i in range(9)]
+        texts += ["Posted on the morning this sentence was written only once ever"]
+        out = templates.drop_recurring_lines(table(spark, texts)).collect()
+        assert {r.doc_id for r in out if not r.n_dropped} == {len(texts) - 1}
