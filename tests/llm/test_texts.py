@@ -164,3 +164,22 @@ def test_template_fields_at_every_size(spark):
         texts += ["Posted on the morning this sentence was written only once ever"]
         out = templates.drop_recurring_lines(table(spark, texts)).collect()
         assert {r.doc_id for r in out if not r.n_dropped} == {len(texts) - 1}
+
+
+def test_lines_that_recur_word_for_word(spark):
+    one = lambda i: f"{chr(97 + i)}{chr(107 + i)}"
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    texts = [
+        f"Accept all cookies\n2024-01-{i + 1:02} 10:00:00 INFO {i} {i * 7} connected\n2024-01-01 10:00:0{i} {i} 5 closed\n\n}}\n12\n{i} 2 3 4 5"
+        for i in range(9)]
+    texts += [f"{passage}\nThis is said here by {one(0)}", f"Own {one(1)}\n{passage} "]  # a passage of two documents
+    texts += ["Seldom said but said"] * 4 + ["Said in three texts only"] * 3
+    # prose with the same beginning is no template
+    texts += [f"On the other hand {one(i)} {one(i + 1)}x {one(i)}y {one(i)}z {one(i)}v {one(i)}w" for i in range(12)]
+    # repeated ids and texts are one document
+    rows = [(i, t, None, 7, "x") for i, t in enumerate(texts)] + [(900, "Stated in one document", None, 7, "x")] * 9
+    out = sorted(templates.drop_recurring_lines(spark.createDataFrame(rows, DOCS)).collect(), key=lambda r: r.doc_id)
+    assert [r.text for r in out[:9]] == [f"\n}}\n12\n{i} 2 3 4 5" for i in range(9)]
+    assert [r.text for r in out[9:11]] == [f"This is said here by {one(0)}", f"Own {one(1)}"]
+    assert [r.n_dropped for r in out[11:18]] == [1] * 4 + [0] * 3
+    assert all(r.n_dropped == 0 for r in out[18:])
