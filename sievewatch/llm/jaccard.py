@@ -57,7 +57,7 @@ def _sketch(percent: int, k: int):
             low = [_low(s, limit) for s in sets]
             ends = [max(m, min(len(s), _need(len(s), percent) + MOST_MATCHES - 1)) for s, m in zip(sets, low, strict=True)]
             yield pa.RecordBatch.from_pydict({
-                "id": b["id"], "v": pa.array([digest(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "id": b["id"], "h": b["h"], "v": pa.array([digest(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64()),
                 "n_low": pa.array(low, pa.int64()),
                 "extra": pa.array([s[m:e].astype("<u8").tobytes() for s, m, e in zip(sets, low, ends, strict=True)], pa.binary()),
             })
@@ -224,18 +224,25 @@ def near_duplicates(
     and where stars around one set per token do not join all sets of a token, the rest of them is
     compared pair by pair. Other columns are not read; an empty table gives no rows.
     """
+    return _marks(docs, id_col, text_col, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with a hash of the text, ``_h``, and ``_first``: id and hash of the one that stays of the component."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = stored(rows.mapInArrow(_sketch(percent, k), f"id {rows.schema['id'].dataType.simpleString()}, v binary, n long, n_low long, extra binary"), "sets")
-    classes = base.where("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    base = stored(hashed.mapInArrow(_sketch(percent, k), f"id {rows.schema['id'].dataType.simpleString()}, h long, v binary, n long, n_low long, extra binary"), "sets")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
+    classes = base.where("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.min("n").alias("n"), first)
     links = set_links(rows, base, classes, k, percent)
     roots = components(links)
-    named = classes.join(roots, "v", "left").select("v", "id", F.coalesce("root", "v").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_set = named.join(smallest, "root").select("v", "component_id")
-    return base.select("id", "v", "n").join(of_set, "v", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+    named = classes.join(roots, "v", "left").select("v", "id", "first", F.coalesce("root", "v").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"), F.min("first").alias("_first"))
+    of_set = named.join(smallest, "root").select("v", "component_id", "_first")
+    return base.select("id", "h", "v", "n").join(of_set, "v", "left").select(
+        F.col("id").alias("doc_id"), F.col("h").alias("_h"), "_first", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -316,11 +323,20 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component is kept: the smallest id.
+    """The rows of ``docs`` that stay when exactly one row of each component is kept. Columns are unchanged.
 
-    Rows that share the id of a kept document stay with it. Columns are unchanged.
+    The row with the smallest id stays (null is larger than any other), of equal ids the one with the smallest
+    hash of its text, of rows that share id and text one. Rows are dropped by id and hash, so a repeated id with another
+    text is judged for itself. Rows without shingles stay.
     """
-    marks = near_duplicates(docs, id_col, text_col, k, percent)
-    gone = stored(marks.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    marks = _marks(docs, id_col, text_col, k, percent).where("n_shingles > 0").select(
+        F.col("doc_id").alias("_gone"), F.col("_h").alias("_gone_h"), F.expr("doc_id <=> _first.id and _h = _first.h").alias("stays"))
+    marks = stored(marks.groupBy("_gone", "_gone_h", "stays").agg(F.count("*").alias("c")).where("not stays or c > 1"), "gone")
+    gone, twins = (marks.where(x).select("_gone", "_gone_h") for x in ("not stays", "stays"))
+    h = F.xxhash64(docs[text_col])
+    same = docs[id_col].eqNullSafe(F.col("_gone")) & (h == F.col("_gone_h"))
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    if twins.isEmpty():
+        return out
+    once = out.join(twins, same, "left_semi").withColumn("_gone_h", h).dropDuplicates([id_col, "_gone_h"]).drop("_gone_h")
+    return out.join(twins, same, "left_anti").unionByName(once)

@@ -142,6 +142,20 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_keep_one_row_of_each_component(spark):
+    text = "the very same words are said here once more"
+    rows = [
+        (1, text), (1, "clean words that nobody else has said"), (2, text + " tail"),  # a repeated id, one of the two in a group
+        (8, "left of the two it is the smaller one"), (9, "left of the two it is the smaller one"), (9, "another clean text of an id twice"),
+        (None, text + "  TAIL"), (None, "no id at all is in this group"), (None, "no id at  all is in this group"),
+        (4, "one row of two with id and text"), (4, "one row of two with id and text"), (4, "one row of two with  id and text"), (4, None), (4, None)]
+    kept = jaccard.keep_one(table(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 1, 4, 4, 4, 8, 9]
+    texts = [" ".join((r.text or "").split()) for r in kept]
+    assert sorted(texts) == sorted([
+        text, rows[1][1], rows[3][1], rows[5][1], "no id at all is in this group", "one row of two with id and text", "", ""])
+
+
 # --- shards ----------------------------------------------------------------------------------
 
 
