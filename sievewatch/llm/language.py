@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .common import stored
 
 WINDOW = 256  # bytes; every text is cut into windows of this length, the last one padded with zeros
 WIDTHS = (2, 3, 4, 5)
@@ -128,33 +130,45 @@ class ByteNet:
 
 
 def training_windows(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(lang, window)``: at most about ``SAMPLE_ROWS`` texts, equally many of each label.
+    """``(lang, window)``: at most ``SAMPLE_ROWS`` different texts with letters, equally many of each label.
 
-    Rows are drawn by the hash of the text, at a rate that follows from the count of the label, so
+    Copies count once. Texts are drawn by their hash, at a rate that follows from the number of different texts of the label
+    and is somewhat too high, and of those the smallest hashes are taken up to the share of the label, so
     the sample does not depend on the order of the rows. Of a long text the windows are spread over it.
     """
-    rows = labelled.where(f"{lang_col} is not null and {text_col} is not null").select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()}
-    share = SAMPLE_ROWS / max(1, len(counts))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
+    texts = stored(rows.select("lang", "h").distinct(), "labelled")
+    counts = {r.lang: r["count"] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_ROWS).collect()}
+    share = SAMPLE_ROWS // max(1, len(counts))
     if not counts:
         return rows.select("lang", F.lit(b"").alias("window")).limit(0)
-    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))])
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.5 * share + 50) / n))])
+    drawn = texts.where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    # a window over some 1.5 * SAMPLE_ROWS hashes, and 50 more of each label
+    drawn = drawn.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("at") <= share)
+    drawn = rows.join(F.broadcast(drawn.select("lang", "h")), ["lang", "h"], "left_semi")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # at most SAMPLE_ROWS texts
         for b in batches:
-            langs, parts = [], []
-            for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist(), strict=True):
-                if has_letter(text):
+            langs, hashes, places, parts = [], [], [], []
+            for text, lang, h in zip(b["text"].to_pylist(), b["lang"].to_pylist(), b["h"].to_pylist(), strict=True):
+                if (lang, h) not in seen and has_letter(text):
+                    seen.add((lang, h))
                     raw = text.encode("utf-8", "replace")
                     n = min(SAMPLE_WINDOWS, -(-len(raw) // WINDOW))
                     for at in {k * max(0, len(raw) - WINDOW) // max(1, n - 1) for k in range(n)}:
                         langs.append(lang)
+                        hashes.append(h)
+                        places.append(at)
                         parts.append(raw[at : at + WINDOW])
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "window": pa.array(parts, pa.binary())})
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array(langs, pa.string()), "h": pa.array(hashes, pa.int64()), "at": pa.array(places, pa.int64()),
+                "window": pa.array(parts, pa.binary())})
 
-    return drawn.mapInArrow(windows, "lang string, window binary")
+    # the copies of a text that lie in different tasks
+    return drawn.mapInArrow(windows, "lang string, h long, at long, window binary").distinct().select("lang", "window")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> ByteNet:

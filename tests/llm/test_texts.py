@@ -129,6 +129,18 @@ def test_language(spark):
     assert language.identify(odd.limit(0), net).count() == 0
 
 
+def test_training_counts_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 40)
+    hot = [("aa", "hot text of all")] * 400
+    rows = hot + [("aa", f"text {i} of one") for i in range(300)] + [("bb", f"text {i} of two") for i in range(30)] + [("bb", "12")] * 50
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(6)
+    got = [(r.lang, bytes(r.window)) for r in language.training_windows(docs).collect()]
+    assert len(got) == len(set(got)) and {k: sum(x == k for x, _ in got) for k in ("aa", "bb")} == {"aa": 20, "bb": 20}
+    # only copies: one text
+    copies = docs.where("text = 'hot text of all'")
+    assert language.training_windows(copies).count() == 1
+
+
 def test_windows_cover_all_bytes():
     texts = [b"", b"a", bytes(range(256)) * 3 + b"xyz"]
     windows, owner, length = language.cut(texts)
