@@ -20,6 +20,7 @@ SAMPLE_ROWS, SAMPLE_WINDOWS = 2000, 3
 EPOCHS, BATCH, RATE = 7, 64, 0.01
 _BLOCK = 128  # windows in one matrix product
 UNKNOWN = "und"
+OVER_CHANCE = 1.2
 
 
 def has_letter(text: str | None) -> bool:
@@ -202,6 +203,12 @@ def identify(docs: DataFrame, net: ByteNet, text_col: str = "text", name: str =
 
 
 def keep_known(docs: DataFrame, net: ByteNet, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows whose text has a known language with at least this score; their columns unchanged."""
-    name = "_language_of_text"
+    """The rows whose text has a known language with at least this score; their columns unchanged.
+
+    With many labels the floor is ``OVER_CHANCE`` times the probability of a guess instead. If there was
+    nothing to learn from, every text with a letter stays.
+    """
+    if not net.labels:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    name, least = "_language_of_text", min(least, OVER_CHANCE / len(net.labels))
     return identify(docs, net, text_col, name).where(F.col(name)["score"] >= least).select(*[docs[c] for c in docs.columns])

@@ -141,6 +141,17 @@ def test_training_counts_different_texts(spark, monkeypatch):
     assert language.training_windows(copies).count() == 1
 
 
+def test_floor_of_the_score(spark):
+    docs = table(spark, ["words of no known language", "", "12", None, "été"])
+    assert {r.doc_id for r in language.keep_known(docs, language.ByteNet([])).collect()} == {0, 4}
+    many = language.ByteNet([f"l{i}" for i in range(50)])
+    many.out[:] = 0
+    many.out_bias[7] = 2  # a probability of 0.13, far above 1 / 50
+    assert {r.doc_id for r in language.keep_known(docs, many).collect()} == {0, 4}
+    many.out_bias[7] = 0  # all labels alike
+    assert language.keep_known(docs, many).count() == 0
+
+
 def test_windows_cover_all_bytes():
     texts = [b"", b"a", bytes(range(256)) * 3 + b"xyz"]
     windows, owner, length = language.cut(texts)
