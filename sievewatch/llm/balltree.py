@@ -69,16 +69,20 @@ class Search:
             for i in (first, 1 - first):
                 self.visit(node.children[i], active, bounds[i])
             return
-        got = (self.queries[active] @ self.points[node.rows].T).astype(np.int64)
-        got[self.own[active][:, None] == self.keys[node.rows][None, :]] = _NONE
+        for at in range(0, len(node.rows), LEAF):  # equal vectors make a leaf of any size
+            self.scan(node.rows[at : at + LEAF], active)
+
+    def scan(self, rows: np.ndarray, active: np.ndarray) -> None:
+        got = (self.queries[active] @ self.points[rows].T).astype(np.int64)
+        got[self.own[active][:, None] == self.keys[rows][None, :]] = _NONE
         better = got.max(axis=1) >= np.maximum(self.floor[active], self.score[active, -1])
         active, got = active[better], got[better]
         if not len(active):
             return
         shape = got.shape
         score = np.concatenate([self.score[active], got], axis=1)
-        ids = np.concatenate([self.id[active], np.broadcast_to(self.ids[node.rows], shape)], axis=1)
-        keys = np.concatenate([self.key[active], np.broadcast_to(self.keys[node.rows], shape)], axis=1)
+        ids = np.concatenate([self.id[active], np.broadcast_to(self.ids[rows], shape)], axis=1)
+        keys = np.concatenate([self.key[active], np.broadcast_to(self.keys[rows], shape)], axis=1)
         order = np.lexsort((keys, ids, ~score), axis=-1)[:, : self.k]
         for name, x in (("score", score), ("id", ids), ("key", keys)):
             getattr(self, name)[active] = np.take_along_axis(x, order, 1)

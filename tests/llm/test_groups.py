@@ -311,3 +311,14 @@ def test_ball_tree(spark, monkeypatch, block, leaf):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in balltree.top_k(df, F.col("vec_id") % 20 == 0, 5).collect())
     assert got == brute_top(vectors, lambda d: d % 20 == 0, 5)
     assert balltree.top_k(df.limit(0), F.lit(True), 5).count() == 0
+
+
+def test_ball_tree_leaf_of_equal_vectors(monkeypatch):
+    monkeypatch.setattr(balltree, "LEAF", 16)
+    widths, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, axis=-1: widths.append(keys[0].shape[1]) or sort(keys, axis=axis))
+    points = np.tile(np.array([[3, 4]]), (300, 1))
+    ids = np.arange(300)[::-1].copy()
+    got = balltree.Search(points, ids, np.arange(300), points[:5], np.arange(5), np.full(5, np.iinfo(np.int64).min), 4)
+    assert max(widths) <= 16 + 4
+    assert (got.score == 25).all() and got.id.tolist() == [[0, 1, 2, 3]] * 5
