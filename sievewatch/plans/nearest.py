@@ -142,6 +142,31 @@ def _local_to_queries(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return queries.mapInArrow(answer, f"{OUT}, rank int")
 
 
+def _scan(batches, query_ids: np.ndarray, vectors: np.ndarray, k: int):
+    """Answers of all queries from the documents of a task; with a large ``k`` those of each batch, in slices of queries."""
+    best = None  # the best k of all batches of the task so far
+    for b in batches:
+        if not b.num_rows:
+            continue
+        doc_ids, m = _sorted_docs(b)
+        if len(vectors) * k > _CELLS:
+            step = max(1, _CELLS // min(k, b.num_rows))
+            for at in range(0, len(vectors), step):
+                r, i, d = top_k(vectors[at:at + step], m, doc_ids, k)
+                yield _batch(query_ids[at + r], i, d)
+            continue
+        found = top_k(vectors, m, doc_ids, k)
+        if best is not None:
+            r, i, d = (np.concatenate(x) for x in zip(best, found, strict=True))
+            order = np.lexsort((i, d, r))
+            r, i, d = r[order], i[order], d[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+            found = r[keep], i[keep], d[keep]
+        best = found
+    if best is not None:
+        yield _batch(query_ids[best[0]], best[1], best[2])
+
+
 def _local_to_docs(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     table = queries.toArrow()
     shared = queries.sparkSession.sparkContext.broadcast(
@@ -149,21 +174,7 @@ def _local_to_docs(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     )
 
     def answer(batches):
-        query_ids, vectors = shared.value
-        best = None  # the best k of all batches of the task so far
-        for b in batches:
-            if b.num_rows:
-                doc_ids, m = _sorted_docs(b)
-                found = top_k(vectors, m, doc_ids, k)
-                if best is not None:
-                    r, i, d = (np.concatenate(x) for x in zip(best, found, strict=True))
-                    order = np.lexsort((i, d, r))
-                    r, i, d = r[order], i[order], d[order]
-                    keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
-                    found = r[keep], i[keep], d[keep]
-                best = found
-        if best is not None:
-            yield _batch(query_ids[best[0]], best[1], best[2])
+        yield from _scan(batches, *shared.value, k)
 
     return _best(docs.mapInArrow(answer, OUT), k)
 

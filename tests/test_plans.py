@@ -198,3 +198,19 @@ def test_repeated_ids_in_every_layout(spark, layout):
     ragged = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "id STRING, embedding ARRAY<FLOAT>")
     with pytest.raises(ValueError, match="different lengths"):
         nn.nearest(q, ragged, 2, **layout).collect()
+
+
+def test_scan_holds_few_pairs(monkeypatch):
+    import pyarrow as pa
+
+    from sievewatch.plans import nearest as module
+
+    rng = np.random.default_rng(4)
+    queries, docs = rng.integers(0, 9, (30, 2)).astype(float), rng.integers(0, 9, (40, 2)).astype(float)
+    names = np.array([f"q{i}" for i in range(30)], dtype=object)
+    batches = [pa.RecordBatch.from_pydict({"id": [f"d{i}" for i in range(x, x + 20)], "vector": docs[x:x + 20].tolist()}) for x in (0, 20)]
+    monkeypatch.setattr(module, "_CELLS", 100)
+    out = list(module._scan(iter(batches), names, queries, 100_000))
+    assert max(b.num_rows for b in out) <= 100
+    rows = [(r["query_id"], r["id"], r["distance"]) for b in out for r in b.to_pylist()]
+    assert sorted(rows) == sorted((f"q{i}", f"d{j}", float(((q - d) ** 2).sum())) for i, q in enumerate(queries) for j, d in enumerate(docs))
