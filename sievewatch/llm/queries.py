@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import balltree, bpe, exact, hosts, jaccard, language, packing, pii, shards, templates
-from .common import LOWER, UPPER, bounded_batches
+from . import balltree, bpe, divergence, exact, hosts, jaccard, language, packing, pii, shards, simhash, templates, whitening
+from .common import LOWER, UPPER, bounded_batches, stored
 
 #: The rules of the url query.
 URL_RULES = [
@@ -78,10 +78,23 @@ def op10_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
     return balltree.top_k(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = stored(simhash.compare_with_edits(read(spark, folder, "documents")), "fingerprints")
+    return simhash.near_groups(found)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_language, op2_line_templates, op3_byte_bpe, op4_host_reputation, op5_ngram_join, op6_even_shards,
-        op7_exact_duplicates, op8_packing, op9_personal_data, op10_ball_tree)
+        op7_exact_duplicates, op8_packing, op9_personal_data, op10_ball_tree, op11_simhash, op12_whitening, op13_source_divergence)
 }
 
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -140,4 +153,31 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
   FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_source_divergence": rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text, row_number() OVER () AS r FROM documents),
+o AS (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.LEAST_DOCUMENTS}),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT n.lang AS lang, n.source AS source, k.term AS term, coalesce(c.c, 0) AS c,
+    1 + (CAST({divergence.ONE} AS HUGEINT) * (coalesce(c.c, 0) + 2)) // (n.n + 2 * v.v) AS p
+  FROM n JOIN v ON n.lang = v.lang JOIN kept k ON k.lang = n.lang
+  LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+w AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY lang, term),
+q AS (SELECT w.lang AS lang, w.term AS term, 1 + (CAST({divergence.ONE} AS HUGEINT) * (w.c + 2)) // (t.n + 2 * v.v) AS q
+  FROM w JOIN (SELECT lang, sum(c) AS n FROM c GROUP BY lang) t ON w.lang = t.lang JOIN v ON v.lang = w.lang),
+f AS (SELECT x.lang AS lang, x.source AS source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source != y.source GROUP BY x.lang, x.source, y.source),
+pairs AS (SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang AS lang, p.source AS source, 'term' AS part, p.term AS item,
+    CAST(((p.p - q.q) * (p.p - q.q)) // (p.p + q.q) AS BIGINT) AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.c > 0 AND p.p > q.q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}""",
 }
