@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,6 +252,11 @@ def test_divergence_odd_tables(spark):
     assert sorted((r.source, r.item, r.value, r["rank"]) for r in got) == [("a", "b", 0, 1), ("b", "a", 0, 1)]
 
 
-def test_long_text_terms(monkeypatch):
-    monkeypatch.setattr(divergence, "_LONG", 10)
-    assert divergence.terms_of("Aa bB aA\x00Ä ä 12") == Counter({"aa": 2, "bb": 1, "Ä": 1, "ä": 1})
+def test_term_counts():
+    texts = ["Aa bB aA\x00Ä ä 12", "", None, "@[`{\x7f\x80\u00e9Z", "ÀB-ÀB 😀 a"]
+    terms, text, term, count = divergence.term_counts(pa.array(texts))
+    got = Counter({(int(i), terms[int(t)].as_py()): int(c) for i, t, c in zip(text, term, count, strict=True)})
+    want = Counter()
+    for i, t in enumerate(texts):
+        want.update((i, w) for w in re.findall("[A-Za-z\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)})))
+    assert got == want
