@@ -14,7 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import col, cut, one_line
+from ..plans.inverted import Index
 from ..plans.nearest import nearest
+from ..plans.postings import TextIndex, scratch_text_index
 from ..plans.pruned import nearest_pruned
 
 TECHNIQUES, CVES = "MITRE ATT&CK", "NVD CVE"
@@ -58,30 +60,46 @@ def require_filled(collection: DataFrame, name: str) -> DataFrame:
     return collection
 
 
+def _with_facts(hits: DataFrame, collection: DataFrame) -> DataFrame:
+    # only the shown part of the text travels to the hits
+    shown = collection.drop("embedding").withColumn("text", cut("text", RESULT_TEXT))
+    return hits.join(shown, "id")
+
+
 def search(queries: DataFrame, collection: DataFrame, k: int, pruned: bool = False,
-           **limits) -> DataFrame:
+           index: Index | TextIndex | None = None, **limits) -> DataFrame:
     """``query_id, distance, rank`` with the columns of the ``k`` nearest rows.
 
-    ``pruned`` uses the cluster search for large collections; the rows are the same.
+    ``pruned`` uses the cluster search for large collections; the rows are the same. An ``index`` of
+    the collection is asked instead of the collection: vectors approximately (``plans.inverted``), query
+    texts exactly (``plans.postings``, column ``query``).
     """
-    find = nearest_pruned if pruned else nearest
-    hits = find(queries, collection, k, **limits)
-    # only the shown part of the text travels to the hits
-    shown = collection.drop("embedding").withColumn("text", cut("text", RESULT_TEXT))
-    return hits.join(shown, "id")
+    find = index.search if index is not None else nearest_pruned if pruned else nearest
+    hits = find(queries, k, **limits) if index is not None else find(queries, collection, k, **limits)
+    return _with_facts(hits, collection)
+
+
+def search_text(queries: DataFrame, collection: DataFrame, k: int, index: TextIndex | None = None,
+                **limits) -> DataFrame:
+    """``search`` from texts (``query_id, query``) over the tf-idf weights of the collection's texts.
+
+    Without a stored ``index`` one is built for this job.
+    """
+    return search(queries, collection, k, index=index or scratch_text_index(collection), **limits)
 
 
 def search_both(
-    queries: DataFrame, techniques: DataFrame | None, cves: DataFrame | None, k: int = 3
+    queries: DataFrame, techniques: DataFrame | None, cves: DataFrame | None, k: int = 3,
+    technique_index: Index | TextIndex | None = None, cve_index: Index | TextIndex | None = None,
 ) -> DataFrame:
     """Best ``k`` of each collection, merged by distance; at equal distance techniques first.
 
-    A collection that is not there is left out.
+    A collection that is not there is left out. With text indexes the queries are texts.
     """
     found = None
-    for part in (techniques, cves):
+    for part, index in ((techniques, technique_index), (cves, cve_index)):
         if part is not None:
-            hits = search(queries, part, k).drop("rank")
+            hits = search(queries, part, k, index=index).drop("rank")
             found = hits if found is None else found.unionByName(hits, allowMissingColumns=True)
     if found is None:
         raise ValueError("no collection given")
@@ -202,16 +220,21 @@ def alert_query(description: Column | str = "description",
 
 
 def alert_context(
-    alerts: DataFrame, vectors: DataFrame, techniques: DataFrame, k: int = 3
+    alerts: DataFrame, vectors: DataFrame | None, techniques: DataFrame, k: int = 3,
+    index: Index | TextIndex | None = None,
 ) -> DataFrame:
     """``alert_id, query, mitre_context``: the ``k`` nearest techniques as prompt text.
 
     Alerts repeat few distinct texts, so every text is searched once and the context joined back.
-    ``vectors`` holds ``query, embedding``.
+    ``vectors`` holds ``query, embedding``; without vectors the texts themselves are searched.
     """
     asked = alerts.select("alert_id", alert_query().alias("query"))
-    texts = asked.select("query").distinct().join(vectors, "query")
-    hits = search(texts.select(F.col("query").alias("query_id"), "embedding"), techniques, k)
+    texts = asked.select("query").distinct()
+    if vectors is None:
+        hits = search_text(texts.withColumn("query_id", F.col("query")), techniques, k, index)
+    else:
+        texts = texts.join(vectors, "query")
+        hits = search(texts.select(F.col("query").alias("query_id"), "embedding"), techniques, k, index=index)
     entry = F.concat(
         F.lit("["), F.col("id"), F.lit("] "), F.col("name"), F.lit(":\n"),
         cut("text", PROMPT_SNIPPET), F.lit("..."),

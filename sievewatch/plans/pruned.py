@@ -28,6 +28,16 @@ def _squared(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0.0)
 
 
+def centroids_of(points: DataFrame, k: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """At most ``k`` k-means centroids of ``points (vector)``, different from one another."""
+    k = min(k, points.limit(k).count())
+    if k <= 1:
+        rows = points.limit(1).collect()
+        return np.array([r.vector for r in rows], float)
+    model = KMeans(k=k, seed=seed, maxIter=rounds, initSteps=1).fit(points.select(array_to_vector("vector").alias("features")))
+    return np.vstack(model.clusterCenters())
+
+
 def _assign(df: DataFrame, centroids) -> DataFrame:
     """Nearest centroid of each row and the distance to it."""
     def run(batches):
@@ -81,10 +91,8 @@ def nearest_pruned(
     d = _as_pairs(docs, doc_key, vector)
     if n_clusters is None:
         n_clusters = min(MAX_CENTROIDS, max(1, int(math.sqrt(d.count()))))
-    points = d.select(array_to_vector("vector").alias("features"))
-    model = KMeans(k=n_clusters, seed=seed, maxIter=5, initSteps=1).fit(points)
     sc = d.sparkSession.sparkContext
-    centers = np.vstack(model.clusterCenters())
+    centers = centroids_of(d.select("vector"), n_clusters, seed, rounds=5)
     centroids = sc.broadcast(centers)
 
     docs_c = reliable_checkpoint(_assign(d, centroids))

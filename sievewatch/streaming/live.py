@@ -24,6 +24,22 @@ def live_alerts(raw: DataFrame, **rules) -> DataFrame:
     return valid.withColumn("ts", iso_timestamp("timestamp"))
 
 
+def judged_lines(parsed: DataFrame, **rules) -> DataFrame:
+    """Every parsed line (``sources.alerts.parse_lines``) with its ``outcome`` and ``errors``.
+
+    ``kept``: forwarded and valid, with the normalised columns and ``ts``; ``skipped``: below the level or a noise rule;
+    ``rejected``: a malformed line (error ``line``) or an alert that lacks a required field, such as a level that cannot be read.
+    Kept, skipped and rejected lines together are the lines read.
+    """
+    raw = alerts_of(parsed, with_line=True)
+    passed = raw.withColumn("_passed", nz.should_forward(raw, **rules))
+    checked = nz.validated(nz.normalise(passed)).withColumn("ts", iso_timestamp("timestamp"))
+    outcome = F.when(F.size("errors") > 0, "rejected").when(F.col("_passed"), "kept").otherwise("skipped")
+    judged = checked.withColumn("outcome", outcome).drop("_passed")
+    broken = rejected_lines(parsed).withColumns({"outcome": F.lit("rejected"), "errors": F.array(F.lit("line"))})
+    return judged.unionByName(broken, allowMissingColumns=True)
+
+
 def without_repeats(alerts: DataFrame, lateness: str = LATENESS, key: str = "alert_id") -> DataFrame:
     """Each alert id once, also when a source sends it again within the lateness bound."""
     return alerts.withWatermark("ts", lateness).dropDuplicatesWithinWatermark([key])
@@ -54,6 +70,24 @@ def port_scan_stream(
     )
 
 
+def port_scan_sketch_stream(
+    rows: DataFrame, source: str, port: str, more_than: int = 100, length: str = "60 seconds",
+    lateness: str = LATENESS, error: float = 0.02,
+) -> DataFrame:
+    """``port_scan_stream`` from distinct sketches: state of a fixed size per source and window, whatever is scanned.
+
+    Sketches merge in the map tasks before the shuffle. ``ports`` is an estimate with a relative
+    standard deviation of ``error``; ``sure`` says that the limit is passed by more than three of them. Sources near the limit are
+    for the exact form.
+    """
+    ports = F.approx_count_distinct(port, error)
+    return (
+        rows.withWatermark("ts", lateness).groupBy(source, F.window("ts", length).alias("w")).agg(ports.alias("ports"))
+        .where(F.col("ports") > more_than * (1 - 3 * error))
+        .select(source, F.col("w.start").alias("window_start"), "ports", (F.col("ports") > more_than * (1 + 3 * error)).alias("sure"))
+    )
+
+
 def incident_sessions(alerts: DataFrame, gap: str = SESSION_GAP, lateness: str = LATENESS,
                       agent: str = "agent_name") -> DataFrame:
     """Runs of alerts of an agent without a pause of ``gap``: start, last event, count, top level."""
@@ -140,6 +174,28 @@ def lines_store(alerts_path: str, rejects_path: str):
     return write
 
 
+def live_store(alerts_path: str, rejects_path: str, counts_path: str, **rules):
+    """Batch writer for parsed lines: kept alerts, rejected lines with their errors, and how many lines had which outcome.
+
+    Each batch owns one folder per table, so a repeated batch replaces its own rows.
+    """
+    def write(parsed: DataFrame, batch_id: int) -> None:
+        parsed = parsed.persist()
+        try:
+            judged = judged_lines(parsed, **rules)
+            tables = {
+                alerts_path: judged.where("outcome = 'kept'").drop("outcome", "errors"),
+                rejects_path: judged.where("outcome = 'rejected'").select("line", "errors"),
+                counts_path: judged.groupBy("outcome").agg(F.count("*").alias("n")),
+            }
+            for path, rows in tables.items():
+                rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            parsed.unpersist()
+
+    return write
+
+
 def latest_table(path: str):
     """Batch writer for small running results: the table is replaced."""
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -94,6 +94,14 @@ SELECT seq, CASE WHEN k % 19 = 0 THEN left(value, 40) WHEN k % 19 = 1 THEN '   '
 FROM (SELECT r.seq, r.value, a.k FROM raw_lines r JOIN alerts a ON r.seq = a.seq) x
 """
 
+# and some alerts whose level cannot be read
+DERIVED["live_lines"] = """
+SELECT m.seq AS seq, CASE WHEN form = 3 THEN replace(m.value, '"level":', '"level":"n/a","was":') ELSE m.value END AS value,
+  CASE WHEN form = 1 THEN 'blank' WHEN form IN (0, 2) THEN 'malformed' WHEN form = 3 THEN 'rule.level'
+    WHEN rule_level >= 5 AND rule_id NOT IN ('533', '531', '510') THEN 'kept' ELSE 'skipped' END AS fate
+FROM mixed_lines m JOIN alerts a ON m.seq = a.seq
+"""
+
 # alerts in the normalised JSON form, some with a required field missing or of the wrong type
 DERIVED["posted"] = """
 SELECT seq, '{"seq":' || CAST(seq AS STRING) || ',"alert_id":' || CASE WHEN k % 11 = 0 THEN 'null' ELSE '"' || alert_id || '"' END
@@ -315,6 +323,11 @@ SELECT query, embedding FROM (
       ELSE 4 END AS want FROM alerts) a JOIN embeddings e ON e.label = a.want) x WHERE rn = 1
 """
 
+# searches in words: passages, many of which occur in the documents
+DERIVED["text_queries"] = """
+SELECT CAST(item_id AS STRING) AS query_id, text AS query FROM benchmark
+"""
+
 # --- model answers and agent steps ---------------------------------------------------------
 
 DERIVED["completions"] = """
@@ -355,6 +368,7 @@ NEEDS = {
     "technique_vectors": ["embeddings", "documents"],
     "cve_vectors": ["embeddings", "documents"],
     "vector_queries": ["embeddings"],
+    "text_queries": ["benchmark"],
     "query_vectors": ["alerts", "embeddings"],
     "techniques": ["part"],
     "uses_edges": ["lineitem"],
@@ -370,6 +384,7 @@ NEEDS = {
     "raw_fields": ["alerts"],
     "raw_lines": ["raw_fields"],
     "mixed_lines": ["raw_lines", "alerts"],
+    "live_lines": ["mixed_lines", "alerts"],
     "posted": ["alerts"],
     "requests": ["conversations"],
     "file_events": ["alerts"],

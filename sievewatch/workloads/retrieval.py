@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as rv
+from ..plans import inverted, postings
 from .inputs import Registry
 
 R = Registry()
@@ -264,3 +265,93 @@ SELECT query_id, id, severity, distance, rank FROM c""",
         "query_id", "id", "severity", "distance", "rank"
     )
 )
+
+# the index is approximate; its recall beside the full search is what is checked
+R.add("r18_index_recall", """
+SELECT count(*) AS queries, 5 * count(*) AS answers, TRUE AS recall_holds, TRUE AS fewer_rows_read
+FROM vector_queries""", "vector_queries")(lambda t: index_recall(t))
+
+
+def index_recall(t):
+    index = inverted.scratch_index(t.cve_vectors)
+    hits = rv.search(t.vector_queries, t.cve_vectors, 5, index=index).select("query_id", "id")
+    exact = rv.nearest(t.vector_queries, t.cve_vectors, 5).select("query_id", "id")
+    found = exact.join(hits.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").agg(
+        F.countDistinct("query_id").alias("queries"), (F.count("hit") / F.count("*") >= 0.9).alias("recall_holds"))
+    read = index.rows_searched(t.vector_queries).agg((F.avg("searched") < index.n).alias("fewer_rows_read"))
+    # three tables of one row each
+    return found.join(hits.agg(F.count("*").alias("answers")), F.lit(True)).join(read, F.lit(True)).select(
+        "queries", "answers", "recall_holds", "fewer_rows_read")
+
+
+R.add("r18_index_search")(
+    lambda t: rv.search(t.vector_queries, t.cve_vectors, 5, index=inverted.scratch_index(t.cve_vectors))
+    .select("query_id", "id", "severity", "distance", "rank")
+)
+
+
+def unit_words(name: str, table: str, key: str, text: str) -> str:
+    """CTEs: weighted words of unit length; ``idf`` comes from the collection."""
+    return f"""{name}_c AS (SELECT {key} AS key, term, count(*) AS tf FROM (SELECT {key},
+    unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{Nd}}]+')) AS term FROM {table}) x GROUP BY 1, 2)"""
+
+
+def weighted(name: str) -> str:
+    return f"""{name}_w AS (SELECT key, term, tf * idf AS w FROM {name}_c JOIN idf USING (term)),
+{name}_u AS (SELECT key, term, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM {name}_w)"""
+
+
+def text_ranked(docs: str, queries: str, k: int, key: str = "query_id", text: str = "query") -> str:
+    """CTEs up to ``hits (query_id, id, distance, rank)``: the full product over all words."""
+    return f"""{unit_words('d', docs, 'id', 'text')}, {unit_words('q', queries, key, text)},
+idf AS (SELECT term, ln((n + 1.0::DOUBLE) / (count(*) + 1)) AS idf FROM d_c,
+  (SELECT count(*) AS n FROM {docs} WHERE text IS NOT NULL) s GROUP BY term, n),
+{weighted('d')}, {weighted('q')},
+scored AS (SELECT q.key AS query_id, d.key AS id, round(greatest(0.0::DOUBLE, 2 - 2 * sum(q.w * d.w)), 6) AS distance
+  FROM q_u q JOIN d_u d ON q.term = d.term WHERE q.w > 0 AND d.w > 0 GROUP BY q.key, d.key),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank
+  FROM scored) r WHERE rank <= {k})
+"""
+
+
+R.add("r2_text_search", f"""
+, {text_ranked('technique_vectors', 'text_queries', 5)}
+SELECT query_id, source, h.id AS id, name, left(text, 500) AS text, tactics, distance, rank
+FROM hits h JOIN technique_vectors d ON d.id = h.id""", "technique_vectors", "text_queries")(
+    lambda t: rv.search_text(t.text_queries, rv.require_filled(t.technique_vectors, "techniques"), 5)
+    .select("query_id", "source", "id", "name", "text", "tactics", "distance",
+            F.col("rank").cast("bigint").alias("rank"))
+)
+
+R.add("r3_text_search", f"""
+, {text_ranked('cve_vectors', 'text_queries', 3)}
+SELECT query_id, source, h.id AS id, name, left(text, 500) AS text, severity, cvss_score, distance, rank
+FROM hits h JOIN cve_vectors d ON d.id = h.id""", "cve_vectors", "text_queries")(
+    lambda t: rv.search_text(t.text_queries, rv.require_filled(t.cve_vectors, "CVEs"), 3).select(
+        "query_id", "source", "id", "name", "text", "severity", "cvss_score", "distance", "rank"
+    )
+)
+
+# the collections share their texts, so a tie at every place: techniques first
+R.add("r5_text_search_both", f"""
+, {text_ranked('technique_vectors', 'text_queries', 3)},
+both_hits AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, place, id) AS rank FROM (
+  SELECT query_id, id, distance, 0 AS place FROM hits
+  UNION ALL SELECT query_id, 'CVE-2024-' || substr(id, 2), distance, 1 FROM hits) u)
+SELECT * FROM both_hits""", "technique_vectors", "text_queries")(
+    lambda t: rv.search_both(
+        t.text_queries, t.technique_vectors, t.cve_vectors, 3, postings.scratch_text_index(t.technique_vectors),
+        postings.scratch_text_index(t.cve_vectors)).select("query_id", "id", "distance", "rank")
+)
+
+R.add("r13_alert_context_from_text", f"""
+, asked AS (SELECT alert_id, description || ' ' || replace(tags, ',', ' ') AS query FROM alerts),
+texts AS (SELECT DISTINCT query FROM asked),
+{text_ranked('technique_vectors', 'texts', 3, 'query', 'query')},
+ctx AS (SELECT query_id AS query, string_agg('[' || h.id || '] ' || name || ':' || chr(10) || left(text, 300)
+    || '...', chr(10) || chr(10) ORDER BY rank) AS mitre_context
+  FROM hits h JOIN technique_vectors d ON d.id = h.id GROUP BY query_id)
+SELECT alert_id, a.query, mitre_context FROM asked a LEFT JOIN ctx c ON c.query = a.query""",
+      "alerts", "technique_vectors")(
+    lambda t: rv.alert_context(t.alerts, None, t.technique_vectors).select("alert_id", "query", "mitre_context")
+)

@@ -6,11 +6,13 @@ that are still open at the end of the input.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources import alerts as src
-from ..streaming import live
+from ..streaming import live, stateful
 from .alerts import KEPT
 from .inputs import Registry
 
@@ -83,6 +85,29 @@ HAVING count(*) > 8 AND window_start + INTERVAL 6 HOUR <= {CLOSED}""", "alerts")
     ), "windows")
 )
 
+TRAILING = "OVER (PARTITION BY agent_name ORDER BY second RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW)"
+
+# the trailing window of the batch detection, moment by moment
+R.add("st4_brute_force_trailing", f"""
+, s AS ({SECONDS}), c AS (SELECT agent_name, CAST(epoch(t0) AS BIGINT) AS second, count(*) AS n FROM s GROUP BY 1, 2),
+w AS (SELECT agent_name, second, sum(n) {TRAILING} AS attempts, min(second) {TRAILING} AS first FROM c)
+SELECT agent_name, second, CAST(attempts AS BIGINT) AS attempts, second - first AS timespan_seconds
+FROM w WHERE attempts > 8 AND second + 1 <= (SELECT max(second) - 600 FROM c)""", "alerts")(
+    lambda t: finish(t, stateful.brute_force_trailing(
+        all_live(t).select("agent_name", "ts"), "agent_name", more_than=8, seconds=21600), "trailing")
+)
+
+R.add("st4_port_scan_sketch", f"""
+, s AS ({SECONDS})
+SELECT agent_name, date_trunc('day', t0) AS window_start, count(DISTINCT rule_id) AS ports FROM s
+GROUP BY 1, 2 HAVING count(DISTINCT rule_id) > 10
+  AND date_trunc('day', t0) + INTERVAL 1 DAY <= {CLOSED}""", "alerts")(
+    # few ports: the sketch still counts them exactly
+    lambda t: finish(t, live.port_scan_sketch_stream(
+        all_live(t).withColumn("port", F.col("rule.id")), "agent_name", "port", more_than=10, length="1 day", error=0.01,
+    ), "sketches").where("ports > 10").select("agent_name", "window_start", "ports")
+)
+
 R.add("st4_port_scan_stream", f"""
 , s AS ({SECONDS})
 SELECT agent_name, date_trunc('day', t0) AS window_start, count(DISTINCT rule_id) AS ports FROM s
@@ -115,6 +140,33 @@ WHERE session_end <= {CLOSED}""", "alerts")(
 )
 
 
+def fallen_silent(t, wait_seconds: int = 300):
+    """Follow the landed file, after which nothing comes any more, until every agent is reported."""
+    path, alerts = scratch_path(t.spark, "clock"), all_live(t).select("agent_name", "ts")
+    agents = t.alerts.select("agent_name").distinct().count()
+    query = live.start(stateful.silent_agents_by_clock(alerts, 2), path, scratch_path(t.spark, "clock-cp"), interval="1 second")
+    rows = t.spark.createDataFrame([], "agent_name STRING, last_seen TIMESTAMP, events LONG")
+    try:
+        for _ in range(wait_seconds):
+            time.sleep(1)
+            if query.exception() is not None:
+                raise query.exception()
+            if query.recentProgress and any(p["sink"]["numOutputRows"] != 0 for p in query.recentProgress):
+                rows = t.spark.read.schema(rows.schema).parquet(path)
+                if rows.count() >= agents:
+                    break
+    finally:
+        query.stop()
+    return rows
+
+
+R.add("st5_silent_by_clock", f"""
+, s AS ({SECONDS})
+SELECT agent_name, max(t0) AS last_seen, count(*) AS events FROM s GROUP BY agent_name""", "alerts")(
+    lambda t: fallen_silent(t).select("agent_name", "last_seen", "events")
+)
+
+
 def counted(t):
     path = scratch_path(t.spark, "counts")
     live.each_batch(
@@ -147,6 +199,26 @@ UNION ALL SELECT 'rejects', count(*) FROM mixed_lines WHERE form IN (0, 2)""", "
     split_lines
 )
 
+def live_outcomes(t):
+    paths = [scratch_path(t.spark, n) for n in ("kept", "rejects", "outcomes")]
+    lines = src.parse_lines(src.stream_lines(t.spark, t.landed("live_lines")))
+    live.each_batch(lines, live.live_store(*paths), scratch_path(t.spark, "outcomes-cp"), once=True).awaitTermination()
+    return [t.spark.read.parquet(p) for p in paths]
+
+
+R.add("st1_rejected", """
+SELECT CASE WHEN form IN (0, 2) THEN 'line' ELSE 'rule.level' END AS errors, trim(value) AS line
+FROM (SELECT l.value AS value, form FROM live_lines l JOIN mixed_lines m ON l.seq = m.seq) x WHERE form IN (0, 2, 3)""",
+      "live_lines")(
+    lambda t: live_outcomes(t)[1].select(F.array_join("errors", ",").alias("errors"), "line")
+)
+
+R.add("st1_outcomes", """
+SELECT CASE WHEN fate IN ('malformed', 'rule.level') THEN 'rejected' ELSE fate END AS outcome, count(*) AS n
+FROM live_lines WHERE fate <> 'blank' GROUP BY 1""", "live_lines")(
+    lambda t: live_outcomes(t)[2].groupBy("outcome").agg(F.sum("n").alias("n"))
+)
+
 R.add("st8_enriched_stream", """
 SELECT a.alert_id, a.technique_id, v.name AS technique, v.phase_name AS tactics FROM alerts a
 LEFT JOIN techniques v ON v.technique_id = a.technique_id AND NOT deprecated AND NOT revoked""",
