@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches
 
-CACHE_PIECES = 250_000  # entries of one generation of a worker's memory (about 50 MB)
+CACHE_PIECES, CACHE_WORDS = 300_000, 60_000  # entries of one generation of a worker's memory (about 70 MB together)
 LONG_PIECE = 200  # longer pieces are not remembered
 _GAP = re.compile(r"(?<=\S) ")
 _WIDE_GAP = re.compile(r"\s ")
@@ -114,19 +114,27 @@ class Coder:
         self.tokens = token_bytes(self.tokenizer)
         self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.char = dict(enumerate(byte_table()))
-        self.pieces, self.words = Remembered(), Remembered()
+        self.pieces, self.words = Remembered(), Remembered(CACHE_WORDS)
+        self.blank = self.char[0x20]
+
+    def _ids(self, shown: str) -> bytes:
+        """Ids of one match of the pattern, whose bytes are written as characters, by the merges alone."""
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Ids of one match of the pattern, by the merges alone."""
         got = self.words.get(word)
         if got is None:
             # each byte as the character that stands for it
-            shown = word.encode("utf-8").decode("latin-1").translate(self.char)
-            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            got = self._ids(word.encode("utf-8").decode("latin-1").translate(self.char))
             self.words.put(word, got)
         return got
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isascii():  # ASCII letters stand for themselves
+            if piece.isalpha():
+                return self._ids(piece)
+            if piece[:1] == " " and piece[1:].isalpha():
+                return self._ids(self.blank + piece[1:])
         plain = _PLAIN.fullmatch(piece)
         if plain:
             return b"".join([self._word(x) for x in plain.groups() if x])

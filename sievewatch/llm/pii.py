@@ -41,7 +41,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?=[A-Z0-9-]*[0-9]{4})[A-Z0-9][A-Z0-9-]{4,24}[A-Z0-9](?![A-Za-z0-9])")
 _BEHIND_CUE = re.compile(r"(?: ?(?:no|nr|number|id))?\.? ?[#:=]? ?\"?")
-_VALUE = re.compile(r" ?[:=] ?[\"']?([A-Za-z0-9+/_.=-]{8,})")
+_SIGN = re.compile(r" ?[:=] ?[\"']?")
+_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _ADDRESS = re.compile(r"[^\s\"'<>]+")
 
 
@@ -104,7 +105,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             m = _QUAD.match(text, start) if start < at else None
             if m:
                 done["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                parts = [p.lstrip("0") for p in m[0].split(".")]  # of any length
+                if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
                     found["ip"].append(m.span())
         elif kind == "digits":
             # the automaton meets the first two digits of a run first, so a run begins at its anchor
@@ -133,10 +135,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 done["account"] = m.end()
                 found["account"].append(m.span())
         elif kind == "secret":
-            m = _VALUE.match(text, last + 1)
-            if m and m.start(1) >= done["secret"] and any(c in _DIGITS for c in m[1]):
-                done["secret"] = m.end(1)
-                found["secret"].append(m.span(1))
+            sign = _SIGN.match(text, last + 1)
+            m = _VALUE.match(text, sign.end()) if sign and sign.end() >= done["secret"] else None
+            if m:
+                done["secret"] = m.end()  # a value without a digit holds none behind a cue inside it either
+                if any(c in _DIGITS for c in m[0]):
+                    found["secret"].append(m.span())
         elif at >= done["url"]:
             m = _ADDRESS.match(text, last + 1)
             if m:

@@ -7,8 +7,8 @@ at each level the one that keeps only the tokens with that share or more. Fields
 part a leaf at the low levels only, whatever the size of the input. This needs counts only, so it does not depend on the
 order in which lines are met, and a leaf of any size is counted on the map side.
 
-Lines that recur word for word are counted besides by their exact text: short ones have no leaf, and longer
-ones need fewer documents.
+Lines that recur word for word are counted besides by their exact text: short ones have no leaf, longer
+ones need fewer documents, and one occurrence of each stays.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ LEAST_DOCUMENTS = 8  # a template recurs from here on
 VERBATIM_DOCUMENTS, LONG_TOKENS, LONG_DOCUMENTS = 4, 50, 2
 #: Levels: least share of the lines of a leaf that hold a fixed token. At most 1 / SHARES[0] tokens of a place are listed.
 SHARES = (0.05, 0.2, 0.5, 0.9)
-#: Rows of the lists that are broadcast instead of shuffling lines or texts (8 and about 60 bytes a row).
-BROADCAST_LEAVES, BROADCAST_ROWS = 2_000_000, 300_000
+#: Rows of the lists that are broadcast instead of shuffling lines or texts (up to 20 and about 60 bytes a row).
+BROADCAST_LEAVES, BROADCAST_ROWS = 400_000, 100_000
+SLICE_LINES = 4096  # lines of one leaf that meet its list of tokens in one place
 _VARIABLE = re.compile(r"\S*[0-9]\S*")
 
 
@@ -105,10 +106,11 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with the listed tokens of their leaf to ``(row, line, template)``: the different templates of all levels."""
+    """Lines with the listed tokens of their leaf to ``(row, line, exact, template)``: the different templates of all levels."""
     for b in batches:
-        out, known, last = {"row": [], "line": [], "template": []}, {}, None
-        for row, line, leaf, tokens, fixed in zip(*(b[c].to_pylist() for c in ("row", "line", "leaf", "tokens", "fixed")), strict=True):
+        out, known, last = {"row": [], "line": [], "exact": [], "template": []}, {}, None
+        for row, line, exact, leaf, tokens, fixed in zip(
+                *(b[c].to_pylist() for c in ("row", "line", "exact", "leaf", "tokens", "fixed")), strict=True):
             if leaf != last:
                 known, last = {x >> _LEVEL_BITS: x & (1 << _LEVEL_BITS) - 1 for x in fixed or ()}, leaf
             t = np.frombuffer(tokens, "<u4")
@@ -127,9 +129,11 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = leaf.to_bytes(8, "little", signed=True) + np.where(stay, t, 0).astype("<u4").tobytes()
                     out["row"].append(row)
                     out["line"].append(line)
+                    out["exact"].append(exact)
                     out["template"].append(_hash(key))
         yield pa.RecordBatch.from_pydict({
-            "row": pa.array(out["row"], pa.int64()), "line": pa.array(out["line"], pa.int32()), "template": pa.array(out["template"], pa.int64())})
+            "row": pa.array(out["row"], pa.int64()), "line": pa.array(out["line"], pa.int32()), "exact": pa.array(out["exact"], pa.int64()),
+            "template": pa.array(out["template"], pa.int64())})
 
 
 def _sent(stored_rows: DataFrame, most: int) -> DataFrame:
@@ -145,14 +149,21 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
         all_lines.where("need > 0").select("row", "exact", "need").distinct().groupBy("exact").agg(F.count("*").alias("docs"), F.min("need").alias("need"))
         .where("docs >= need").select("exact")
     )
-    verbatim = all_lines.where("need > 0").select("row", "line", "exact").join(_sent(stored(exact, "exact"), BROADCAST_LEAVES), "exact").select("row", "line")
-    lines = all_lines.where("leaf is not null").select("row", "line", "leaf", "tokens")
+    verbatim = all_lines.where("need > 0").select("row", "line", "exact").join(_sent(stored(exact, "exact"), BROADCAST_LEAVES), "exact")
+    verbatim = stored(verbatim, "verbatim")
+    # one occurrence of each text stays
+    stays = verbatim.groupBy("exact").agg(F.min(F.struct("row", "line")).alias("first")).select("first.row", "first.line")
+    copies = verbatim.select("row", "line").join(stays, ["row", "line"], "left_anti")
+    lines = all_lines.where("leaf is not null").select("row", "line", "exact", "leaf", "tokens")
     leaves = (
         lines.groupBy("row", "leaf").agg(F.count("*").alias("k")).groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("k").alias("lines"))
         .where(F.col("docs") >= LEAST_DOCUMENTS).select("leaf", "lines")
     )
-    leaves = stored(leaves, "leaves")
-    met = stored(lines.join(_sent(leaves.select("leaf"), BROADCAST_LEAVES), "leaf"), "met")
+    # the lines of a leaf are dealt to slices of bounded size
+    leaves = stored(leaves.withColumn("slices", F.ceil(F.col("lines") / SLICE_LINES).cast("int")), "leaves")
+    slice_ = F.pmod(F.xxhash64("row", "line"), F.col("slices")).cast("int").alias("slice")
+    met = lines.join(_sent(leaves.select("leaf", "slices"), BROADCAST_LEAVES), "leaf")
+    met = stored(met.select("row", "line", "exact", "leaf", slice_, "tokens"), "met")
     places = met.select("leaf", "tokens").mapInArrow(_places, "leaf long, place int, token long, n long")
     places = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
     # a token of fewer lines than LEAST_DOCUMENTS is in no recurring template
@@ -161,30 +172,34 @@ def recurring_lines(rows: DataFrame) -> DataFrame:
     level = sum((F.col("n") >= F.col("lines") * x).cast("long") for x in SHARES) - 1
     # (place << 32 | token) and its level; no more than 1 / SHARES[0] at each place
     entry = F.expr(f"shiftleft(shiftleft(cast(place as bigint), 32) | token, {_LEVEL_BITS})").bitwiseOR(level)
-    fixed = places.groupBy("leaf").agg(F.collect_list(entry).alias("fixed"))
-    found = met.join(fixed, "leaf", "left").select("row", "line", "leaf", "tokens", "fixed").mapInArrow(
-        _templates, "row long, line int, template long")
+    fixed = places.groupBy("leaf", "slices").agg(F.collect_list(entry).alias("fixed"))
+    fixed = fixed.select("leaf", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "fixed")
+    found = met.join(fixed, ["leaf", "slice"], "left").select("row", "line", "exact", "leaf", "tokens", "fixed").mapInArrow(
+        _templates, "row long, line int, exact long, template long")
     found = stored(found, "templates")
+    # a template of one text only is that text word for word
     often = (
-        found.select("row", "template").distinct().groupBy("template").agg(F.count("*").alias("docs"))
-        .where(F.col("docs") >= LEAST_DOCUMENTS).select("template")
+        found.groupBy("row", "template").agg(F.min("exact").alias("low"), F.max("exact").alias("high"))
+        .groupBy("template").agg(F.count("*").alias("docs"), F.min("low").alias("low"), F.max("high").alias("high"))
+        .where((F.col("docs") >= LEAST_DOCUMENTS) & (F.col("low") != F.col("high"))).select("template")
     )
-    return found.join(_sent(stored(often, "often"), BROADCAST_LEAVES), "template").select("row", "line").union(verbatim)
+    return found.select("row", "line", "template").join(_sent(stored(often, "often"), BROADCAST_LEAVES), "template").select("row", "line").union(copies)
 
 
 def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_dropped, text``: one row per input row, without its recurring lines.
 
-    A line goes in every document if one of its templates occurs in ``LEAST_DOCUMENTS`` documents or more and
+    A line goes in every document if one of its templates occurs in ``LEAST_DOCUMENTS`` documents or more, in different wordings, and
     has more fixed words than variable ones there; tokens with a digit count on neither side. It also goes if its
     exact text, without white space at its ends, occurs in ``LONG_DOCUMENTS`` (from ``LONG_TOKENS`` tokens on),
-    ``VERBATIM_DOCUMENTS`` (from ``LEAST_TOKENS`` on) or ``LEAST_DOCUMENTS`` documents (shorter ones). Short lines without a letter and
+    ``VERBATIM_DOCUMENTS`` (from ``LEAST_TOKENS`` on) or ``LEAST_DOCUMENTS`` documents (shorter ones), but for one occurrence (the
+    smallest hash of id and text, there the first line), so that no text is lost with its last copy. Short lines without a letter and
     lines of numbers below ``LONG_TOKENS`` tokens stay. A null text stays
     null and has no lines; an empty text has one. Rows are told apart by content, so null and repeated ids do
     no harm: rows that share id and text are one document and get the same text. Other columns are not read.
     """
     text = F.col(text_col)
-    key = F.xxhash64(F.col(id_col).cast("string"), text)
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), text, text.isNull())
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), key.alias("row"))
     gone = stored(recurring_lines(base.select("row", "text")).distinct(), "dropped")
     per_row = stored(gone.groupBy("row").agg(F.collect_list("line").alias("_gone")), "gone")
