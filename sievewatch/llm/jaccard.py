@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import reliable_checkpoint
-from .common import bounded_batches, components, stored
+from .common import bounded_batches, components, private, stored
 from .shingles import digest, shingle_sets
 
 LOW_SHARE = 1.75  # share of the tokens that is counted for all sets, in prefix lengths
@@ -29,6 +29,7 @@ VERIFY_COST = 8  # a verification in list entries
 PART_TOKENS = 1 << 20  # counted tokens of one partition, on average
 SPLIT = 1 << 12  # cells of the hash range that partitions are made of
 BROADCAST_IDS = 2_000_000  # ids (8 bytes) that may be broadcast
+GONE_IDS = 500_000  # dropped rows (id and hash) that may be broadcast
 STAR_ROUNDS = 1  # most rounds of stars before pairs are made
 PAIRS_AT_ONCE = 200_000  # pairs of list entries, beside twice their number, that need no stars first
 
@@ -329,14 +330,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     hash of its text, of rows that share id and text one. Rows are dropped by id and hash, so a repeated id with another
     text is judged for itself. Rows without shingles stay.
     """
+    gone_id, gone_h = private(docs.columns, "_gone", "_gone_h")
     marks = _marks(docs, id_col, text_col, k, percent).where("n_shingles > 0").select(
-        F.col("doc_id").alias("_gone"), F.col("_h").alias("_gone_h"), F.expr("doc_id <=> _first.id and _h = _first.h").alias("stays"))
-    marks = stored(marks.groupBy("_gone", "_gone_h", "stays").agg(F.count("*").alias("c")).where("not stays or c > 1"), "gone")
-    gone, twins = (marks.where(x).select("_gone", "_gone_h") for x in ("not stays", "stays"))
+        F.col("doc_id").alias(gone_id), F.col("_h").alias(gone_h), F.expr("doc_id <=> _first.id and _h = _first.h").alias("stays"))
+    marks = stored(marks.groupBy(gone_id, gone_h, "stays").agg(F.count("*").alias("c")).where("not stays or c > 1"), "gone")
+    gone, twins = (marks.where(x).select(gone_id, gone_h) for x in ("not stays", "stays"))
     h = F.xxhash64(docs[text_col])
-    same = docs[id_col].eqNullSafe(F.col("_gone")) & (h == F.col("_gone_h"))
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    same = docs[id_col].eqNullSafe(F.col(gone_id)) & (h == F.col(gone_h))
+    out = docs.join(F.broadcast(gone) if gone.count() <= GONE_IDS else gone, same, "left_anti")
     if twins.isEmpty():
         return out
-    once = out.join(twins, same, "left_semi").withColumn("_gone_h", h).dropDuplicates([id_col, "_gone_h"]).drop("_gone_h")
+    once = out.join(twins, same, "left_semi").withColumn(gone_h, h).dropDuplicates([id_col, gone_h]).drop(gone_h)
     return out.join(twins, same, "left_anti").unionByName(once)

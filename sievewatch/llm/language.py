@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stored
+from .common import private, stored
 
 WINDOW = 256  # bytes; every text is cut into windows of this length, the last one padded with zeros
 WIDTHS = (2, 3, 4, 5)
@@ -210,5 +210,5 @@ def keep_known(docs: DataFrame, net: ByteNet, text_col: str = "text", least: flo
     """
     if not net.labels:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
-    name, least = "_language_of_text", min(least, OVER_CHANCE / len(net.labels))
+    (name,), least = private(docs.columns, "_language_of_text"), min(least, OVER_CHANCE / len(net.labels))
     return identify(docs, net, text_col, name).where(F.col(name)["score"] >= least).select(*[docs[c] for c in docs.columns])

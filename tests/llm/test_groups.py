@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from sievewatch.llm import balltree, bpe, exact, hosts, jaccard, packing, shards
+from sievewatch.llm import balltree, bpe, exact, hosts, jaccard, language, packing, shards
 from sievewatch.llm.common import components
 
 DOCS = "doc_id long, text string, n long, v string, group_size long"
@@ -53,7 +53,10 @@ def test_components(spark):
 # --- exact duplicates ------------------------------------------------------------------------
 
 
-def test_exact(spark):
+@pytest.mark.parametrize("limits", [{}, {"MOST_PLACES": 1600}, {"MOST_WORDS": 0}, {"HOT_GROUPS": 3}, {"HOT_GROUPS": 10**9, "PLACES_PER_ROW": 1}])
+def test_exact(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(exact, name, value)
     rows = [(1, "Aa b"), (2, "aA B"), (3, "äÄ"), (4, "ÄÄ"), (5, None), (6, ""), (7, "one"), (8, "AA b"), (9, "x" * 100000)]
     rows += [(100 + i, "hot text") for i in range(300)] + [(1000 + i, f"text {i}") for i in range(300)]
     out = {r.doc_id: r for r in exact.mark_duplicates(table(spark, rows)).collect()}
@@ -80,9 +83,27 @@ def test_exact_repeated_and_null_ids(spark):
     assert kept == [(1, "b"), (2, "a"), (None, "c")]
 
 
+def test_exact_filter_passes_single_rows(spark):
+    """Few rows without a copy are shuffled by hash; no row with one passes straight through, however large its group."""
+    rows = spark.range(6000).selectExpr(
+        "id AS doc_id", "sha2(CAST(CASE WHEN id < 2000 THEN -1 WHEN id < 2200 THEN -2 - id % 100 ELSE id END AS STRING), 256) AS text_sha256")
+    tested = {r.doc_id: r.maybe for r in exact._possibly_repeated(rows, 6000).collect()}
+    assert all(tested[i] for i in range(2200)) and sum(tested.values()) < 2200 + 3800 * 0.15
+
+
+def test_clashing_column_names(spark):
+    """Stages keep tables whose columns have the names that the library uses itself."""
+    names = ["_gone", "_gone_h", "_gone_id", "_gone_sha", "_language_of_text", "stays", "c", "kept", "_GONE"]
+    docs = spark.createDataFrame([(i, "one two three four five six " + "x" * (i % 3), *names[:-1]) for i in range(6)], ["doc_id", "text", *names[:-1]])
+    docs = docs.withColumn("text_sha256", F.lit(1))
+    net = language.ByteNet(["a", "b"])
+    for out, n in ((exact.drop_duplicates(docs), 3), (jaccard.keep_one(docs), 3), (language.keep_known(docs, net, least=0.0), 6)):
+        assert out.columns == docs.columns and out.count() == n
+
+
 def test_exact_small_filter(spark, monkeypatch):
-    """A filter far too small lets rows through; the result stays."""
-    monkeypatch.setattr(exact, "MAX_BITS", 64)
+    """A filter far too small lets rows through, slices of few rows are many; the result stays."""
+    monkeypatch.setattr(exact, "MOST_PLACES", 640)
     rows = [(i, f"t{i % 150}") for i in range(200)]
     out = exact.mark_duplicates(table(spark, rows)).collect()
     assert all((r.group_size, r.keep_id) == ((2, r.doc_id % 150 + 150) if r.doc_id % 150 < 50 else (1, r.doc_id)) for r in out)
