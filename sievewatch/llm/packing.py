@@ -2,15 +2,16 @@
 
 Only the histogram of lengths (at most ``SIZE`` numbers) reaches the driver. There the plan is made
 for lengths, not for documents: large lengths are rounded up within groups of equal cardinality, a
-linear program over configurations (filled by column generation) packs the few rounded sizes, the
-actual lengths take their places, and the others go where they fit best: the small lengths, and the
-large ones of bins that would stay too empty after the substitution. The plan is a table of
+linear program over configurations (filled by column generation) packs the few rounded sizes, and the
+actual lengths take their places, the last place of a bin the largest one that still fits. Part of the configurations are carried out so, then
+what is left is grouped anew. The small lengths, and the last few large ones, go where they fit best. The plan is a table of
 runs ``(length, first rank, bins, copies, first bin, offset)``; the documents find their place by
 their rank among those of equal length.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections import defaultdict
@@ -24,30 +25,28 @@ from .bpe import read_vocabulary, worker_coder
 from .common import bounded_batches, stored
 
 SIZE = 2048
-GROUPS = 64  # rounded sizes of the large lengths
+GROUPS = 32  # rounded sizes of the large lengths
 SMALL = 4  # lengths up to SIZE / SMALL are small
-SLACK = 256  # a configuration's bin stays if its actual lengths leave at most SIZE / SLACK free
+TURNS, SHARE = 16, 4  # times that the lengths which are left are grouped, and the part (one in SHARE) of the configurations used in a turn
 RANK_ROWS = 4096  # rows of one rank window, on average
 _COLUMNS = 300  # most configurations that column generation adds
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
     """Counts of the most valuable configuration (any number of each size)."""
-    best, pick = np.zeros(size + 1), np.full(size + 1, -1)
-    low = int(sizes.min())
-    for c in range(low, size + 1):
-        fits = np.flatnonzero(sizes <= c)
-        gain = best[c - sizes[fits]] + value[fits]
-        i = int(gain.argmax())
-        if gain[i] > best[c - 1] + 1e-12:
-            best[c], pick[c] = gain[i], fits[i]
-        else:
-            best[c] = best[c - 1]
+    most = size // int(sizes.min())
+    room = np.arange(size + 1)[:, None] - sizes[None, :]
+    best, picks = np.zeros(size + 1), []
+    for _ in range(most):  # one item more in each turn
+        gain = np.where(room >= 0, best[np.maximum(room, 0)] + value[None, :], 0.0)
+        pick = gain.argmax(axis=1)
+        new = gain[np.arange(size + 1), pick]
+        pick = np.where(new > best + 1e-12, pick, -1)
+        picks.append(pick)
+        best = np.maximum(best, new)
     counts, c = np.zeros(len(sizes), np.int64), size
-    while c >= low:
-        if pick[c] < 0:
-            c -= 1
-        else:
+    for pick in reversed(picks):
+        if pick[c] >= 0:
             counts[pick[c]] += 1
             c -= int(sizes[pick[c]])
     return counts
@@ -113,7 +112,7 @@ class Plan:
     """Classes of equal bins: each holds ``count`` bins from ``first`` on with the same contents."""
 
     def __init__(self, size: int):
-        self.size, self.bins = size, 0
+        self.size, self.bins, self.by_plan = size, 0, 0  # by_plan: items placed by configurations
         self.heap: dict[int, list[tuple[int, int, tuple]]] = defaultdict(list)  # slack: (first, count, runs)
         self.used: dict[int, int] = defaultdict(int)  # ranks given out for each length
         self.closed: list[tuple[int, int, tuple]] = []
@@ -177,60 +176,61 @@ class Plan:
         return out
 
 
-def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Runs and number of bins for ``{length: count}`` with lengths from 1 to ``size``."""
+def _filled(made: Plan, config: list[int], times: int, stock: dict[int, int], ready: list[int]) -> None:
+    """``times`` bins of a configuration (rounded sizes, falling) with actual lengths; equal bins are made in one go.
+
+    A place takes the largest length that is left of its size or less; the last place the largest one that still fits into the bin, so that what
+    rounding up has cost is used. ``ready`` holds the lengths of ``stock`` in order.
+    """
+    while times and ready:
+        rest, want = made.size, defaultdict(int)
+        for i, size in enumerate(config):
+            at = bisect.bisect_right(ready, rest if i == len(config) - 1 else min(size, rest)) - 1
+            while at >= 0 and stock[ready[at]] <= want[ready[at]]:
+                at -= 1
+            if at >= 0:
+                want[ready[at]] += 1
+                rest -= ready[at]
+        want = {n: q for n, q in want.items() if q}
+        if not want:
+            return
+        bins = min(times, *(stock[n] // q for n, q in want.items()))
+        made.add(made.bins, bins, tuple((n, made.take(n, q * bins), q) for n, q in want.items()))
+        made.bins += bins
+        made.by_plan += bins * sum(want.values())
+        times -= bins
+        for n, q in want.items():
+            stock[n] -= q * bins
+            if not stock[n]:
+                ready.pop(bisect.bisect_left(ready, n))
+
+
+def make_plan(histogram: dict[int, int], size: int = SIZE) -> Plan:
+    """The plan for ``{length: count}`` with lengths from 1 to ``size``."""
     made = Plan(size)
-    lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    large = lengths > size // SMALL
-    left = {n: c for n, c in histogram.items()}
-    if large.any():
-        groups = _rounded(lengths[large], counts[large])
+    stock = {n: c for n, c in histogram.items() if n > size // SMALL and c}
+    for _ in range(TURNS):
+        if not stock:
+            break
+        lengths = np.array(sorted(stock), np.int64)
+        groups = _rounded(lengths, np.array([stock[n] for n in lengths.tolist()], np.int64))
         sizes = np.array([s for s, _ in groups])
-        demand = np.array([sum(c for _, c in items) for _, items in groups])
-        supply = [[list(x) for x in items] for _, items in groups]
-        for config, times in configurations(sizes, demand, size):
-            # substitute: walk bins in stretches within which every place takes one actual length
-            done = 0
-            while done < times:
-                step, places = times - done, []
-                for g in np.flatnonzero(config).tolist():
-                    need = int(config[g])
-                    while need:
-                        n, c = supply[g][0]
-                        q = min(need, c)
-                        places.append((g, n, q))
-                        supply[g][0][1] -= q
-                        if not supply[g][0][1]:
-                            supply[g].pop(0)
-                        need -= q
-                # as many equal bins as the stocks allow beyond this first one
-                want = defaultdict(int)
-                for g, n, q in places:
-                    want[g, n] += q
-                more = step - 1
-                for (g, n), q in want.items():
-                    stock = supply[g][0][1] if supply[g] and supply[g][0][0] == n else 0
-                    more = min(more, stock // q)
-                if len({g for g, _ in want}) < len(want):
-                    more = 0  # a place changes length here
-                for (g, n), q in want.items():
-                    if more:
-                        supply[g][0][1] -= q * more
-                        if not supply[g][0][1]:
-                            supply[g].pop(0)
-                done += more + 1
-                if size - sum(n * q for (_, n), q in want.items()) > size // SLACK:
-                    continue  # too empty: its lengths go to best fit
-                runs = []
-                for (_, n), q in want.items():
-                    runs.append((n, made.take(n, q * (more + 1)), q))
-                    left[n] -= q * (more + 1)
-                made.add(made.bins, more + 1, tuple(runs))
-                made.bins += more + 1
+        found = configurations(sizes, np.array([sum(c for _, c in items) for _, items in groups]), size)
+        ready = lengths.tolist()
+        for config, times in sorted(found, key=lambda x: -int(x[0] @ sizes)):
+            # part of the bins: what is left has other sizes, which are grouped anew
+            _filled(made, sorted(np.repeat(sizes, config).tolist(), reverse=True), -(-times // SHARE), stock, ready)
+        stock = {n: c for n, c in stock.items() if c}
+    left = {n: c - made.used[n] for n, c in histogram.items()}
     for n in sorted(left, reverse=True):
         if left[n]:
             made.fit(n, left[n])
+    return made
+
+
+def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Runs and number of bins of ``make_plan``."""
+    made = make_plan(histogram, size)
     return made.rows(), made.bins
 
 

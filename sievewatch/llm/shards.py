@@ -8,9 +8,9 @@ from ..plans.row_ids import with_row_ids
 from ..session import reliable_checkpoint
 from .common import stored
 
-ROUNDS = 6
-#: Share by which a shard may exceed the mean while labels move.
-ROOM = 0.05
+ROUNDS = 8  # at most
+#: Nodes, or groups, of more than this share of all links or rows are met by a broadcast: there are at most so many.
+HOT_NODES = 10_000
 _GRAIN = 1 << 20
 
 
@@ -28,21 +28,34 @@ def _quotas(flows: list, sizes: dict[int, int], room: float, shards: int) -> dic
     }
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """``v, shard`` after some rounds in which nodes move to where most of their neighbours are.
+def _neighbours(both: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """``a, shard`` for each link ``(a, b)`` with the shard of ``b``.
 
-    ``nodes (v)`` with unique ids, undirected ``links (a, b)``. In a round, half of the nodes (by a
+    Nodes with very many links meet theirs by a broadcast (there are at most ``HOT_NODES``), the others by hash.
+    """
+    hot = both.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > max(1, n // HOT_NODES)).select(F.col("b").alias("_hot"))
+    hot = F.broadcast(labels.join(F.broadcast(hot), labels["v"] == F.col("_hot")).select("_hot", F.col("shard").alias("_there")))
+    met = both.join(hot, both["b"] == F.col("_hot"), "left")
+    rest = met.where("_hot is null").select("a", "b").join(labels, F.col("b") == labels["v"])
+    return met.where("_hot is not null").select("a", F.col("_there").alias("shard")).unionByName(rest.select("a", "shard"))
+
+
+def propagate(links: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -> DataFrame:
+    """``v, shard`` of all linked nodes after rounds in which they move to where most of their neighbours are.
+
+    Undirected ``links (a, b)``; at first nodes lie where their hash puts them. In a round, half of the nodes (by a
     hash) may ask for the shard of most neighbours (ties: lower number). Wishes between two shards are
-    granted as far as they are met by wishes the other way or by free room, each by its hash, so no
-    window over a shard is needed. Only the shards x shards table of wishes reaches the driver.
+    granted as far as they are met by wishes the other way or by what ``room`` leaves free, each by its hash, so no
+    window over a shard is needed. Only the shards x shards table of wishes reaches the driver. Rounds end when nobody asks twice in a row.
     """
-    n = nodes.count()
-    room = n / shards * (1 + ROOM)
-    labels = reliable_checkpoint(nodes.select("v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")))
-    both = reliable_checkpoint(links.where("a != b").select("a", "b").union(links.where("a != b").select("b", "a")))
+    both = reliable_checkpoint(links.where("a != b").select("a", "b").union(links.where("a != b").select("b", "a")).distinct())
+    n = both.count()
+    labels = reliable_checkpoint(both.select(F.col("a").alias("v")).distinct().select(
+        "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")))
+    quiet = 0
     for turn in range(rounds):
         near = (
-            both.join(labels, both["b"] == labels["v"]).groupBy("a", "shard").agg(F.count("*").alias("w"))
+            _neighbours(both, labels, n).groupBy("a", "shard").agg(F.count("*").alias("w"))
             .groupBy("a").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("best"), F.collect_list(F.struct("shard", "w")).alias("all"))
         )
         wish = near.join(labels, near["a"] == labels["v"]).select(
@@ -51,40 +64,64 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROU
         coin = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0
         wish = reliable_checkpoint(wish.where("new != old and w > now").where(coin).select("v", "old", "new"))
         flows = wish.groupBy("old", "new").agg(F.count("*").alias("n")).collect()  # at most shards^2 rows
-        if not flows:
+        quiet = 0 if flows else quiet + 1
+        if quiet == 2:
             break
+        if quiet:
+            continue
         sizes = {r.shard: r["count"] for r in labels.groupBy("shard").count().collect()}
         quota = _quotas(flows, sizes, room, shards)
-        table = nodes.sparkSession.createDataFrame(
+        table = both.sparkSession.createDataFrame(
             [(o, t, int(q * _GRAIN)) for (o, t), q in quota.items()], "o int, t int, share long")
         drawn = F.pmod(F.xxhash64("v", F.lit(turn), F.lit("draw")), F.lit(_GRAIN))
         moves = wish.join(F.broadcast(table), (F.col("old") == F.col("o")) & (F.col("new") == F.col("t")))
         moves = moves.where(drawn < F.col("share")).select(F.col("v").alias("_v"), "new")
-        labels = reliable_checkpoint(
-            labels.join(moves, labels["v"] == moves["_v"], "left").select("v", F.coalesce("new", "shard").alias("shard")))
+        # written and read again: a checkpoint would carry what the planner knows of the columns from round to round
+        labels = stored(
+            labels.join(moves, labels["v"] == moves["_v"], "left").select("v", F.coalesce("new", "shard").alias("shard")), "labels")
     return labels
 
 
 def even_shards(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
     """``v, shard, slot``: shards whose counts differ by at most one, slots without gaps from 0.
 
-    Label propagation first; then each node is laid next to its smallest neighbour (or itself), in the order of
-    that neighbour's label, so that linked nodes lie side by side, and this order is cut into equal parts. Only links across
-    a cut, or between nodes that no shard could hold together, stay cut. The order comes
-    from range partitions; a group of any size is split between them.
+    Linked nodes lie where label propagation puts them, the others by hash. Then each shard gives away what it has above its
+    size: nodes without links first, so that no link is cut as long as there are any, then one group after the other. What is given
+    away fills the shards that lack rows. Groups larger than a shard are parted. Positions come from range
+    partitions, no shard is ever ordered in one task.
     """
-    labels = propagate(nodes, links, shards, rounds)
-    both = links.select("a", "b").union(links.select("b", "a"))
+    n = nodes.count()
+    labels = propagate(links, shards, n // shards, rounds)
+    both = links.where("a != b").select("a", "b").union(links.where("a != b").select("b", "a"))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    anchored = labels.join(least, labels["v"] == least["a"], "left").select(
-        "v", F.least("v", F.coalesce("m", "v")).alias("anchor"))
-    where = labels.select(F.col("v").alias("_v"), "shard")
-    laid = anchored.join(where, anchored["anchor"] == where["_v"]).select("v", "shard", "anchor")
-    n = laid.count()
-    numbered = with_row_ids(laid, ["shard", "anchor", "v"], start=-1, name="_at")
-    shard = F.expr(f"cast(_at * {shards}L div {max(n, 1)}L as int)")
-    placed = numbered.select("v", "_at", shard.alias("shard"))
-    return placed.select("v", "shard", F.expr(f"_at - (shard * {max(n, 1)}L + {shards - 1}L) div {shards}L").alias("slot"))
+    placed = labels.join(least, labels["v"] == least["a"]).select(F.col("v").alias("_v"), "shard", F.least("v", "m").alias("anchor"))
+    home = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")
+    laid = nodes.select("v").join(placed, F.col("v") == F.col("_v"), "left").select(
+        "v", F.coalesce("shard", home).alias("shard"), F.col("_v").isNotNull().alias("linked"), F.coalesce("anchor", F.lit(0)).alias("anchor"))
+    numbered = with_row_ids(laid, ["shard", "linked", "anchor", "v"], start=-1, name="_at")
+    sizes = {r.shard: r["count"] for r in laid.groupBy("shard").count().collect()}  # one row per shard
+    goal = [n // shards + (s < n % shards) for s in range(shards)]
+    have = [sizes.get(s, 0) for s in range(shards)]
+    surplus = [max(0, h - g) for h, g in zip(have, goal, strict=True)]
+    lack = [max(0, g - h) for h, g in zip(have, goal, strict=True)]
+    spark = nodes.sparkSession
+    # one row per shard: where its rows begin, how many it gives, how many are given before it
+    givers = spark.createDataFrame(
+        [(s, sum(have[:s]), surplus[s], sum(surplus[:s])) for s in range(shards)], "_s int, _first long, _gives long, _before long")
+    at = F.col("_at") - F.col("_first")
+    moved = numbered.join(F.broadcast(givers), F.col("shard") == F.col("_s")).select(
+        "v", "shard", (at - F.col("_gives")).alias("slot"), F.when(at < F.col("_gives"), at + F.col("_before")).alias("gift"))
+    stays = moved.where("gift is null").select("v", "shard", "slot")
+    # the rows given away, in order, fill the shards that lack some
+    takers = [s for s in range(shards) if lack[s]]
+    if not takers:
+        return stays
+    target = F.lit(takers[-1])
+    for s in reversed(takers):
+        target = F.when(F.col("gift") < sum(lack[: s + 1]), s).otherwise(target)
+    into = spark.createDataFrame([(s, sum(lack[:s]) - have[s]) for s in takers], "_t int, _shift long")
+    goes = moved.where("gift is not null").select("v", "gift", target.cast("int").alias("shard")).join(F.broadcast(into), F.col("shard") == F.col("_t"))
+    return stays.unionByName(goes.select("v", "shard", (F.col("gift") - F.col("_shift")).alias("slot")))
 
 
 def shard_documents(
@@ -93,15 +130,40 @@ def shard_documents(
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``: one row per document, law ``rows``.
 
     Size is the UTF-8 length plus 8; a null text has no bytes and counts as an empty one. Documents
-    with equal texts are linked, each with the first of its group, never pair by pair. Ids may be null or repeat; other columns
+    with equal texts are linked, each with a head of its group, never pair by pair: a group larger than half a shard has several heads, which
+    are linked with the first, so that its rows gather in as few shards as can hold them. Ids may be null or repeat; other columns
     are not read; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stored(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("_sha"), F.monotonically_increasing_id().alias("v")), "rows")
-    heads = rows.groupBy("_sha").agg(F.min("v").alias("head"), F.count("*").alias("_n")).where("_n > 1")
-    links = rows.select("v", "_sha").join(heads, "_sha").where("v != head").select(F.col("head").alias("a"), F.col("v").alias("b"))
-    placed = even_shards(rows.select("v"), reliable_checkpoint(links), shards, rounds)
+    n = rows.count()
+    part = max(1, n // shards // 2)
+    groups = rows.groupBy("_sha").agg(F.count("*").alias("k")).where("k > 1").select(
+        F.col("_sha").alias("_s"), F.ceil(F.col("k") / part).cast("int").alias("parts"), (F.col("k") > max(1, n // HOT_NODES)).alias("big"))
+    groups = stored(groups, "copies")
+    same = F.col("_sha") == F.col("_s")
+    # rows of big groups meet them by a broadcast (at most HOT_NODES groups), the others by hash
+    met = rows.select("v", "_sha").join(F.broadcast(groups.where("big")), same, "left")
+    rest = met.where("_s is null").select("v", "_sha").join(groups.where("not big"), same)
+    member = met.where("_s is not null").unionByName(rest).select("v", "_sha", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+    member = reliable_checkpoint(member)
+    heads = member.groupBy("_sha", "part").agg(F.min("v").alias("head"))
+    top = heads.groupBy("_sha").agg(F.min("head").alias("top"), F.count("*").alias("parts"))
+    tops = heads.join(top.where("parts > 1"), "_sha").where("head != top").select(F.col("top").alias("a"), F.col("head").alias("b"))
+    leaves = _with_head(member, heads, n).where("v != head").select(F.col("head").alias("a"), F.col("v").alias("b"))
+    placed = even_shards(rows.select("v"), reliable_checkpoint(leaves.unionByName(tops)), shards, rounds)
     return rows.join(placed, "v").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _with_head(member: DataFrame, heads: DataFrame, n: int) -> DataFrame:
+    """``v, head``: big parts of groups by a broadcast, the others by hash."""
+    sizes = member.groupBy("_sha", "part").agg(F.count("*").alias("k"))
+    named = heads.join(sizes, ["_sha", "part"]).select(F.col("_sha").alias("_s"), F.col("part").alias("_p"), "head", (F.col("k") > max(1, n // HOT_NODES)).alias("big"))
+    named = stored(named, "heads")
+    same = (F.col("_sha") == F.col("_s")) & (F.col("part") == F.col("_p"))
+    met = member.join(F.broadcast(named.where("big")), same, "left")
+    rest = met.where("_s is null").select("v", "_sha", "part").join(named.where("not big"), same)
+    return met.where("_s is not null").select("v", "head").unionByName(rest.select("v", "head"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -202,12 +203,32 @@ def test_shards(spark):
 
 def test_propagation_joins_cliques(spark):
     cliques = [(c * 10 + i, c * 10 + j) for c in range(60) for i in range(10) for j in range(i)]
-    nodes = spark.range(600).withColumnRenamed("id", "v")
-    labels = {r.v: r.shard for r in shards.propagate(nodes, spark.createDataFrame(cliques, "a long, b long"), 4, 8).collect()}
-    kept = np.mean([labels[a] == labels[b] for a, b in cliques])
-    assert kept > 0.6  # a random layout keeps a quarter
-    sizes = np.bincount(list(labels.values()), minlength=4)
-    assert sizes.max() <= 150 * 1.25
+    links = spark.createDataFrame(cliques, "a long, b long")
+    kept = {}
+    for rounds in (0, 8):
+        labels = {r.v: r.shard for r in shards.propagate(links, 4, 190, rounds).collect()}
+        kept[rounds] = np.mean([labels[a] == labels[b] for a, b in cliques])
+        assert set(labels) == set(range(600)) and np.bincount(list(labels.values()), minlength=4).max() <= 190
+    assert kept[0] < 0.35 and kept[8] > 0.6
+
+
+def test_propagation_decides_the_layout(spark, monkeypatch):
+    """More rounds cut fewer links, sizes stay even, and nearly all groups that a shard can hold are whole in the end."""
+    monkeypatch.setattr(shards, "HOT_NODES", 20)
+    rows = [(i, f"group {i % 90}") for i in range(900)] + [(2000 + i, "giant") for i in range(400)] + [(5000 + i, f"single {i}") for i in range(900)]
+    text = dict(rows)
+    cuts = {}
+    for rounds in (0, 2, 9):
+        out = shards.shard_documents(table(spark, rows), 8, rounds=rounds).collect()
+        homes, per = {}, {}
+        for r in out:
+            homes.setdefault(text[r.doc_id], {}).setdefault(r.shard, []).append(r.doc_id)
+            per.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(x) == list(range(len(x))) for x in per.values()) and {len(x) for x in per.values()} <= {275}
+        cuts[rounds] = sum(len(h) - 1 for t, h in homes.items() if t != "giant")
+        giant = homes["giant"]
+    assert cuts[0] > 400 > cuts[2] > cuts[9] and cuts[9] <= 40
+    assert sum(sorted(map(len, giant.values()))[-4:]) >= 300  # of 8 shards; 2 could hold it
 
 
 # --- packing ---------------------------------------------------------------------------------
@@ -273,6 +294,47 @@ def test_pack(spark):
     assert packing.pack(table(spark, []), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def fewest_bins(lengths, size):
+    """Fewest bins by trying every place for every item."""
+    best = [len(lengths)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for room in sorted(set(bins)):
+            if room >= lengths[i]:
+                left = list(bins)
+                left[left.index(room)] -= lengths[i]
+                put(i + 1, left)
+        put(i + 1, [*bins, size - lengths[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_plan_beside_the_optimum():
+    rnd = random.Random(6)
+    for _ in range(60):
+        lengths = sorted((rnd.randint(1, 20) for _ in range(rnd.randint(1, 9))), reverse=True)
+        assert packing.make_plan(Counter(lengths), 20).bins <= fewest_bins(lengths, 20) + 1
+
+
+def test_large_lengths_go_by_configurations():
+    rnd = np.random.default_rng(8)
+    shapes = {
+        "uniform": rnd.integers(1, 2049, 20_000), "large only": rnd.integers(513, 1500, 20_000), "narrow": rnd.integers(600, 801, 20_000),
+        "skewed": np.clip(rnd.lognormal(6, 1, 20_000), 1, 2048).astype(int)}
+    # bins of best fit in falling order alone
+    before = {"uniform": 10173, "large only": 9870, "narrow": 7447, "skewed": 5795}
+    for name, lengths in shapes.items():
+        made = packing.make_plan(Counter(lengths.tolist()))
+        assert made.by_plan >= 0.95 * (lengths > 512).sum()
+        assert made.bins <= before[name] + 2, name
+
+
 # --- hosts -----------------------------------------------------------------------------------
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/")]
