@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import reliable_checkpoint, scratch_path
@@ -22,6 +25,24 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back, which otherwise stays with it for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def freed(rows):
+    """``rows`` (batches to batches) that gives memory back when a task's batches are done."""
+
+    def run(batches):
+        yield from rows(batches)
+        release()
+
+    return run
+
+
 def private(columns: list[str], *names: str) -> list[str]:
     """The names, each lengthened until no column is called so (Spark does not tell cases apart)."""
     taken, out = {c.lower() for c in columns}, []

@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import reliable_checkpoint
-from .common import bounded_batches, components, private, stored
+from .common import bounded_batches, components, freed, private, release, stored
 from .shingles import digest, shingle_sets
 
 LOW_SHARE = 1.75  # share of the tokens that is counted for all sets, in prefix lengths
 COMMON = 256  # frequencies from here on count as equal
 MOST_MATCHES = 4  # largest l
 VERIFY_COST = 8  # a verification in list entries
-PART_TOKENS = 1 << 20  # counted tokens of one partition, on average
+PART_TOKENS = 1 << 19  # counted tokens of one partition, on average
+LEAST_PARTS = 1 << 8  # so that a token's distance from the start of its range takes seven bytes
 SPLIT = 1 << 12  # cells of the hash range that partitions are made of
 BROADCAST_IDS = 2_000_000  # ids (8 bytes) that may be broadcast
 GONE_IDS = 500_000  # dropped rows (id and hash) that may be broadcast
@@ -66,9 +67,18 @@ def _sketch(percent: int, k: int):
     return rows
 
 
+def _width(parts: int, limit: int) -> tuple[int, int]:
+    """Width of a hash range, and the bytes that tell its tokens apart."""
+    width = limit // parts + 1
+    return width, -(-(width - 1).bit_length() // 8)
+
+
 def _dealt(keys: list[bytes], sets: list[np.ndarray], parts: int, limit: int) -> pa.RecordBatch:
-    """``(part, tokens, owner, keys)``: the tokens of a batch of sets, dealt by hash range."""
-    width = np.uint64(limit // parts + 1)
+    """``(part, tokens, owner, keys)``: the tokens of a batch of sets, dealt by hash range, each as its distance from the start of the range."""
+    if len(sets) > 1 << 16:
+        raise ValueError("a batch of more than 65,536 sets")
+    width, size = _width(parts, limit)
+    width = np.uint64(width)
     tokens = np.concatenate([np.zeros(0, "<u8"), *sets])
     owner = np.repeat(np.arange(len(sets), dtype="<u4"), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
@@ -79,8 +89,9 @@ def _dealt(keys: list[bytes], sets: list[np.ndarray], parts: int, limit: int) ->
         if len(t):
             seen, local = np.unique(o, return_inverse=True)
             out["part"].append(p)
-            out["tokens"].append(t.tobytes())
-            out["owner"].append(local.astype("<u2").tobytes())  # a batch has at most 4096 rows
+            away = t - np.uint64(p) * width
+            out["tokens"].append(away.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes())
+            out["owner"].append(local.astype("<u2").tobytes())
             out["keys"].append(b"".join(keys[i] for i in seen))
     return pa.RecordBatch.from_pydict({
         "part": pa.array(out["part"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("tokens", "owner", "keys")}})
@@ -100,11 +111,30 @@ def _to_cells(parts: int, k: int, limit: int = 1 << 64):
     return rows
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _count_in(parts: int, limit: int = 1 << 64):
+    """The work on one hash range, see ``_count``."""
+    width, size = _width(parts, limit)
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _count(table, table["part"][0].as_py() * width, size)
+        release()
+        return found
+
+    return run
+
+
+def _whole(data: bytes, size: int, start: int) -> np.ndarray:
+    """Tokens from their distances of ``size`` bytes."""
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
+    return out.view("<u8").reshape(-1) + np.uint64(start)
+
+
+def _count(table: pa.Table, start: int, size: int) -> pa.Table:
     """One cell range: tokens held by two sets or more, gathered again by set."""
     tokens, owner, keys, base = [], [], [], 0
     for t, o, k in zip(table["tokens"].to_pylist(), table["owner"].to_pylist(), table["keys"].to_pylist(), strict=True):
-        tokens.append(np.frombuffer(t, "<u8"))
+        tokens.append(_whole(t, size, start))
         owner.append(np.frombuffer(o, "<u2").astype(np.int64) + base)
         keys.append(np.frombuffer(k, "V16"))
         base += len(keys[-1])
@@ -174,15 +204,15 @@ def _busy(index: DataFrame) -> DataFrame:
     return index.join(tokens, "token")
 
 
-def _index(cells: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _index(cells: DataFrame, sets: DataFrame, percent: int, count) -> tuple[DataFrame, DataFrame]:
     """Prefix rows of ``sets (v, n, counted, extra)``, and the shared tokens of each set.
 
     A cell range holds the tokens of one hash range; a set has at most one row per range afterwards.
     """
-    shared = cells.groupBy("part").applyInArrow(_count, "v binary, tokens binary, held binary")
+    shared = cells.groupBy("part").applyInArrow(count, "v binary, tokens binary, held binary")
     per_set = shared.groupBy("v").agg(F.collect_list("tokens").alias("tokens"), F.collect_list("held").alias("held"))
     both = sets.join(per_set, "v", "left")
-    return both.mapInArrow(_prefixes(percent), "v binary, n long, u long, l int, token long"), both
+    return both.mapInArrow(freed(_prefixes(percent)), "v binary, n long, u long, l int, token long"), both
 
 
 def _linked(percent: int):
@@ -203,7 +233,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of sets whose similarity holds; tokens of one set alone cannot be common."""
     left = pairs.join(sets.select(F.col("v").alias("a"), F.col("n"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
-    return both.select("a", "b", "x", "y", "n", "m").mapInArrow(_linked(percent), "a binary, b binary")
+    return both.select("a", "b", "x", "y", "n", "m").mapInArrow(freed(_linked(percent)), "a binary, b binary")
 
 
 def _may_link(percent: int, n: str, u: str, m: str, w: str) -> Column:
@@ -234,7 +264,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
     bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    base = stored(hashed.mapInArrow(_sketch(percent, k), f"id {rows.schema['id'].dataType.simpleString()}, h long, v binary, n long, n_low long, extra binary"), "sets")
+    base = stored(hashed.mapInArrow(freed(_sketch(percent, k)), f"id {rows.schema['id'].dataType.simpleString()}, h long, v binary, n long, n_low long, extra binary"), "sets")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
     classes = base.where("n > 0").groupBy("v").agg(F.min("id").alias("id"), F.min("n").alias("n"), first)
     links = set_links(rows, base, classes, k, percent)
@@ -248,7 +278,7 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
 
 
 def _parts(tokens: int | None) -> int:
-    return int(min(SPLIT, max(64, (tokens or 0) // PART_TOKENS)))
+    return int(min(SPLIT, max(LEAST_PARTS, (tokens or 0) // PART_TOKENS)))
 
 
 def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -257,18 +287,20 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
     real = base.where("n > 0")
     tokens = real.agg(F.sum("n_low").alias("low"), F.sum("n").alias("all")).first()
     # first with the low tokens of all sets ...
-    cells = rows.select("text").mapInArrow(_to_cells(_parts(tokens.low), k, _limit(percent)), _CELLS)
+    parts = _parts(tokens.low)
+    cells = rows.select("text").mapInArrow(freed(_to_cells(parts, k, _limit(percent))), _CELLS)
     sets = real.groupBy("v").agg(F.min("n").alias("n"), F.min("n_low").alias("counted"), F.min("extra").alias("extra"))
-    members = stored(_busy(_index(cells, sets, percent)[0]).select("v").distinct(), "members")
+    members = stored(_busy(_index(cells, sets, percent, _count_in(parts, _limit(percent)))[0]).select("v").distinct(), "members")
     # ... then with all tokens of the sets that may have a partner: one text each
     ids = classes.join(members, "v").select(F.col("id").alias("_id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(ids), rows["id"].eqNullSafe(F.col("_id")), "left_semi") if few else rows
-    cells = texts.select("text").mapInArrow(_to_cells(_parts(tokens.all), k), _CELLS)
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = rows.join(few, rows["id"].eqNullSafe(F.col("_id")), "left_semi")
+    parts = _parts(tokens.all)
+    cells = texts.select("text").mapInArrow(freed(_to_cells(parts, k)), _CELLS)
     sets = classes.join(members, "v").select("v", "n", F.col("n").alias("counted"), F.lit(b"").alias("extra"))
-    both = _index(cells, sets, percent)[1]
+    both = _index(cells, sets, percent, _count_in(parts))[1]
     sets = stored(both, "sharedtokens")
-    index = stored(_busy(stored(sets.mapInArrow(_prefixes(percent), "v binary, n long, u long, l int, token long"), "prefixes")), "lists")
+    index = stored(_busy(stored(sets.mapInArrow(freed(_prefixes(percent)), "v binary, n long, u long, l int, token long"), "prefixes")), "lists")
     members = index.select("v").distinct()
     joined = F.expr("aggregate(tokens, x'', (a, x) -> concat(a, x))")
     sets = sets.join(members, "v", "left_semi").select("v", "n", joined.alias("tokens"))

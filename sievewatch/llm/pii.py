@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, release
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "url", "secret")
@@ -208,6 +208,7 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([masked(t) for t in texts.tolist()], dtype=object)
+        release()
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
     if length_col in docs.columns:
