@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import col, first_truthy
 from .prompts import fill
 
-# fixed values: report layout and section texts
+# fixed values: report layout, section names and the steps under them; defaults that callers may replace
 BASIC_REPORT = """================================================
 {title}
 Generated: {generated}
@@ -33,8 +33,8 @@ ACTIONS = [
      "Conduct full forensic analysis of {host}. Review all authentication logs, running processes, "
      "and network connections. Patch all identified vulnerabilities."),
     ("Long Term — Within 1 Week",
-     "Implement multi-factor authentication, review and update SIEM alert thresholds, conduct team "
-     "training on {technique}, and update incident response playbooks."),
+     "Introduce a second factor for logins, tune the alert rules that fired late or too often, and "
+     "rehearse the answer to {technique} with the team."),
 ]
 SECTIONS = [
     ("Containment", [
@@ -48,7 +48,7 @@ SECTIONS = [
         "Remove all malicious files, processes, or artifacts introduced by the attacker",
         "Apply all pending security patches and configuration hardening measures",
         "Disable unused services and enforce the principle of least privilege",
-        "Verify eradication by rescanning with rootcheck and vulnerability scanner",
+        "Scan the host again for rootkits and known vulnerabilities, and keep the results",
     ]),
     ("Recovery", [
         "Restore {host} from a verified clean backup if compromise is confirmed",
@@ -58,11 +58,11 @@ SECTIONS = [
         "Update incident status to Resolved after full verification and sign-off",
     ]),
     ("Lessons Learned", [
-        "Automated triage reduced mean-time-to-classify from hours to under 90 seconds",
-        "MITRE ATT&CK mapping provided actionable threat context immediately upon alert detection",
-        "Early detection at rule level {level}/15 enabled proactive response before escalation",
-        "Generated incident report eliminates manual SOC report writing — saving 2–3 hours per incident",
-        "Integrate triage findings into weekly SOC review cadence for continuous improvement",
+        "Note how long it took from the first alert to its classification, and what delayed it",
+        "Check whether the mapped technique matched what the investigation found",
+        "The rule fired at level {level} of 15; decide whether that level was right",
+        "Correct this report where the investigation has gone beyond it",
+        "Bring what was learned here to the next review of the rules",
     ]),
 ]
 
@@ -124,21 +124,21 @@ def affected_assets(alerts: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def recommended_actions(alerts: DataFrame) -> DataFrame:
-    """Three action rows per alert with host and technique filled in."""
+def recommended_actions(alerts: DataFrame, actions: list[tuple[str, str]] = ACTIONS) -> DataFrame:
+    """A row per alert and action ``(label, text)`` with host and technique filled in."""
     rows = F.array(*[
         F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"),
                  fill(text, **_fields()).alias("action"))
-        for i, (label, text) in enumerate(ACTIONS, start=1)
+        for i, (label, text) in enumerate(actions, start=1)
     ])
     return alerts.select("alert_id", F.inline(rows))
 
 
-def section_items(alerts: DataFrame) -> DataFrame:
-    """Containment, eradication, recovery and lessons as list rows."""
+def section_items(alerts: DataFrame, sections: list[tuple[str, list[str]]] = SECTIONS) -> DataFrame:
+    """The steps of each section as list rows: containment, eradication, recovery and lessons, if not others."""
     rows = F.array(*[
         F.struct(F.lit(name).alias("section"), F.lit(i).alias("item"),
                  fill(text, **_fields()).alias("text"))
-        for name, items in SECTIONS for i, text in enumerate(items, start=1)
+        for name, items in sections for i, text in enumerate(items, start=1)
     ])
     return alerts.select("alert_id", F.inline(rows))
