@@ -1,18 +1,19 @@
 """The stored tables: alerts, classifications, reports and the knowledge collections.
 
-Tables are Parquet folders with a single writer. A save is an append of new rows only, so saving
-the same batch again adds nothing.
+Alerts are a Parquet folder with a single writer: a save is an append of new rows only, so saving the
+same batch again adds nothing. Classifications and reports are versioned tables (``snapshots``).
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions.text import iso_timestamp
 from ..plans.row_ids import with_row_ids
 from ..sources.alerts import RAW_FIELDS
+from . import snapshots
 from .normalise import rule_level
 
 
@@ -113,30 +114,47 @@ def stored_without_time(table: DataFrame) -> DataFrame:
     return table.where(F.col("day").isNull())
 
 
-def _append_numbered(spark, rows: DataFrame, path: str, ddl: str, order: list[str]) -> None:
-    table = read_table(spark, path, ddl)
-    last = table.agg(F.max("id")).first()[0] or 0
-    numbered = with_row_ids(rows, order, start=last)
-    numbered.select([F.col(f.name).cast(f.dataType) for f in table.schema.fields]).write.mode(
-        "append"
-    ).parquet(path)
+def _append_numbered(
+    spark: SparkSession, rows: DataFrame, path: str, ddl: str, order: list[str], batch: int | str | None, writer: str
+) -> bool:
+    fields = T.StructType.fromDDL(ddl).fields
+    n = None
+
+    def numbered(old: dict) -> tuple[DataFrame, int]:
+        nonlocal n
+        n = rows.count() if n is None else n
+        out = with_row_ids(rows, order, start=old["last_id"])
+        return out.select([F.col(f.name).cast(f.dataType) for f in fields]), old["last_id"] + n
+
+    return snapshots.commit(spark, path, numbered, writer=writer, batch=batch)
 
 
-def save_classifications(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Append ``alert_id, severity, reasoning, mitre_tactics, classified_at`` with running ids."""
-    _append_numbered(
+def save_classifications(spark: SparkSession, rows: DataFrame, path: str, batch: int | str | None = None, writer: str = "") -> bool:
+    """Append ``alert_id, severity, reasoning, mitre_tactics, classified_at`` with running ids, as one version of the table.
+
+    A ``batch`` that a ``writer`` has saved before adds nothing (False); two writers never give the same id.
+    """
+    return _append_numbered(
         spark, rows, path, schemas.CLASSIFICATIONS_TABLE,
-        ["classified_at", "alert_id", "severity", "reasoning"],
+        ["classified_at", "alert_id", "severity", "reasoning"], batch, writer,
     )
 
 
-def save_reports(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Append ``alert_id, severity, agent_name, report_text, created_at`` with running ids."""
-    _append_numbered(
-        spark, rows, path, schemas.REPORTS_TABLE, ["created_at", "alert_id", "agent_name"]
+def save_reports(spark: SparkSession, rows: DataFrame, path: str, batch: int | str | None = None, writer: str = "") -> bool:
+    """Append ``alert_id, severity, agent_name, report_text, created_at`` with running ids, as ``save_classifications``."""
+    return _append_numbered(
+        spark, rows, path, schemas.REPORTS_TABLE, ["created_at", "alert_id", "agent_name"], batch, writer
     )
 
 
+def saved_classifications(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return snapshots.read(spark, path, schemas.CLASSIFICATIONS_TABLE, version)
+
+
+def saved_reports(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    return snapshots.read(spark, path, schemas.REPORTS_TABLE, version)
+
+
 def save_knowledge(spark: SparkSession, rows: DataFrame, path: str, force: bool = False) -> bool:
     """Fill a knowledge table unless it has rows; ``force`` rebuilds it. True when written."""
     if not force:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import iso_timestamp
-from ..operators import detections as dt, normalise as nz, stores
+from ..operators import detections as dt, normalise as nz, snapshots, stores
 from ..sources.alerts import alerts_of, rejected_lines
 
 LATENESS = "10 minutes"
@@ -196,10 +196,14 @@ def live_store(alerts_path: str, rejects_path: str, counts_path: str, **rules):
     return write
 
 
-def latest_table(path: str):
-    """Batch writer for small running results: the table is replaced."""
+def latest_table(path: str, writer: str = "latest"):
+    """Batch writer for small running results: a new version of the table takes the place of the old one.
+
+    Readers (``snapshots.read``) keep the version they have begun with; the last few stay, older ones are deleted.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        snapshots.commit(batch.sparkSession, path, lambda old: batch, replace=True, writer=writer, batch=batch_id)
+        snapshots.vacuum(batch.sparkSession, path, keep=5)
 
     return write
 

@@ -244,9 +244,9 @@ def saved_classifications(t):
         F.col("description").alias("reasoning"), F.col("tags").alias("mitre_tactics"),
         F.col("ts").alias("classified_at"),
     )
-    for _ in range(2):
-        stores.save_classifications(t.spark, rows, path)
-    return t.spark.read.parquet(path)
+    for batch in (1, 2, 2):  # a batch that is run again adds nothing
+        stores.save_classifications(t.spark, rows, path, batch)
+    return stores.saved_classifications(t.spark, path)
 
 
 R.add("s7_save_classifications", """
@@ -261,7 +261,7 @@ SELECT rn + total * again AS id, alert_id,
 def saved_reports(t):
     path = scratch_path(t.spark, "reports")
     stores.save_reports(t.spark, t.reports.drop("id"), path)
-    return t.spark.read.parquet(path)
+    return stores.saved_reports(t.spark, path)
 
 
 R.add("s8_save_reports", """

@@ -10,6 +10,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from ..operators import snapshots
 from ..session import scratch_path
 from ..sources import alerts as src
 from ..streaming import live, stateful
@@ -173,7 +174,7 @@ def counted(t):
         live.running_counts(raw_stream(t)), live.latest_table(path),
         scratch_path(t.spark, "counts-cp"), mode="complete", once=True,
     ).awaitTermination()
-    return t.spark.read.parquet(path)
+    return snapshots.read(t.spark, path, "forwarded BOOLEAN, n BIGINT")
 
 
 R.add("st6_running_counts", f"SELECT {KEPT} AS forwarded, count(*) AS n FROM alerts GROUP BY 1",

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from fixtures import SIEM_ALERTS, write_lines
-from sievewatch.operators import normalise as nz, stores
+from sievewatch.operators import normalise as nz, snapshots, stores
 from sievewatch.sources import alerts as src, tail
 from sievewatch.streaming import live
 
@@ -50,7 +50,7 @@ def test_running_ids(spark, tmp_path):
                                  ).withColumn("created_at", at("2024-01-01"))
     for _ in range(3):
         stores.save_reports(spark, rows, path)
-    assert [r.id for r in spark.read.parquet(path).orderBy("id").collect()] == [1, 2, 3]
+    assert [r.id for r in stores.saved_reports(spark, path).orderBy("id").collect()] == [1, 2, 3]
 
 
 def test_knowledge_modes(spark, tmp_path):
@@ -109,7 +109,8 @@ def test_rejects_and_counts(spark, tmp_path):
     counts = str(tmp_path / "counts")
     run(live.each_batch(live.running_counts(src.stream_alerts(spark, str(folder))),
                         live.latest_table(counts), str(tmp_path / "cp2"), mode="complete", once=True))
-    assert {r.forwarded: r.n for r in spark.read.parquet(counts).collect()} == {True: 3, False: 2}
+    found = snapshots.read(spark, counts, "forwarded BOOLEAN, n BIGINT")
+    assert {r.forwarded: r.n for r in found.collect()} == {True: 3, False: 2}
 
 
 def test_mail_queue_over_batches(spark, tmp_path):
