@@ -146,15 +146,23 @@ class Coder:
         if not text:
             return np.zeros(0, "<u4")
         parts = pieces(text)
-        ids = [*map(self.pieces.young.get, parts)]
+        young = self.pieces.young
+        ids = [*map(young.get, parts)]
         if None in ids:
+            old, most = self.pieces.old, self.pieces.most
             for i, x in enumerate(ids):
                 if x is None:
                     p = parts[i]
-                    x = self.pieces.get(p)
+                    x = young.get(p)  # met earlier in this text
                     if x is None:
-                        x = self._piece(p)
-                        self.pieces.put(p, x)
+                        x = old.get(p)
+                        if x is None:
+                            x = self._piece(p)
+                        if len(young) >= most:
+                            old, young = young, {}
+                            self.pieces.old, self.pieces.young = old, young
+                        if len(p) <= LONG_PIECE:
+                            young[p] = x
                     ids[i] = x
         return np.frombuffer(b"".join(ids), "<u4")
 
