@@ -8,7 +8,7 @@ from ..plans.row_ids import with_row_ids
 from ..session import reliable_checkpoint
 from .common import stored
 
-ROUNDS = 8  # at most
+ROUNDS = 4  # at most
 #: Nodes, or groups, of more than this share of all links or rows are met by a broadcast: there are at most so many.
 HOT_NODES = 10_000
 _GRAIN = 1 << 20
@@ -28,14 +28,10 @@ def _quotas(flows: list, sizes: dict[int, int], room: float, shards: int) -> dic
     }
 
 
-def _neighbours(both: DataFrame, labels: DataFrame, n: int) -> DataFrame:
-    """``a, shard`` for each link ``(a, b)`` with the shard of ``b``.
-
-    Nodes with very many links meet theirs by a broadcast (there are at most ``HOT_NODES``), the others by hash.
-    """
-    hot = both.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") > max(1, n // HOT_NODES)).select(F.col("b").alias("_hot"))
-    hot = F.broadcast(labels.join(F.broadcast(hot), labels["v"] == F.col("_hot")).select("_hot", F.col("shard").alias("_there")))
-    met = both.join(hot, both["b"] == F.col("_hot"), "left")
+def _neighbours(both: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """``a, shard`` for each link ``(a, b)`` with the shard of ``b``; the nodes of ``hot`` meet their links by a broadcast, the others by hash."""
+    known = F.broadcast(labels.join(F.broadcast(hot), labels["v"] == F.col("_hot")).select("_hot", F.col("shard").alias("_there")))
+    met = both.join(known, both["b"] == F.col("_hot"), "left")
     rest = met.where("_hot is null").select("a", "b").join(labels, F.col("b") == labels["v"])
     return met.where("_hot is not null").select("a", F.col("_there").alias("shard")).unionByName(rest.select("a", "shard"))
 
@@ -43,25 +39,37 @@ def _neighbours(both: DataFrame, labels: DataFrame, n: int) -> DataFrame:
 def propagate(links: DataFrame, shards: int, room: int, rounds: int = ROUNDS) -> DataFrame:
     """``v, shard`` of all linked nodes after rounds in which they move to where most of their neighbours are.
 
-    Undirected ``links (a, b)``; at first nodes lie where their hash puts them. In a round, half of the nodes (by a
-    hash) may ask for the shard of most neighbours (ties: lower number). Wishes between two shards are
+    Undirected ``links (a, b)``; at first nodes lie where their hash puts them. In even rounds a node looks at those neighbours alone that
+    have more links than itself (ties: the smaller id), so that no two linked nodes change places for ever; in odd rounds half of the nodes (by a
+    hash) look at all. A node asks for the shard of most of them (ties: lower number). Wishes between two shards are
     granted as far as they are met by wishes the other way or by what ``room`` leaves free, each by its hash, so no
     window over a shard is needed. Only the shards x shards table of wishes reaches the driver. Rounds end when nobody asks twice in a row.
     """
-    both = reliable_checkpoint(links.where("a != b").select("a", "b").union(links.where("a != b").select("b", "a")).distinct())
-    n = both.count()
-    labels = reliable_checkpoint(both.select(F.col("a").alias("v")).distinct().select(
-        "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")))
+    both = links.where("a != b").select("a", "b").union(links.where("a != b").select("b", "a")).distinct()
+    both = reliable_checkpoint(both)
+    degree = reliable_checkpoint(both.groupBy("a").agg(F.count("*").alias("k")).select(F.col("a").alias("v"), "k"))
+    # at most HOT_NODES nodes
+    hot = degree.where(F.col("k") > max(1, both.count() // HOT_NODES)).select(F.col("v").alias("_hot"), F.col("k").alias("_k"))
+    labels = stored(degree.select("v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard")), "labels")
     quiet = 0
+    if rounds:
+        for end in ("a", "b"):
+            met = both.join(F.broadcast(hot), both[end] == F.col("_hot"), "left")
+            rest = met.where("_hot is null").drop("_hot", "_k").join(degree, F.col(end) == F.col("v"))
+            named = [c for c in both.columns]
+            both = met.where("_hot is not null").select(*named, F.col("_k").alias(f"k{end}")).unionByName(rest.select(*named, F.col("k").alias(f"k{end}")))
+        both = reliable_checkpoint(both.select("a", "b", F.expr("kb > ka or (kb = ka and b < a)").alias("strong")))
+    hot = hot.select("_hot")
     for turn in range(rounds):
+        seen = both.where("strong") if turn % 2 == 0 else both
         near = (
-            _neighbours(both, labels, n).groupBy("a", "shard").agg(F.count("*").alias("w"))
+            _neighbours(seen.select("a", "b"), labels, hot).groupBy("a", "shard").agg(F.count("*").alias("w"))
             .groupBy("a").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("best"), F.collect_list(F.struct("shard", "w")).alias("all"))
         )
         wish = near.join(labels, near["a"] == labels["v"]).select(
             "v", F.col("shard").alias("old"), (-F.col("best.s")).alias("new"), F.col("best.w").alias("w"),
             F.expr("coalesce(get(filter(all, x -> x.shard = shard), 0).w, 0)").alias("now"))
-        coin = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0
+        coin = F.lit(True) if turn % 2 == 0 else F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(2)) == 0
         wish = reliable_checkpoint(wish.where("new != old and w > now").where(coin).select("v", "old", "new"))
         flows = wish.groupBy("old", "new").agg(F.count("*").alias("n")).collect()  # at most shards^2 rows
         quiet = 0 if flows else quiet + 1

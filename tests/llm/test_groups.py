@@ -218,7 +218,7 @@ def test_propagation_decides_the_layout(spark, monkeypatch):
     rows = [(i, f"group {i % 90}") for i in range(900)] + [(2000 + i, "giant") for i in range(400)] + [(5000 + i, f"single {i}") for i in range(900)]
     text = dict(rows)
     cuts = {}
-    for rounds in (0, 2, 9):
+    for rounds in (0, 1, 4):
         out = shards.shard_documents(table(spark, rows), 8, rounds=rounds).collect()
         homes, per = {}, {}
         for r in out:
@@ -227,7 +227,7 @@ def test_propagation_decides_the_layout(spark, monkeypatch):
         assert all(sorted(x) == list(range(len(x))) for x in per.values()) and {len(x) for x in per.values()} <= {275}
         cuts[rounds] = sum(len(h) - 1 for t, h in homes.items() if t != "giant")
         giant = homes["giant"]
-    assert cuts[0] > 400 > cuts[2] > cuts[9] and cuts[9] <= 40
+    assert cuts[0] > 400 > 40 > cuts[1] >= cuts[4]
     assert sum(sorted(map(len, giant.values()))[-4:]) >= 300  # of 8 shards; 2 could hold it
 
 
