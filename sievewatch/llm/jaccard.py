@@ -31,7 +31,7 @@ LEAST_PARTS = 1 << 8  # so that a token's distance from the start of its range t
 SPLIT = 1 << 12  # cells of the hash range that partitions are made of
 BROADCAST_IDS = 2_000_000  # ids (8 bytes) that may be broadcast
 GONE_IDS = 500_000  # dropped rows (id and hash) that may be broadcast
-STAR_ROUNDS = 1  # most rounds of stars before pairs are made
+STAR_ROUNDS = 4  # most rounds of stars before pairs are made; a round is only made while there are many pairs
 PAIRS_AT_ONCE = 200_000  # pairs of list entries, beside twice their number, that need no stars first
 
 
