@@ -1,6 +1,7 @@
 """Streams that keep a state of their own for each agent or source: silence by the clock, trailing windows.
 
-Both use ``transformWithStateInPandas``, so the state lies in RocksDB and survives with the query's checkpoint.
+Both use ``transformWithStateInPandas``, so the state lies in RocksDB and survives with the query's checkpoint. Spark's default
+state store cannot hold it: a session that names no RocksDB store is given one (``state_in_rocksdb``).
 """
 
 from __future__ import annotations
@@ -12,8 +13,18 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import detections as dt
+from ..session import DEFAULTS
 
 LATENESS = "10 minutes"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def state_in_rocksdb(rows: DataFrame) -> DataFrame:
+    """Streams that the session of ``rows`` starts from now on keep their state in RocksDB; those with a checkpoint keep what it names."""
+    conf = rows.sparkSession.conf
+    if "RocksDB" not in conf.get(PROVIDER):
+        conf.set(PROVIDER, DEFAULTS[PROVIDER])
+    return rows
 
 
 class SilenceTimer(StatefulProcessor):
@@ -59,7 +70,7 @@ def silent_agents_by_clock(alerts: DataFrame, silence_seconds: float = dt.SILENT
     State: a row and a timer per agent.
     """
     rows = alerts.select(F.col(agent).cast("string").alias(agent), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    timed = rows.groupBy(agent).transformWithStateInPandas(
+    timed = state_in_rocksdb(rows).groupBy(agent).transformWithStateInPandas(
         SilenceTimer(agent, int(silence_seconds * 1000)),
         f"`{agent}` string, last_ms long, arrived_ms long, reported_ms long, events long", "Append", "ProcessingTime")
     return timed.select(
@@ -111,5 +122,5 @@ def brute_force_trailing(
         failures.withWatermark(ts, lateness).groupBy(source, F.window(ts, "1 second").alias("w")).agg(F.count("*").alias("n"))
         .select(F.col(source).cast("string").alias(source), F.unix_seconds(F.col("w.start").cast("timestamp")).alias("second"), "n")
     )
-    return closed.groupBy(source).transformWithStateInPandas(
+    return state_in_rocksdb(closed).groupBy(source).transformWithStateInPandas(
         TrailingSums(source, more_than, seconds), f"`{source}` string, second long, attempts long, timespan_seconds long", "Append", "None")

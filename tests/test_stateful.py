@@ -64,6 +64,22 @@ def wait_for(path, spark, rows, query, seconds=120):
     raise AssertionError(f"fewer than {rows} rows in {seconds} s")
 
 
+def test_sessions_with_the_default_state_store(spark, tmp_path):
+    """A session that was not built here has Spark's default store, which cannot hold the state."""
+    land(tmp_path / "in", "0.json", [("ip", "a", s) for s in range(10)] + [("late", "a", 2000)])
+    given, default = spark.conf.get(stateful.PROVIDER), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    try:
+        spark.conf.set(stateful.PROVIDER, default)
+        stateful.silent_agents_by_clock(followed(spark, tmp_path / "in"), 1)
+        assert spark.conf.get(stateful.PROVIDER) == given
+        spark.conf.set(stateful.PROVIDER, default)
+        stream, out = stateful.brute_force_trailing(followed(spark, tmp_path / "in"), more_than=6, seconds=40), str(tmp_path / "out")
+        live.start(stream, out, str(tmp_path / "cp"), once=True).awaitTermination()
+        assert {tuple(r) for r in spark.read.parquet(out).collect()} == {("ip", s, s + 1, s) for s in range(6, 10)}
+    finally:
+        spark.conf.set(stateful.PROVIDER, given)
+
+
 def test_a_whole_fleet_falls_silent(spark, tmp_path):
     folder, out, cp = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     land(folder, "0.json", [("x", f"agent{i % 4}", 1000 + i) for i in range(40)] + [("x", None, 5), ("x", "blank", None)])
