@@ -24,9 +24,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import reliable_checkpoint
 
 BROADCAST_BYTES = 32 << 20
-BLOCK_ROWS = 4096
+BLOCK_ROWS, MOST_BLOCK_ROWS = 4096, 32768
 DIGITS = 6
-_CELLS = 4 << 20  # distances held at a time in one task
+_CELLS = 2 << 20  # distances held at a time in one task
+_ROWS = 1 << 18  # answers held at a time in one task
+_PAIRS = 1 << 16
+LARGE = 64.0  # from here on the last digit depends on the order of the sums, so all of it is done in one way
 
 
 def matrix(column) -> np.ndarray:
@@ -41,32 +44,67 @@ def matrix(column) -> np.ndarray:
     return values.reshape(n, -1) if n else values.reshape(0, 0)
 
 
+def answers(queries: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int):
+    """``top_k`` in slices of queries: what is held at a time does not grow with the queries or with ``k``."""
+    if not len(queries) or not len(docs):
+        return
+    k = min(k, len(docs))
+    norms, coarse = (docs * docs).sum(axis=1), _coarse(queries, docs) if k < len(docs) else None
+    step = max(1, min(_CELLS // len(docs), _ROWS // k))
+    for start in range(0, len(queries), step):
+        q = queries[start:start + step]
+        r, c, v = _near(q, docs, norms, coarse, k) if coarse is not None else _all(q, docs, norms, k)
+        order = np.lexsort((c, v, r))
+        r, c, v = r[order], c[order], v[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r, side="left") < k
+        yield r[keep] + start, doc_ids[c[keep]], v[keep]
+
+
 def top_k(queries: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int):
     """Per query the ``k`` nearest docs: (query row, doc id, distance) arrays.
 
     ``doc_ids`` must be sorted, so that the column order is the tie order.
     """
-    rows, ids, dists = [], [], []
-    if not len(queries) or not len(docs):
+    found = list(answers(queries, docs, doc_ids, k))
+    if not found:
         return np.empty(0, int), np.empty(0, object), np.empty(0)
-    k = min(k, len(docs))
-    doc_norm = (docs * docs).sum(axis=1)
-    chunk = max(1, _CELLS // len(docs))
-    for start in range(0, len(queries), chunk):
-        q = queries[start:start + chunk]
-        d = (q * q).sum(axis=1)[:, None] + doc_norm[None, :] - 2.0 * (q @ docs.T)
-        d = np.round(np.maximum(d, 0.0), DIGITS)
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        r, c = np.nonzero(d <= kth[:, None])
-        v = d[r, c]
-        order = np.lexsort((c, v, r))
-        r, c, v = r[order], c[order], v[order]
-        first = np.searchsorted(r, r, side="left")
-        keep = np.arange(len(r)) - first < k
-        rows.append(r[keep] + start)
-        ids.append(doc_ids[c[keep]])
-        dists.append(v[keep])
-    return np.concatenate(rows), np.concatenate(ids), np.concatenate(dists)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _all(q: np.ndarray, docs: np.ndarray, norms: np.ndarray, k: int):
+    """Every distance of ``q``, and the pairs up to the k-th of each row."""
+    d = (q * q).sum(axis=1)[:, None] + norms[None, :] - 2.0 * (q @ docs.T)
+    d = np.round(np.maximum(d, 0.0), DIGITS)
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+    r, c = np.nonzero(d <= kth[:, None])
+    return r, c, d[r, c]
+
+
+def _coarse(queries: np.ndarray, docs: np.ndarray):
+    """(docs with their squared length in single precision, bound of the error) or None if a value is too large or missing."""
+    if not (np.abs(queries).max(initial=0.0) < LARGE and np.abs(docs).max(initial=0.0) < LARGE):  # also for nan
+        return None
+    wide = np.hstack([-2.0 * docs, (docs * docs).sum(axis=1)[:, None]]).astype(np.float32)
+    longest = np.sqrt((docs * docs).sum(axis=1).max())
+    # four times the bound of a sum of dims + 2 rounded products, times the length of a query plus one
+    return wide, 4.0 * (docs.shape[1] + 2) * 2.0 ** -24 * max(longest * longest, 2.0 * longest)
+
+
+def _near(q: np.ndarray, docs: np.ndarray, norms: np.ndarray, coarse, k: int):
+    """The pairs of ``_all`` and a few more: those that single precision cannot rule out, with their exact distances."""
+    wide, error = coarse
+    own = (q * q).sum(axis=1)
+    s = np.hstack([q, np.ones((len(q), 1))]).astype(np.float32) @ wide.T
+    groups = min(len(docs), max(256, 8 * k))
+    tops = s[:, :len(docs) // groups * groups].reshape(len(q), -1, groups).min(axis=1)
+    # k groups hold a row up to this each, so the k-th row is no farther
+    limit = np.partition(tops, k - 1, axis=1)[:, k - 1] + 2.0 * error * (1.0 + np.sqrt(own)) + 2.0 * 10.0 ** -DIGITS
+    at = np.flatnonzero(s <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None])
+    if len(at) > _PAIRS and len(at) > 4 * k * len(q):  # many copies
+        return _all(q, docs, norms, k)
+    r, c = np.divmod(at, len(docs))
+    d = own[r] + norms[c] - 2.0 * np.einsum("ij,ij->i", q[r], docs[c])
+    return r, c, np.round(np.maximum(d, 0.0), DIGITS)
 
 
 def _batch(query_ids: np.ndarray, ids: np.ndarray, dists: np.ndarray) -> pa.RecordBatch:
@@ -133,10 +171,10 @@ def _local_to_queries(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 ids = np.array(b.column("id").to_pylist(), dtype=object)
-                r, i, d = top_k(matrix(b.column("vector")), vectors, doc_ids, k)
-                rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1
-                out = _batch(ids[r], i, d)
-                yield out.append_column("rank", pa.array(rank, pa.int32()))
+                for r, i, d in answers(matrix(b.column("vector")), vectors, doc_ids, k):
+                    rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1
+                    out = _batch(ids[r], i, d)
+                    yield out.append_column("rank", pa.array(rank, pa.int32()))
 
     # all answers of a query come from one task, already ranked
     return queries.mapInArrow(answer, f"{OUT}, rank int")
@@ -150,10 +188,8 @@ def _scan(batches, query_ids: np.ndarray, vectors: np.ndarray, k: int):
             continue
         doc_ids, m = _sorted_docs(b)
         if len(vectors) * k > _CELLS:
-            step = max(1, _CELLS // min(k, b.num_rows))
-            for at in range(0, len(vectors), step):
-                r, i, d = top_k(vectors[at:at + step], m, doc_ids, k)
-                yield _batch(query_ids[at + r], i, d)
+            for r, i, d in answers(vectors, m, doc_ids, k):
+                yield _batch(query_ids[r], i, d)
             continue
         found = top_k(vectors, m, doc_ids, k)
         if best is not None:
@@ -199,6 +235,16 @@ def block_of(n_blocks) -> F:
     return F.pmod(F.xxhash64("id"), F.lit(n_blocks) if isinstance(n_blocks, int) else n_blocks)
 
 
+def block_rows_for(n_q: int, n_d: int, k: int, cores: int) -> int:
+    """Rows of a block: as many as a task can hold, since each side is sent once per block of the other, but work for all cores.
+
+    A large ``k`` takes smaller blocks, so that the answers of a cell stay bounded.
+    """
+    shared = math.isqrt(n_q * n_d // max(1, 4 * cores))
+    most = min(MOST_BLOCK_ROWS, max(1, (_ROWS << 4) // max(1, k)))
+    return max(min(BLOCK_ROWS, math.isqrt(_ROWS << 4)) if k > BLOCK_ROWS else BLOCK_ROWS, min(shared, most))
+
+
 def _grid(queries: DataFrame, n_q: int, docs: DataFrame, n_d: int, k: int, rows: int) -> DataFrame:
     q_blocks, d_blocks = max(1, math.ceil(n_q / rows)), max(1, math.ceil(n_d / rows))
     left = queries.withColumn("qb", block_of(q_blocks)).withColumn(
@@ -216,7 +262,7 @@ def _grid(queries: DataFrame, n_q: int, docs: DataFrame, n_d: int, k: int, rows:
 def nearest(
     queries: DataFrame, docs: DataFrame, k: int, *, query_key: str = "query_id",
     doc_key: str = "id", vector: str = "embedding", broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``query_id, id, distance, rank`` of the ``k`` nearest docs of every query.
 
@@ -231,4 +277,5 @@ def nearest(
     n_q, q_bytes = measure(q)
     if q_bytes <= broadcast_bytes:
         return unnumbered(_local_to_docs(numbered(q), d, k))
-    return unnumbered(_grid(reliable_checkpoint(numbered(q)), n_q, d, n_d, k, block_rows))
+    rows = block_rows or block_rows_for(n_q, n_d, k, q.sparkSession.sparkContext.defaultParallelism)
+    return unnumbered(_grid(reliable_checkpoint(numbered(q)), n_q, d, n_d, k, rows))

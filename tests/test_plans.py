@@ -52,6 +52,40 @@ def test_pruned_search_is_exact(vectors):
     assert few.count() == q.count() * d.count()
 
 
+def test_pruned_search_sends_queries_once_to_a_group(vectors, monkeypatch):
+    """Vectors without clusters open nearly all of them: a query is sent to the groups, not to each cluster."""
+    from sievewatch.plans import pruned
+
+    q, d, want = vectors
+    assert pruned.groups_of({0: 3, 1: 4, 2: 25, 3: 1, 5: 2}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 5: (4, 1)}
+    seen = []
+    kept = pruned._best
+    monkeypatch.setattr(pruned, "_best", lambda rows, k: kept(seen.append(rows) or rows, k))
+    assert rows(nearest_pruned(q, d, 5, n_clusters=40, block_rows=1000)) == want  # one group: at most k rows of each pass
+    assert seen[0].count() <= 5 * q.count() and seen[1].count() <= 2 * 5 * q.count() + 40 * q.count()
+    assert rows(nearest_pruned(q, d, 5, n_clusters=40, block_rows=20)) == want
+
+
+@pytest.mark.parametrize("k", [3, 400, 100_000])
+def test_answers_are_held_in_slices(monkeypatch, k):
+    rng = np.random.default_rng(5)
+    q, d = rng.normal(size=(90, 8)), np.repeat(rng.normal(size=(200, 8)), 2, axis=0)
+    ids = np.array([f"{i:03d}" for i in range(400)], dtype=object)
+    monkeypatch.setattr(nn, "_ROWS", 1000)
+    parts = list(nn.answers(q, d, ids, k))
+    assert max(len(r) for r, _, _ in parts) <= 1000
+    exact = np.round(((q[:, None, :] - d[None, :, :]) ** 2).sum(axis=2), 6)
+    want = [(i, f"{j:03d}", exact[i, j]) for i in range(90) for j in np.lexsort((np.arange(400), exact[i]))[:k]]
+    got = [x for p in parts for x in zip(*(a.tolist() for a in p), strict=True)]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-6)
+
+
+def test_blocks_bound_copies_and_answers():
+    assert nn.block_rows_for(600_000, 600_000, 5, 12) == nn.MOST_BLOCK_ROWS  # each side is sent 19 times, not 147
+    assert nn.block_rows_for(100, 100, 5, 12) == nn.BLOCK_ROWS
+    assert nn.block_rows_for(600_000, 600_000, 100_000, 12) ** 2 <= 1 << 22  # answers of one cell
+
+
 def test_search_plan_stays_local(vectors, capsys):
     q, d, _ = vectors
     nn.nearest(q, d, 5).explain("formatted")
