@@ -69,7 +69,7 @@ def cached_feed(spark: SparkSession, landed: str, cache: str, reader) -> DataFra
     """
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/_SUCCESS")
     if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
-        reader(spark, landed).write.mode("overwrite").parquet(cache)
+        reader(spark, landed).write.mode("overwrite").parquet(cache, compression="zstd")
     return spark.read.parquet(cache)
 
 

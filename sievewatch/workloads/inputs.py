@@ -15,6 +15,8 @@ BASE = (
     "benchmark labels conversations"
 ).split()
 
+LANDED_ROWS = 100_000  # lines of a landed file
+
 DERIVED: dict[str, str] = {}
 
 # the one function whose name differs between the engines
@@ -445,7 +447,8 @@ class Tables:
         key = (self.folder, name)
         if key not in known:
             path = scratch_path(self.spark, name)
-            getattr(self, name).select("value").write.text(path)
+            # packed as a collector leaves old logs; a packed file is read by one task, so none gets long
+            getattr(self, name).select("value").write.option("maxRecordsPerFile", LANDED_ROWS).text(path, compression="gzip")
             known[key] = path
         return known[key]
 

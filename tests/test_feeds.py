@@ -1,4 +1,5 @@
 import json
+import pathlib
 
 from pyspark.sql import functions as F
 
@@ -188,3 +189,19 @@ def test_half_written_cache_is_replaced(spark, tmp_path):
     (cache / "_SUCCESS").unlink()
     got = feeds.cached_feed(spark, str(tmp_path / "bundle.json"), str(cache), feeds.read_stix_bundle)
     assert got.count() == 9
+
+
+def test_landed_inputs_are_packed_in_bounded_files(spark, tmp_path, monkeypatch):
+    """The text of a graph repeats itself, and a packed file is read by one task."""
+    import gzip
+
+    from sievewatch.workloads import inputs
+
+    rows = [(i, i % 5 + 1, f"part {i}") for i in range(10)]
+    spark.createDataFrame(rows, "p_partkey BIGINT, p_size INT, p_name STRING").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(inputs, "LANDED_ROWS", 4)
+    table = inputs.Tables(spark, str(tmp_path))
+    files = sorted(p for p in pathlib.Path(table.landed("stix_bundles").removeprefix("file:")).iterdir() if p.name.startswith("part-"))
+    lines = [gzip.open(p, "rt", encoding="utf-8").read().splitlines() for p in files]
+    assert len(files) == 3 and max(map(len, lines)) == 4
+    assert sorted(x for part in lines for x in part) == sorted(r.value for r in table.stix_bundles.collect())
