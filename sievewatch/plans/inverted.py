@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import reliable_checkpoint, scratch_path
 from .nearest import DIGITS, _as_pairs, matrix, nearest
-from .pruned import centroids_of
+from .pruned import centroids_of, groups_of
 
 MOST_LISTS = 4096
 TRAIN_ROWS = 65_536  # bounded sample for centroids and codebooks
@@ -33,8 +33,11 @@ TUNE_K = 10
 SUBSPACES, CODES = 16, 256
 RECALL = 0.95  # share of true neighbours that lie in the opened lists
 RERANK = 20  # exact distances per wanted row
-SLICE_ROWS = 1 << 16  # codes of one cell of a search, and rows of one stored file
-SLICE_QUERIES = 1 << 11
+SLICE_ROWS = 1 << 16  # rows of one stored file
+GROUP_ROWS = 1 << 18  # codes of one cell of a search
+SLICE_QUERIES, MOST_SLICE_QUERIES = 1 << 11, 1 << 13  # queries of one cell
+_SLICE = 1 << 10
+_LAST = float(np.finfo(np.float32).max)
 _CELLS = 4 << 20
 
 
@@ -202,25 +205,32 @@ class Index:
         self.books = np.array([c for _, c in books])
 
     def probes(self, queries: DataFrame, n_probe: int) -> DataFrame:
-        """``q, vector, list``: each query once per list that is opened for it."""
-        sc = self.spark.sparkContext
-        shared = sc.broadcast((self.lists, self.centres))
-        m, dims = min(n_probe, len(self.lists)), self.dims
+        """``q, list``: the lists that are opened for each query."""
+        opened = self._opener(n_probe)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lists, centres = shared.value
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x = matrix(b.column("vector"))
-                if x.shape[1] != dims:
-                    raise ValueError(f"queries have {x.shape[1]} dimensions, the index {dims}")
-                near = np.argsort(_squared(x, centres), axis=1, kind="stable")[:, :m]
-                each = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("q").take(each), b.column("vector").take(each), pa.array(lists[near.ravel()])], names=["q", "vector", "list"])
+                for at in range(0, b.num_rows, _SLICE):
+                    part = b.slice(at, _SLICE)
+                    near = opened(matrix(part.column("vector")))
+                    each = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([part.column("q").take(each), pa.array(near.ravel())], names=["q", "list"])
+
+        return queries.select("q", "vector").mapInArrow(run, "q long, list int")
+
+    def _opener(self, n_probe: int):
+        """Function from query vectors to the lists that are opened for them, one row each."""
+        shared = self.spark.sparkContext.broadcast((self.lists, self.centres))
+        m, dims = min(n_probe, len(self.lists)), self.dims
+
+        def opened(x: np.ndarray) -> np.ndarray:
+            lists, centres = shared.value
+            if x.shape[1] != dims:
+                raise ValueError(f"queries have {x.shape[1]} dimensions, the index {dims}")
+            near = [np.argsort(_squared(x[at:at + _SLICE], centres), axis=1, kind="stable")[:, :m] for at in range(0, len(x), _SLICE)]
+            return lists[np.concatenate(near)]
 
-        return queries.select("q", "vector").mapInArrow(run, "q long, vector array<float>, list int")
+        return opened
 
     def rows_searched(self, queries: DataFrame, n_probe: int | None = None, vector: str = "embedding") -> DataFrame:
         """``q, searched``: how many rows a search looks at for each query."""
@@ -238,23 +248,28 @@ class Index:
         lists and a rerank that covers them the rows are those of the full search. Each query row is answered for itself.
         """
         asked = reliable_checkpoint(_asked(queries, query_key, vector))
-        opened = reliable_checkpoint(self.probes(asked, n_probe or self.n_probe))
-        used = opened.groupBy("list").agg(F.count("*").alias("asked")).collect()  # at most MOST_LISTS rows
+        n_q = asked.count()
+        used = [r.list for r in self.probes(asked, n_probe or self.n_probe).select("list").distinct().collect()]  # at most MOST_LISTS rows
         size = dict(zip(self.lists.tolist(), self.sizes.tolist(), strict=True))
-        plan = self.spark.createDataFrame(
-            [(r.list, -(-size[r.list] // SLICE_ROWS), -(-r.asked // SLICE_QUERIES)) for r in used], "list int, d_slices int, q_slices int")
-        only = F.col("list").isin([r.list for r in used]) if len(used) < len(size) else F.lit(True)  # a filter on folders
+        q_rows = max(SLICE_QUERIES, min(MOST_SLICE_QUERIES, n_q // (4 * self.spark.sparkContext.defaultParallelism)))
+        q_slices = max(1, math.ceil(n_q / q_rows))
+        group_of = groups_of({i: size[i] for i in used}, GROUP_ROWS)
+        plan = self.spark.createDataFrame([(i, at, n) for i, (at, n) in group_of.items()], "list int, at int, slices int")
+        n_groups = max((at + n for at, n in group_of.values()), default=1)
+        only = F.col("list").isin(used) if len(used) < len(size) else F.lit(True)  # a filter on folders
         codes = self.spark.read.schema("row long, code binary, list int").parquet(f"{self.path}/codes").where(only)
-        cells = F.broadcast(plan)
-        left = opened.join(cells, "list").select(
-            "list", F.pmod(F.xxhash64("q"), F.col("q_slices")).cast("int").alias("qs"), F.explode(F.sequence(F.lit(0), F.col("d_slices") - 1)).alias("ds"),
-            "q", "vector")
-        right = codes.join(cells, "list").select(
-            "list", F.explode(F.sequence(F.lit(0), F.col("q_slices") - 1)).alias("qs"), F.pmod(F.xxhash64("row"), F.col("d_slices")).cast("int").alias("ds"),
-            "row", "code")
-        keys = ["list", "qs", "ds"]
+        # a query travels once to each group of lists and finds there which of them it opens
+        left = asked.select(
+            F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("grp"), F.pmod(F.xxhash64("q"), F.lit(q_slices)).cast("int").alias("qs"), "q", "vector")
+        right = codes.join(F.broadcast(plan), "list").select(
+            (F.col("at") + F.pmod(F.xxhash64("row"), F.col("slices"))).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(q_slices - 1))).alias("qs"),
+            "list", "row", "code")
+        keys = ["grp", "qs"]
         most = max(k, rerank * k)
-        ranked = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(self._cell(most), "q long, list int, row long, about float")
+        # few bytes and much work: small partitions are not to be merged
+        left, right = (x.repartition(2 * q_slices * n_groups, *keys) for x in (left, right))
+        ranked = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+            self._cell(most, n_probe or self.n_probe), "q long, list int, row long, about float")
         best = Window.partitionBy("q").orderBy("about", "row")
         chosen = ranked.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most).select("q", "list", "row")
         vectors = self.spark.read.schema("row long, id string, vector array<float>, list int").parquet(f"{self.path}/vectors").where(only)
@@ -264,33 +279,48 @@ class Index:
         return pairs.mapInArrow(_exact, "q long, query_id string, id string, distance double").withColumn(
             "rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
-    def _cell(self, most: int):
+    def _cell(self, most: int, n_probe: int):
         shared = self.spark.sparkContext.broadcast((dict(zip(self.lists.tolist(), self.centres, strict=True)), self.books))
-        parts = self.parts
+        parts, opened = self.parts, self._opener(n_probe)
 
         def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
             names = ["q", "list", "row", "about"]
             if not left.num_rows or not right.num_rows:
                 return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.float32())], names=names)
-            of_list = key[0].as_py()
             centres, books = shared.value
             cuts = _cuts(len(books), parts)
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(-1, parts)
-            row = right.column("row").to_numpy()
-            order = np.argsort(row)
-            codes, row = codes[order], row[order]
-            q, r = left.column("q").to_numpy(), matrix(left.column("vector")) - centres[of_list]
-            keep = min(most, len(row))
-            out, step = [], max(1, _CELLS // len(row))
-            for at in range(0, len(r), step):
-                x = r[at:at + step]
-                about = np.zeros((len(x), len(row)), np.float32)
-                for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    about += _squared(x[:, lo:hi], books[lo:hi].T).astype(np.float32)[:, codes[:, s]]
-                found = np.argpartition(about, keep - 1, axis=1)[:, :keep]
-                out.append((np.repeat(q[at:at + step], keep), row[found.ravel()], np.take_along_axis(about, found, axis=1).ravel()))
-            qs, rows, values = (np.concatenate(v) for v in zip(*out, strict=True))
-            return pa.table([pa.array(qs), pa.array(np.full(len(qs), of_list, np.int32)), pa.array(rows), pa.array(values)], names=names)
+            lists, row = right.column("list").to_numpy(), right.column("row").to_numpy()
+            order = np.lexsort((row, lists))
+            codes, lists, row = codes[order], lists[order], row[order]
+            q, x = left.column("q").to_numpy(), matrix(left.column("vector"))
+            near = opened(x)
+            # the best of the lists so far: places in ``row``
+            place, value = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.float32)
+            for of_list in np.unique(lists):
+                lo_row, hi_row = np.searchsorted(lists, [of_list, of_list + 1])
+                asked, here = np.flatnonzero((near == of_list).any(axis=1)), codes[lo_row:hi_row]
+                width = min(most, value.shape[1] + len(here))
+                if width > value.shape[1]:
+                    more = width - value.shape[1]
+                    place, value = np.pad(place, ((0, 0), (0, more)), constant_values=-1), np.pad(value, ((0, 0), (0, more)), constant_values=np.inf)
+                step = max(1, _CELLS // len(here))
+                for at in range(0, len(asked), step):
+                    some = asked[at:at + step]
+                    r = x[some] - centres[int(of_list)]
+                    about = np.zeros((len(some), len(here)), np.float32)
+                    for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        about += _squared(r[:, lo:hi], books[lo:hi].T).astype(np.float32)[:, here[:, s]]
+                    np.nan_to_num(about, copy=False, nan=_LAST, posinf=_LAST)  # before the places that are still free
+                    keep = min(most, len(here))
+                    found = np.argpartition(about, keep - 1, axis=1)[:, :keep]
+                    values = np.hstack([value[some], np.take_along_axis(about, found, axis=1)])
+                    best = np.argpartition(values, width - 1, axis=1)[:, :width]
+                    value[some] = np.take_along_axis(values, best, axis=1)
+                    place[some] = np.take_along_axis(np.hstack([place[some], found + lo_row]), best, axis=1)
+            at, c = np.nonzero(place >= 0)
+            p = place[at, c]
+            return pa.table([pa.array(q[at]), pa.array(lists[p].astype(np.int32)), pa.array(row[p]), pa.array(value[at, c])], names=names)
 
         return run
 

@@ -63,6 +63,22 @@ def test_index_slices(spark, tmp_path, monkeypatch, slices):
     assert Counter(map(tuple, got)) == Counter(map(tuple, nearest(queries, docs, 4).collect()))
 
 
+def test_index_groups(spark, tmp_path, monkeypatch):
+    """Lists lie in groups, large ones in several; a query is sent to the groups, not to each list it opens."""
+    monkeypatch.setattr(inverted, "GROUP_ROWS", 9)
+    monkeypatch.setattr(inverted, "SLICE_QUERIES", 4)
+    monkeypatch.setattr(inverted, "MOST_SLICE_QUERIES", 4)
+    rnd = np.random.default_rng(6)
+    points = clustered(rnd, 60, 5, 4)
+    points[20:40] = points[0]
+    docs = vectors(spark, [(f"d{i}", v.tolist()) for i, v in enumerate(points)])
+    queries = vectors(spark, [(f"q{i}", v.tolist()) for i, v in enumerate(clustered(rnd, 9, 5, 4))], "query_id")
+    index = inverted.build_index(docs, str(tmp_path / "ix"), n_lists=7)
+    assert index.probes(inverted._asked(queries), 7).columns == ["q", "list"]  # no vector for each list
+    got = index.search(queries, 4, n_probe=7, rerank=20).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in nearest(queries, docs, 4).collect()}
+
+
 def test_index_odd(spark, tmp_path):
     with pytest.raises(ValueError, match="nothing"):
         inverted.build_index(vectors(spark, []), str(tmp_path / "a"))
