@@ -31,6 +31,7 @@ LEAST_PARTS = 1 << 8  # so that a token's distance from the start of its range t
 SPLIT = 1 << 12  # cells of the hash range that partitions are made of
 BROADCAST_IDS = 2_000_000  # ids (8 bytes) that may be broadcast
 GONE_IDS = 500_000  # dropped rows (id and hash) that may be broadcast
+BROADCAST_SETS = 500_000  # digests (16 bytes) that may be broadcast
 STAR_ROUNDS = 1  # most rounds of stars before pairs are made
 PAIRS_AT_ONCE = 200_000  # pairs of list entries, beside twice their number, that need no stars first
 
@@ -229,8 +230,16 @@ def _linked(percent: int):
     return rows
 
 
+def _asked(sets: DataFrame, *ids: Column, of: DataFrame) -> DataFrame:
+    """The sets whose digest is among ``ids`` of ``of``, or all if these are too many to be broadcast; others need no shuffle."""
+    few = of.select(F.explode(F.array(*ids)).alias("v")).distinct()
+    return sets.join(F.broadcast(few), "v", "left_semi") if few.count() <= BROADCAST_SETS else sets
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of sets whose similarity holds; tokens of one set alone cannot be common."""
+    pairs = reliable_checkpoint(pairs)
+    sets = _asked(sets, F.col("a"), F.col("b"), of=pairs)
     left = pairs.join(sets.select(F.col("v").alias("a"), F.col("n"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("v").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "x", "y", "n", "m").mapInArrow(freed(_linked(percent)), "a binary, b binary")
@@ -242,6 +251,72 @@ def _may_link(percent: int, n: str, u: str, m: str, w: str) -> Column:
     return most * (100 + percent) >= (F.col(n) + F.col(m)) * percent
 
 
+def _heads(lists: DataFrame, order: list[Column]) -> DataFrame:
+    """``(token, head, m, w, hc)``: the first set of each list, its size, tokens of its own and component."""
+    own = [F.col("v"), F.col("n").alias("m"), F.col("u").alias("w"), F.col("comp").alias("hc")]
+    heads = lists.groupBy("token").agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *own)).alias("h"))
+    return heads.select("token", F.col("h.v").alias("head"), "h.m", "h.w", "h.hc")
+
+
+def _outside(percent: int):
+    """Sets beside a head: ``a`` common tokens, ``r`` other shared ones, and of these, rare first, as many as a partner must meet.
+
+    A partner shares ``ceil(t n)`` tokens or more, at most ``a`` of them tokens of the head.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = {"a": [], "r": [], "outside": []}
+            for n, x, held, y in zip(*(b[c].to_pylist() for c in ("n", "x", "held", "y")), strict=True):
+                t, h, y = np.frombuffer(x, "<u8"), np.frombuffer(held, "<u2"), np.sort(np.frombuffer(y, "<u8"))
+                other = y[np.minimum(np.searchsorted(y, t), len(y) - 1)] != t
+                a, r = len(t) - int(np.count_nonzero(other)), int(np.count_nonzero(other))
+                t = t[other][np.lexsort((t[other], h[other]))]
+                out["a"].append(a)
+                out["r"].append(r)
+                out["outside"].append(t[: max(0, r + 1 - max(1, -(-n * percent // 100) - a))].view("<i8").tolist())
+            yield pa.RecordBatch.from_arrays(
+                [*(b[c] for c in ("head", "v", "n", "u", "comp", "m", "hc")), pa.array(out["a"], pa.int64()), pa.array(out["r"], pa.int64()),
+                 pa.array(out["outside"], pa.list_(pa.int64()))], names=["head", "v", "n", "u", "comp", "m", "hc", "a", "r", "outside"])
+
+    return rows
+
+
+def _enough(percent: int, common: Column, n: str, m: str) -> Column:
+    """``common`` tokens are enough for a link of sets with ``n`` and ``m`` tokens."""
+    return common * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+
+
+def _beside_heads(lists: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` that hold every link between different components of a list, found by way of the list's head.
+
+    All sets of a list are compared with its head. Two of them that link either have more tokens in common than both have with
+    the head, so they meet at one of their tokens outside it, or both are so near to the head that one of them only does not
+    link with it because it is the larger one: the other has fewer tokens than the head then. Copies with edits
+    of their own share few tokens outside the head, so a list of any length gives few pairs.
+    """
+    lists = lists.join(_heads(lists, [F.col("u"), F.col("n")]), "token").select("v", "n", "u", "comp", "head", "m", "hc").distinct()
+    lists = reliable_checkpoint(lists)
+    shared = _asked(shared, F.col("v"), of=lists)  # a head is in its list
+    lists = lists.join(shared.select("v", F.col("tokens").alias("x"), "held"), "v")
+    lists = lists.join(shared.select(F.col("v").alias("head"), F.col("tokens").alias("y")), "head")
+    near = reliable_checkpoint(lists.select("head", "v", "n", "u", "comp", "m", "hc", "x", "held", "y").mapInArrow(
+        freed(_outside(percent)), "head binary, v binary, n long, u long, comp binary, m long, hc binary, a long, r long, outside array<long>"))
+    linked = _enough(percent, F.col("a"), "n", "m")
+    apart = F.col("x.comp") != F.col("y.comp")
+    tokens = near.select("head", "v", "n", "u", "comp", "a", "r", F.explode("outside").alias("token"))
+    x, y = tokens.alias("x"), tokens.alias("y")
+    most = F.least("x.a", "y.a") + F.least("x.r", "y.r")
+    far = x.join(y, (F.col("x.head") == F.col("y.head")) & (F.col("x.token") == F.col("y.token"))).where(
+        (F.col("x.v") < F.col("y.v")) & apart & _may_link(percent, "x.n", "x.u", "y.n", "y.u") & _enough(percent, most, "x.n", "y.n"))
+    close = near.where(F.col("a") * 100 >= F.col("n") * percent)
+    x, y = close.where(~linked).alias("x"), close.where("n < m").alias("y")
+    close = x.join(y, F.col("x.head") == F.col("y.head")).where(apart & _enough(percent, F.least("x.a", "y.a"), "x.n", "y.n"))
+    pairs = far.select("x.v", F.col("y.v").alias("w")).union(close.select("x.v", "y.v")).union(
+        near.where(linked & (F.col("comp") != F.col("hc"))).select("v", "head"))
+    return pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
 ) -> DataFrame:
@@ -253,7 +328,7 @@ def near_duplicates(
     Every set is a vertex whatever its ids, so repeated and null ids do no harm: a component takes its smallest
     non-null id, and a row without shingles keeps its own. No pair is lost: prefixes are complete,
     and where stars around one set per token do not join all sets of a token, the rest of them is
-    compared pair by pair. Other columns are not read; an empty table gives no rows.
+    compared pair by pair if few pairs are left, else where they meet outside that set (``_beside_heads``). Other columns are not read; an empty table gives no rows.
     """
     return _marks(docs, id_col, text_col, k, percent).select("doc_id", "n_shingles", "component_id")
 
@@ -302,8 +377,9 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
     sets = stored(both, "sharedtokens")
     index = stored(_busy(stored(sets.mapInArrow(freed(_prefixes(percent)), "v binary, n long, u long, l int, token long"), "prefixes")), "lists")
     members = index.select("v").distinct()
-    joined = F.expr("aggregate(tokens, x'', (a, x) -> concat(a, x))")
-    sets = sets.join(members, "v", "left_semi").select("v", "n", joined.alias("tokens"))
+    joined = [F.expr(f"aggregate({c}, x'', (a, x) -> concat(a, x))").alias(c) for c in ("tokens", "held")]
+    shared = sets.join(members, "v", "left_semi").select("v", "n", *joined)
+    sets = shared.drop("held")
 
     found = None
     comp = None  # at first every set is a component of its own
@@ -324,17 +400,17 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
         )
         if not cost.rows:
             break
-        stars = turn < STAR_ROUNDS and cost.pairs > PAIRS_AT_ONCE + 2 * cost.rows
+        many = cost.pairs > PAIRS_AT_ONCE + 2 * cost.rows
+        stars = turn < STAR_ROUNDS and many
         if stars:
             # star: the set with the fewest tokens of its own, then others by a hash, is compared with all
-            order = [F.col("u"), F.col("n")] if turn == 0 else [F.xxhash64("comp", F.lit(turn)), F.col("u")]
-            own = [F.col("v"), F.col("n").alias("m"), F.col("u").alias("w"), F.col("comp").alias("hc")]
-            heads = lists_now.groupBy("token").agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *own)).alias("h"))
-            heads = heads.select("token", F.col("h.v").alias("head"), "h.m", "h.w", "h.hc")
+            heads = _heads(lists_now, [F.col("u"), F.col("n")] if turn == 0 else [F.xxhash64("comp", F.lit(turn)), F.col("u")])
             pairs = lists_now.join(heads, "token").where(_may_link(percent, "n", "u", "m", "w") & (F.col("comp") != F.col("hc")))
             pairs = pairs.select(F.least("v", "head").alias("a"), F.greatest("v", "head").alias("b")).distinct()
+        elif many:
+            pairs = _beside_heads(lists_now, shared, percent)
         else:
-            # what is left: pairs of different components with enough shared prefix tokens
+            # few are left: pairs of different components with enough shared prefix tokens
             x, y = lists_now.alias("x"), lists_now.alias("y")
             pairs = (
                 x.join(y, F.col("x.token") == F.col("y.token"))

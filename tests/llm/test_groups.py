@@ -155,6 +155,29 @@ def test_jaccard(spark, monkeypatch, k, percent, rounds):
     assert got == brute_components(rows, k, percent)
 
 
+def test_jaccard_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies that link with nothing, though each is near the text they were made from, are not compared with one another."""
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", -1_000_000_000)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 41):
+        t = list(base)
+        for at in (10 + i % 7, 50 + i % 5, 90 + i % 6):
+            t[at] = f"own{i}-{at}"
+        t[130] = f"of-two{i // 2}"
+        rows.append((i, " ".join(t)))
+    compared, verify = [], jaccard._verify
+
+    def counted(pairs, sets, percent):
+        compared.append(pairs.count())
+        return verify(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard, "_verify", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(table(spark, rows)).collect())
+    assert got == brute_components(rows, 5, 80)
+    assert sum(compared) <= 3 * len(rows)
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "other words in here now"), (None, None), (7, "other words in here now")]
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.near_duplicates(table(spark, rows)).collect()), key=str)
