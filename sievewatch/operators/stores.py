@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from .. import schemas
 from ..functions.text import iso_timestamp
 from ..plans.row_ids import with_row_ids
+from ..session import reliable_checkpoint
 from ..sources.alerts import RAW_FIELDS
 from . import snapshots
 from .normalise import rule_level
 
+BROADCAST_IDS = 200_000  # new ids of a batch that may be broadcast
+
 
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """The table, or no rows when it was never written."""
@@ -75,12 +78,16 @@ def first_per_id(records: DataFrame, arrival: str | None = None) -> DataFrame:
 def new_records(records: DataFrame, table: DataFrame, arrival: str | None = None) -> DataFrame:
     """Records whose id is not stored yet.
 
-    The table is reduced to the ids of the batch first, so that it is only scanned (id column)
-    and never shuffled when the batch is small enough for a broadcast.
+    The new ids are found first, from the id columns alone, so that whole records are shuffled only
+    for them, and not at all when they are few enough for a broadcast.
     """
-    batch = first_per_id(records, arrival)
-    known = table.select("id").join(records.select("id").distinct(), "id", "left_semi").distinct()
-    return batch.join(known, "id", "left_anti")
+    if table.isEmpty():
+        return first_per_id(records, arrival)
+    ids = records.select("id").distinct().join(table.select("id"), "id", "left_anti")
+    ids = reliable_checkpoint(ids)
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    new = first_per_id(records.join(ids, "id", "left_semi"), arrival)
+    return new.union(first_per_id(records.where("id is null"), arrival))  # null is never known
 
 
 def save_alerts(spark: SparkSession, records: DataFrame, path: str,

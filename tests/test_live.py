@@ -28,6 +28,24 @@ def test_save_alerts_first_write_wins(spark, tmp_path):
     assert json.loads(row.raw_data)["rule"]["id"] == "40111"
 
 
+def test_known_alerts_are_not_shuffled_whole(spark):
+    """The fields of an alert whose id is stored are not looked at; null is never a known id."""
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        looked.add(1)
+        return x
+
+    ids = spark.createDataFrame([("a", "1"), ("b", "2"), ("a", "1"), (None, "3"), (None, "0"), ("n", "5"), ("n", "4")], "id string, v string")
+    table = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "x")], "id string, v string")
+    records = ids.select("id", seen("v").alias("v"))
+    assert sorted(stores.new_records(records, table).collect(), key=str) == [("n", "4"), (None, "0")]
+    looked.value = 0
+    assert stores.new_records(records.where("id in ('a', 'b')"), table).collect() == []
+    assert looked.value == 0
+
+
 def test_stored_range_prunes_days(spark, tmp_path, capsys):
     raw = src.read_alerts(spark, write_lines(tmp_path / "a.json", SIEM_ALERTS))
     path = str(tmp_path / "table")
