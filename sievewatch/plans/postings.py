@@ -6,7 +6,11 @@ A query's best rows are found without looking at all postings of its words:
 1. the words that can add most (weight times the largest weight of any row) give partial scores; the ``k``-th best of them is a floor;
 2. words that together cannot reach the floor are not essential: a row that holds only such words is out, so their postings, the long ones
    of frequent words, bring no row in;
-3. rows found by essential words stay if what they have and all that the others could add reaches the floor; only these are completed.
+3. rows found by essential words stay if what they have and all that the others could add reaches the floor, and the ``k``-th best of what
+   they have; only these are completed.
+
+Words are counted within their row, so no text or count is shuffled; tables of words, rows and candidates are broadcast while they
+are measured to be small.
 
 The answer equals the full sparse product. Rows that share no word with a query are no hits.
 
@@ -25,7 +29,9 @@ from ..session import reliable_checkpoint, scratch_path
 GAPS = r"[^\p{L}\p{Nd}]+"  # what parts words
 DIGITS = 6
 SEEDS = 3  # words whose partial scores set the floor
+BROADCAST_ROWS = 1_000_000  # counted rows of a word and a few numbers that may be broadcast
 _ROOM = 1e-9  # sums of the same weights in another order
+_TIE = 10.0 ** -DIGITS  # scores that are farther apart have different rounded distances
 
 
 def words(text: Column) -> Column:
@@ -33,13 +39,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), GAPS), lambda w: F.length(w) > 0)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it has few rows; it is run once to count them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys`` and ``found``, the words of the text with their number ``tf``, counted within the row."""
+    starts = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.get("_w", i - 1) != F.get("_w", i - 2)))
+    ends = F.concat(F.slice("_at", 2, F.size("_w")), F.array(F.size("_w") + 1))
+    # both lists are made once a row, not once a word
+    runs = F.zip_with("_at", ends, lambda s, e: F.struct(F.get("_w", s - 1).alias("term"), (e - s).cast("long").alias("tf")))
+    sorted_words = rows.select(*keys, F.sort_array(words(F.col("text"))).alias("_w"))
+    at = sorted_words.withColumn("_at", F.when(F.size("_w") > 0, starts))
+    return at.select(*keys, F.when(F.col("_at").isNotNull(), runs).alias("found"))
+
+
 def _counts(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, F.explode(words(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``key, term, tf``; each key has one row."""
+    # an inner generator would have its input computed in a filter as well
+    return _counted(rows, key).select(key, F.inline_outer("found")).where("term is not null")
 
 
 def _unit(weighted: DataFrame, key: str) -> DataFrame:
     """Scale ``w`` to unit length for each key; rows of weight 0 go."""
     norms = weighted.groupBy(F.col(key).alias("_k")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    norms = _small(reliable_checkpoint(norms))
     return weighted.where("w > 0").join(norms, F.col(key) == F.col("_k")).withColumn("w", F.col("w") / F.col("_norm")).drop("_k", "_norm")
 
 
@@ -51,15 +76,19 @@ def build_text_index(docs: DataFrame, path: str, *, key: str = "id", text: str =
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
-    rows = reliable_checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
-    n = rows.count()
-    counts = reliable_checkpoint(_counts(rows, "row"))
-    terms = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1)))
-    weighted = counts.join(terms, "term").select("row", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    found = scratch_path(spark, "text-words")
+    _counted(rows.withColumn("row", F.monotonically_increasing_id()), "row", "id").write.parquet(found)
+    found = spark.read.parquet(found)
+    n = found.count()
+    counts = found.select("row", F.inline("found"))
+    terms = reliable_checkpoint(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(n) + 1) / (F.col("df") + 1))))
+    weights = scratch_path(spark, "text-weights")
+    counts.join(_small(terms), "term").select("row", "term", (F.col("tf") * F.col("idf")).alias("w")).write.parquet(weights)
+    weighted = spark.read.parquet(weights)
     _unit(weighted, "row").select("term", "row", "w").repartitionByRange("term", "row").sortWithinPartitions("term", "row").write.parquet(f"{path}/postings")
     top = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.max("w").alias("top"))
     terms.join(top, "term").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
-    rows.select("row", "id").write.parquet(f"{path}/rows")
+    found.select("row", "id").write.parquet(f"{path}/rows")
     spark.createDataFrame([(n,)], "n long").write.parquet(f"{path}/meta")
     return TextIndex(spark, path)
 
@@ -82,13 +111,13 @@ class TextIndex:
 
     def query_terms(self, queries: DataFrame) -> DataFrame:
         """``q, term, w, most``: weights of the known words, and the most that a word can add to a score."""
-        known = _counts(queries.select("q", "text"), "q").join(self.terms, "term").select(
-            "q", "term", (F.col("tf") * F.col("idf")).alias("w"), "top")
+        counts = _small(reliable_checkpoint(_counts(queries.select("q", "text"), "q")))
+        known = reliable_checkpoint(self.terms.join(counts, "term").select("q", "term", (F.col("tf") * F.col("idf")).alias("w"), "top"))
         return _unit(known, "q").select("q", "term", "w", (F.col("w") * F.col("top")).alias("most"))
 
     def _scores(self, asked: DataFrame) -> DataFrame:
         """``q, row, score`` over the given words of the queries."""
-        return self.postings.withColumnRenamed("w", "there").join(asked.select("q", "term", "w"), "term").groupBy("q", "row").agg(
+        return self.postings.withColumnRenamed("w", "there").join(_small(asked.select("q", "term", "w")), "term").groupBy("q", "row").agg(
             F.sum(F.col("w") * F.col("there")).alias("score"))
 
     def plan(self, terms: DataFrame, k: int) -> DataFrame:
@@ -118,16 +147,19 @@ class TextIndex:
         asked = reliable_checkpoint(queries.where(F.col(text).isNotNull() & F.col(query_key).isNotNull()).select(
             F.monotonically_increasing_id().alias("q"), F.col(query_key).cast("string").alias("query_id"), F.col(text).alias("text")))
         terms = reliable_checkpoint(self.plan(reliable_checkpoint(self.query_terms(asked)), k))
-        floors = terms.groupBy("q").agg(F.max("floor").alias("floor"), F.max("rest").alias("rest"))
+        floors = _small(terms.groupBy("q").agg(F.max("floor").alias("floor"), F.max("rest").alias("rest")))
         found = self._scores(terms.where("essential")).join(floors, "q").where(F.col("score") + F.col("rest") >= F.col("floor"))
-        found = reliable_checkpoint(found.select("q", "row", "score"))
-        others = terms.where("not essential").select("q", "term", "w")
-        more = (
-            found.select("q", "row").join(others, "q")
-            .join(self.postings.withColumnRenamed("w", "there"), ["term", "row"])
-            .groupBy("q", "row").agg(F.sum(F.col("w") * F.col("there")).alias("more"))
-        )
-        scored = found.join(more, ["q", "row"], "left").join(self.rows, "row").select(
+        found = reliable_checkpoint(found.select("q", "row", "score", "rest"))
+        # what the essential words alone give the k-th best row is a higher floor
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "row")
+        kth = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select("q", (F.col("score") - _TIE).alias("floor"))
+        near = found.join(_small(reliable_checkpoint(kth)), "q", "left").where(F.col("floor").isNull() | (F.col("score") + F.col("rest") >= F.col("floor")))
+        near = reliable_checkpoint(near.select("q", "row", "score"))
+        others = reliable_checkpoint(terms.where("not essential").select("q", "term", "w"))
+        wanted = _small(near.select("q", "row").join(_small(others), "q"))
+        held = self.postings.withColumnRenamed("w", "there").join(_small(others.select("term").distinct()), "term", "left_semi")
+        more = held.join(wanted, ["term", "row"]).groupBy("q", "row").agg(F.sum(F.col("w") * F.col("there")).alias("more"))
+        scored = near.join(more, ["q", "row"], "left").join(self.rows, "row").select(
             "q", "id", F.round(F.greatest(F.lit(0.0), 2 - 2 * (F.col("score") + F.coalesce("more", F.lit(0.0)))), DIGITS).alias("distance"))
         order = Window.partitionBy("q").orderBy("distance", "id")
         best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

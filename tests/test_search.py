@@ -177,3 +177,10 @@ def test_alert_context_from_text(spark):
                                    "alert_id string, description string, rule_groups array<string>")
     got = {r.alert_id: r.mitre_context for r in rv.alert_context(alerts, None, docs, 1).collect()}
     assert got["1"] == got["2"] and got["1"].startswith("[T0] name 0:\n") and got["3"] is None
+
+
+def test_words_are_counted_within_their_row(spark):
+    rows = spark.createDataFrame([(1, "b a A-c a"), (2, ""), (3, None), (4, "--"), (5, "x")], "row long, text string")
+    counts = postings._counts(rows, "row")
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 3), (1, "b", 1), (1, "c", 1), (5, "x", 1)]
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
