@@ -18,12 +18,14 @@ from ..plans.inverted import Index
 from ..plans.nearest import nearest
 from ..plans.postings import TextIndex, scratch_text_index
 from ..plans.pruned import nearest_pruned
+from ..session import reliable_checkpoint
 
 TECHNIQUES, CVES = "MITRE ATT&CK", "NVD CVE"
 TECHNIQUE_META = ["tactics", "platforms", "threat_groups"]
 CVE_META = ["severity", "cvss_score", "affected_products"]
 # fixed values: text lengths of results, prompt and tool snippets
 RESULT_TEXT, PROMPT_SNIPPET, TOOL_SNIPPET = 500, 300, 200
+BROADCAST_CONTEXTS = 10_000  # texts of some 1 kB that may be broadcast
 NO_CONTEXT = "No relevant threat intelligence found."
 NO_TECHNIQUES = "No matching MITRE techniques found."
 
@@ -242,7 +244,9 @@ def alert_context(
     context = _joined(hits, entry, "\n\n").select(
         F.col("query_id").alias("query"), F.col("body").alias("mitre_context")
     )
-    return asked.join(context, "query", "left")
+    # searched once, however often the answer is read
+    context = reliable_checkpoint(context)
+    return asked.join(F.broadcast(context) if context.count() <= BROADCAST_CONTEXTS else context, "query", "left")
 
 
 def with_hinted_technique(alerts: DataFrame, techniques: DataFrame) -> DataFrame:
