@@ -40,17 +40,22 @@ def parse_requests(requests: DataFrame) -> DataFrame:
     """``(request_id, text)`` -> keyword route and the words that may be an alert id."""
     text = F.lower("text")
     edge, end = f"(?:^|[{PY_BLANKS}])", f"(?=[{PY_BLANKS}]|$)"
-    has_number = text.rlike(rf"{edge}\p{{Nd}}+{end}")
     id_words = F.regexp_extract_all(
         text, F.lit(rf"{edge}(\p{{Nd}}+|{ID_PREFIX}[^{PY_BLANKS}]*){end}"), F.lit(1)
     )
-    return requests.select(
-        "request_id",
-        F.when(text.contains("alert") & has_number, id_words)
-        .otherwise(F.array().cast("array<string>")).alias("id_words"),
+    # a number between blanks is one of the words, so the text is searched once
+    found = requests.select(
+        "request_id", F.when(text.contains("alert"), id_words).alias("words"),
         _route(text, lambda r: r[1]).otherwise(F.lit(None).cast("int")).alias("min_level"),
         _route(text, lambda r: r[2]).otherwise(F.lit(RECENT)).alias("label"),
     )
+    has_number = F.exists("words", lambda w: w.rlike(r"^\p{Nd}+\z"))
+    return found.select(
+        "request_id",
+        F.when(has_number, F.col("words"))
+        .otherwise(F.array().cast("array<string>")).alias("id_words"),
+        "min_level", "label",
+    )
 
 
 def label_counts(alerts: DataFrame) -> DataFrame:
@@ -73,7 +78,10 @@ def route_requests(requests: DataFrame, alerts: DataFrame) -> DataFrame:
     are the same for every request of that route, so they are not repeated per request.
     """
     parsed = parse_requests(requests)
-    words = parsed.select("request_id", F.posexplode("id_words").alias("word_pos", "alert_id"))
+    # an inner generator would search the texts a second time, in a filter on the size of the list
+    words = parsed.select(
+        "request_id", F.posexplode_outer("id_words").alias("word_pos", "alert_id")
+    ).where("alert_id is not null")
     # reduce the alerts to the ids that are asked for (the alerts are only scanned when the
     # words fit a broadcast), one row per id, so that a much-repeated id cannot multiply the join
     wanted = words.select("alert_id").distinct()

@@ -96,6 +96,16 @@ def test_requests(spark, tmp_path):
     assert "No recent alerts found in SIEM." in {r.header for r in none.collect()}
 
 
+def test_requests_search_their_text_once(spark, tmp_path):
+    asked = [("a", "alert 12 171x9 13"), ("b", "alert 171x9"), ("c", "12"), ("d", "ALERT\t7\n"), ("e", None), ("f", "alert 12a 3b"), ("g", "alert 171")]
+    reqs = spark.createDataFrame(asked, "request_id STRING, text STRING")
+    got = {r.request_id: r.id_words for r in triage.parse_requests(reqs).collect()}
+    assert got == {"a": ["12", "171x9", "13"], "b": [], "c": [], "d": ["7"], "e": [], "f": [], "g": ["171"]}
+    alerts = spark.createDataFrame([("12", 3)], "alert_id STRING, rule_level INT")
+    routed = triage.route_requests(reqs, alerts)._jdf.queryExecution().optimizedPlan()
+    assert routed.toString().count("regexp_extract_all") == 2  # for the ids that are asked for, and for the words of a request
+
+
 def test_summary_line(spark, tmp_path):
     df = raw(spark, tmp_path)
     n = nz.flat(nz.normalise(df)).join(
