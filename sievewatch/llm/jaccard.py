@@ -27,11 +27,10 @@ COMMON = 256  # frequencies from here on count as equal
 MOST_MATCHES = 4  # largest l
 VERIFY_COST = 8  # a verification in list entries
 PART_TOKENS = 1 << 19  # counted tokens of one partition, on average
-LEAST_PARTS = 1 << 8  # so that a token's distance from the start of its range takes seven bytes
+LEAST_PARTS = 96  # enough for tasks to share; each part of a set carries the set's key, so more of them cost more
 SPLIT = 1 << 12  # cells of the hash range that partitions are made of
-BROADCAST_IDS = 2_000_000  # ids (8 bytes) that may be broadcast
+BROADCAST_IDS = 2_000_000  # ids (with the hash of the text, 16 bytes) or hashes of digests that may be broadcast
 GONE_IDS = 500_000  # dropped rows (id and hash) that may be broadcast
-BROADCAST_SETS = 500_000  # digests (16 bytes) that may be broadcast
 STAR_ROUNDS = 1  # most rounds of stars before pairs are made
 PAIRS_AT_ONCE = 200_000  # pairs of list entries, beside twice their number, that need no stars first
 
@@ -231,9 +230,12 @@ def _linked(percent: int):
 
 
 def _asked(sets: DataFrame, *ids: Column, of: DataFrame) -> DataFrame:
-    """The sets whose digest is among ``ids`` of ``of``, or all if these are too many to be broadcast; others need no shuffle."""
-    few = of.select(F.explode(F.array(*ids)).alias("v")).distinct()
-    return sets.join(F.broadcast(few), "v", "left_semi") if few.count() <= BROADCAST_SETS else sets
+    """The sets whose digest is among ``ids`` of ``of`` (and the few that share its hash), or all if these are too many to be broadcast.
+
+    Others need no shuffle.
+    """
+    few = of.select(F.explode(F.array(*ids)).alias("v")).select(F.xxhash64("v").alias("_v")).distinct()
+    return sets.join(F.broadcast(few), F.xxhash64(sets["v"]) == F.col("_v"), "left_semi") if few.count() <= BROADCAST_IDS else sets
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -360,29 +362,32 @@ def set_links(rows: DataFrame, base: DataFrame, classes: DataFrame, k: int, perc
     """Links ``(a, b)`` between different sets that give the same components as all links."""
     spark = rows.sparkSession
     real = base.where("n > 0")
-    tokens = real.agg(F.sum("n_low").alias("low"), F.sum("n").alias("all")).first()
+    low = real.agg(F.sum("n_low").alias("low")).first().low
     # first with the low tokens of all sets ...
-    parts = _parts(tokens.low)
+    parts = _parts(low)
     cells = rows.select("text").mapInArrow(freed(_to_cells(parts, k, _limit(percent))), _CELLS)
     sets = real.groupBy("v").agg(F.min("n").alias("n"), F.min("n_low").alias("counted"), F.min("extra").alias("extra"))
-    members = stored(_busy(_index(cells, sets, percent, _count_in(parts, _limit(percent)))[0]).select("v").distinct(), "members")
+    prefixes = stored(_index(cells, sets, percent, _count_in(parts, _limit(percent)))[0].select("v", "token"), "lowprefixes")
+    members = stored(_busy(prefixes).select("v").distinct(), "members")
     # ... then with all tokens of the sets that may have a partner: one text each
-    ids = classes.join(members, "v").select(F.col("id").alias("_id")).distinct()
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = rows.join(few, rows["id"].eqNullSafe(F.col("_id")), "left_semi")
-    parts = _parts(tokens.all)
+    ids = stored(classes.join(members, "v").select(F.col("first.id").alias("_id"), F.col("first.h").alias("_h"), "n"), "memberids")
+    asked = ids.agg(F.count("*").alias("c"), F.sum("n").alias("tokens")).first()
+    ids = ids.select("_id", "_h")
+    few = F.broadcast(ids) if asked.c <= BROADCAST_IDS else ids
+    texts = rows.join(few, rows["id"].eqNullSafe(F.col("_id")) & (F.xxhash64(rows["text"]) == F.col("_h")), "left_semi")
+    parts = _parts(asked.tokens)
     cells = texts.select("text").mapInArrow(freed(_to_cells(parts, k)), _CELLS)
     sets = classes.join(members, "v").select("v", "n", F.col("n").alias("counted"), F.lit(b"").alias("extra"))
     both = _index(cells, sets, percent, _count_in(parts))[1]
     sets = stored(both, "sharedtokens")
     index = stored(_busy(stored(sets.mapInArrow(freed(_prefixes(percent)), "v binary, n long, u long, l int, token long"), "prefixes")), "lists")
-    members = index.select("v").distinct()
     joined = [F.expr(f"aggregate({c}, x'', (a, x) -> concat(a, x))").alias(c) for c in ("tokens", "held")]
-    shared = sets.join(members, "v", "left_semi").select("v", "n", *joined)
+    shared = sets.select("v", "n", *joined)  # only read by way of ``_asked``, so that few of them are shuffled
     sets = shared.drop("held")
 
     found = None
     comp = None  # at first every set is a component of its own
+    members = index.select("v").distinct()
     lists = index.select("token", "v", "n", "u", "l")
     turn = 0
     while True:

@@ -178,6 +178,22 @@ def test_jaccard_pairs_of_a_large_group(spark, monkeypatch):
     assert sum(compared) <= 3 * len(rows)
 
 
+def test_jaccard_reads_asked_sets_only(spark, monkeypatch):
+    """The tokens that are compared are joined with nothing before the asked sets are picked out of them."""
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", -1_000_000_000)
+    plans, asked = [], jaccard._asked
+
+    def seen(sets, *ids, of):
+        plans.append(sets._jdf.queryExecution().optimizedPlan().toString())
+        return asked(sets, *ids, of=of)
+
+    monkeypatch.setattr(jaccard, "_asked", seen)
+    rows = [(i, " ".join(f"g{i // 4}w{j}" for j in range(40)) + f" end{i}") for i in range(24)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(table(spark, rows)).collect())
+    assert got == brute_components(rows, 5, 80)
+    assert plans and not any("Join" in p for p in plans)
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "other words in here now"), (None, None), (7, "other words in here now")]
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.near_duplicates(table(spark, rows)).collect()), key=str)
