@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded_batches
+from .common import bounded_batches, memory
 
 CACHE_PIECES, CACHE_WORDS = 300_000, 60_000  # entries of one generation of a worker's memory (about 70 MB together)
 LONG_PIECE = 200  # longer pieces are not remembered
@@ -181,7 +181,7 @@ def decode_text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-_coders: dict[tuple, Coder] = {}
+MEMORY = "coders"
 _lock = threading.Lock()
 
 
@@ -192,9 +192,10 @@ def worker_coder(content: bytes, pattern: str | None) -> Coder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
     key = (hashlib.md5(content).digest(), pattern)
     with _lock:
-        if key not in _coders:
-            _coders[key] = Coder(content, pattern)
-        return _coders[key]
+        coders = memory(MEMORY)
+        if key not in coders:
+            coders[key] = Coder(content, pattern)
+        return coders[key]
 
 
 _COLUMNS = {

@@ -33,10 +33,31 @@ def release() -> None:
         trim(0)
 
 
-def freed(rows):
-    """``rows`` (batches to batches) that gives memory back when a task's batches are done."""
+_memories: dict[str, dict] = {}
+
+
+def memory(name: str) -> dict:
+    """What this Python worker remembers from task to task under a name."""
+    return _memories.setdefault(name, {})
+
+
+def forget(but: str | None = None) -> None:
+    """Drop what this Python worker remembers for other steps than ``but``; a session's workers serve one step after another."""
+    old = [m for name, m in _memories.items() if name != but and m]
+    for m in old:
+        m.clear()
+    if old:
+        release()
+
+
+def freed(rows, keeps: str | None = None):
+    """``rows`` (batches to batches) that gives memory back when a task's batches are done, and before that what other steps left.
+
+    ``keeps`` names the ``memory`` that ``rows`` uses itself.
+    """
 
     def run(batches):
+        forget(keeps)
         yield from rows(batches)
         release()
 

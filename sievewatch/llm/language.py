@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import private, release, stored
+from .common import forget, private, release, stored
 
 WINDOW = 256  # bytes; every text is cut into windows of this length, the last one padded with zeros
 WIDTHS = (2, 3, 4, 5)
@@ -195,6 +195,7 @@ def identify(docs: DataFrame, net: ByteNet, text_col: str = "text", name: str =
 
     @F.pandas_udf("label string, score double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for texts in batches:
             label, score = model.value.predict(texts.tolist())
             yield pd.DataFrame({"label": label, "score": score})

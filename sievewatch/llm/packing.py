@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import read_vocabulary, worker_coder
+from .bpe import MEMORY, read_vocabulary, worker_coder
 from .common import bounded_batches, freed, stored
 
 SIZE = 2048
@@ -284,7 +284,7 @@ def pack(
     extra = ", ids array<int>" if with_ids else ""
     parts = stored(
         rows.mapInArrow(
-            freed(_pieces_of(vocabulary, size, extra)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{extra}")
+            freed(_pieces_of(vocabulary, size, extra), MEMORY), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long{extra}")
         .withColumn("_row", F.monotonically_increasing_id()), "pieces")
     return place(parts, size)
 

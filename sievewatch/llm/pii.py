@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, release
+from .common import bounded_batches, forget, release
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "url", "secret")
@@ -206,6 +206,7 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for texts in batches:
             yield pd.Series([masked(t) for t in texts.tolist()], dtype=object)
         release()

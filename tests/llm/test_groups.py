@@ -309,6 +309,16 @@ def test_plan():
             assert bins <= len(free) * 1.03 + 1
 
 
+def test_steps_forget_one_another():
+    """A worker that goes on with another step drops the coder of the one before."""
+    from sievewatch.llm import common
+
+    content = bpe.read_vocabulary(P.path("byte_bpe_50k.json"))
+    coder = bpe.worker_coder(content, None)
+    assert list(common.freed(lambda batches: batches, bpe.MEMORY)([1])) == [1] and bpe.worker_coder(content, None) is coder
+    assert list(common.freed(lambda batches: batches)([1])) == [1] and bpe.worker_coder(content, None) is not coder
+
+
 def test_pack(spark):
     import zlib
 
