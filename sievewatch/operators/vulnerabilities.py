@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.severity import cvss_text
 from ..functions.text import col, cut, join_or, py_strip
+from ..plans.joins import broadcast_if_small
+from ..session import reliable_checkpoint
 
 NO_DESCRIPTION = "No description available"
 # fixed values: metric lists in order of preference
@@ -242,18 +244,18 @@ def match_software(inventory: DataFrame, cves: DataFrame) -> DataFrame:
 
     ``cves`` holds ``id, severity, cvss_score`` and ``products``, here every product of the feed
     item (``named_products()``), not the short list of the texts. Inventory rows are grouped by product first: hosts are counted per product, and the CVE
-    join sees each product once.
+    join sees each product once. The products of a feed are never broadcast: the size of its files says little of how many it names.
+    The counted side is broadcast while it is small by count.
     """
-    per_product = inventory.groupBy("vendor", "product").agg(
+    per_product = reliable_checkpoint(inventory.groupBy("vendor", "product").agg(
         F.countDistinct("host").alias("n_hosts")
-    )
+    ))
     named = cves.select(
         F.col("id").alias("cve_id"), "severity", "cvss_score",
         F.explode("products").alias("vendor_product"),
     )
-    return per_product.withColumn(
-        "vendor_product", F.concat_ws(" ", "vendor", "product")
-    ).join(named, "vendor_product").drop("vendor_product")
+    installed = per_product.withColumn("vendor_product", F.concat_ws(" ", "vendor", "product"))
+    return broadcast_if_small(installed).join(named.hint("merge"), "vendor_product").drop("vendor_product")
 
 
 def first_cves(items: DataFrame, n: int = 10) -> DataFrame:

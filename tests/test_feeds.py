@@ -205,3 +205,21 @@ def test_landed_inputs_are_packed_in_bounded_files(spark, tmp_path, monkeypatch)
     lines = [gzip.open(p, "rt", encoding="utf-8").read().splitlines() for p in files]
     assert len(files) == 3 and max(map(len, lines)) == 4
     assert sorted(x for part in lines for x in part) == sorted(r.value for r in table.stix_bundles.collect())
+
+
+def test_products_of_a_feed_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """A packed feed looks small on disk and names many products: only the counted inventory may be broadcast."""
+    from sievewatch.plans import joins
+
+    rows = [(f"CVE-{i}", "HIGH", 7.5, [f"v p{j}" for j in range(40)] + [f"v own{i}"]) for i in range(50)]
+    spark.createDataFrame(rows, "id STRING, severity STRING, cvss_score DOUBLE, products ARRAY<STRING>").write.parquet(str(tmp_path / "cves"))
+    cves = spark.read.parquet(str(tmp_path / "cves"))
+    installed = [(f"h{i % 3}", "v", f"p{i % 4}") for i in range(24)] + [(None, "v", "own7"), ("h", None, "p1"), ("h", "v", "none")]
+    inventory = spark.createDataFrame(installed, "host STRING, vendor STRING, product STRING")
+    want = sorted([("v", f"p{j}", 3, f"CVE-{i}") for j in range(4) for i in range(50)] + [("v", "own7", 0, "CVE-7")])
+    for limit, join in ((joins.BROADCAST_ROWS, "BroadcastHashJoin"), (2, "SortMergeJoin")):
+        monkeypatch.setattr(joins.broadcast_if_small, "__defaults__", (limit,))
+        got = vu.match_software(inventory, cves)
+        assert sorted((r.vendor, r.product, r.n_hosts, r.cve_id) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and "BuildRight" not in plan
