@@ -31,9 +31,9 @@ def raw_stream(t):
     return src.stream_alerts(t.spark, t.landed("raw_lines"))
 
 
-def all_live(t):
+def flat_live(raw):
     """Every alert (no forward filter), normalised and flat, with event time."""
-    alerts = live.live_alerts(raw_stream(t), min_level=0, skip=[])
+    alerts = live.live_alerts(raw, min_level=0, skip=[])
     return alerts.select(
         "alert_id", "ts", F.col("source.agent_name").alias("agent_name"),
         F.col("rule.level").alias("rule_level"), "category", "rule",
@@ -41,6 +41,10 @@ def all_live(t):
     )
 
 
+def all_live(t):
+    return flat_live(raw_stream(t))
+
+
 SECONDS = "SELECT *, date_trunc('second', ts) AS t0 FROM alerts"
 CLOSED = "(SELECT max(t0) - INTERVAL 10 MINUTE FROM s)"
 
@@ -142,23 +146,35 @@ WHERE session_end <= {CLOSED}""", "alerts")(
 
 
 def fallen_silent(t, wait_seconds: int = 300):
-    """Follow the landed file, after which nothing comes any more, until every agent is reported."""
-    path, alerts = scratch_path(t.spark, "clock"), all_live(t).select("agent_name", "ts")
-    agents = t.alerts.select("agent_name").distinct().count()
+    """Follow the landed file, after which nothing comes any more, until every alert that can be read is in a report.
+
+    However long the file takes, its alerts are waited for; once they are read, an agent that is not reported for ``wait_seconds``
+    more is an error, as is a stream that ended: part of the agents is no answer.
+    """
+    path, landed = scratch_path(t.spark, "clock"), t.landed("raw_lines")
+    alerts = all_live(t).select("agent_name", "ts")
+    arrived = flat_live(src.read_alerts(t.spark, landed)).count()
     query = live.start(stateful.silent_agents_by_clock(alerts, 2), path, scratch_path(t.spark, "clock-cp"), interval="1 second")
     rows = t.spark.createDataFrame([], "agent_name STRING, last_seen TIMESTAMP, events LONG")
+    told, since = 0, None
     try:
-        for _ in range(wait_seconds):
+        while told < arrived or since is None:
             time.sleep(1)
             if query.exception() is not None:
                 raise query.exception()
-            if query.recentProgress and any(p["sink"]["numOutputRows"] != 0 for p in query.recentProgress):
-                rows = t.spark.read.schema(rows.schema).parquet(path)
-                if rows.count() >= agents:
-                    break
+            if not query.isActive:
+                raise RuntimeError(f"the stream ended: {told} of {arrived} alerts are in a report")
+            if not query.recentProgress:  # the file is still being read
+                continue
+            rows = t.spark.read.schema(rows.schema).parquet(path)
+            before, told = told, rows.agg(F.coalesce(F.sum("events"), F.lit(0))).first()[0]
+            since = time.monotonic() if since is None or told > before else since
+            if told < arrived and time.monotonic() - since > wait_seconds:
+                raise TimeoutError(f"{told} of {arrived} alerts are in a report {wait_seconds} s after the last one")
     finally:
         query.stop()
-    return rows
+    # an agent with a pause in between is reported once per silence
+    return rows.groupBy("agent_name").agg(F.max("last_seen").alias("last_seen"), F.sum("events").alias("events"))
 
 
 R.add("st5_silent_by_clock", f"""

@@ -4,13 +4,16 @@ import json
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import SIEM_ALERTS, write_lines
 from sievewatch.operators import detections as dt
 from sievewatch.sources import alerts as src
 from sievewatch.streaming import live, stateful
+from sievewatch.workloads import streams
 
+start = live.start
 ROW = "src_ip string, agent_name string, s long, port int"
 
 
@@ -132,3 +135,49 @@ def test_every_line_has_an_outcome(spark, tmp_path):
     assert rejects['{"id": "n1", "rule": {"id": "1", "level": "high"}}'] == ["rule.level"] and rejects["broken {"] == ["line"]
     kept = spark.read.parquet(paths[0])
     assert kept.count() == 3 and {"alert_id", "ts", "rule", "line"} <= set(kept.columns)
+
+
+class Landed:
+    """One folder of alert lines, as ``Tables`` leaves them."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+
+    def landed(self, name):
+        return self.folder
+
+    @property
+    def alerts(self):
+        return src.read_alerts(self.spark, self.folder).select("agent.name").toDF("agent_name")
+
+
+def silent_lines(tmp_path, n=40):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    base = next(a for a in SIEM_ALERTS if a.get("agent") and a.get("rule"))
+    rows = [base | {"id": f"s{i}", "timestamp": f"2024-01-15T10:00:{i:02d}.000Z", "agent": {"id": "1", "name": f"agent{i % 4}", "ip": "10.0.0.1"}} for i in range(n)]
+    write_lines(folder / "0.json", rows)
+    return str(folder)
+
+
+def test_missing_reports_are_an_error(spark, tmp_path, monkeypatch):
+    """Agents that are not reported in time, or a stream that stops: no empty or partial answer."""
+    t, make = Landed(spark, silent_lines(tmp_path)), stateful.silent_agents_by_clock
+    with monkeypatch.context() as m:
+        m.setattr(stateful, "silent_agents_by_clock", lambda alerts, _: make(alerts, 1000))
+        with pytest.raises(TimeoutError, match="0 of 40"):
+            streams.fallen_silent(t, wait_seconds=2)
+
+    def ended(*args, **options):
+        query = start(*args, **options)
+        query.stop()
+        return query
+
+    monkeypatch.setattr(live, "start", ended)
+    with pytest.raises(RuntimeError, match="0 of 40"):
+        streams.fallen_silent(t, wait_seconds=2)
+
+
+def test_every_alert_is_in_a_report(spark, tmp_path):
+    found = streams.fallen_silent(Landed(spark, silent_lines(tmp_path)), wait_seconds=60)
+    assert sorted((r.agent_name, r.events, r.last_seen.second) for r in found.collect()) == [(f"agent{i}", 10, 36 + i) for i in range(4)]
