@@ -1,9 +1,11 @@
 """Exact k-nearest-neighbour joins (squared L2) without emitting the pairs.
 
 Distances are computed as matrix products inside the tasks and only the best ``k`` of each
-query leave a task. Three layouts, chosen by the measured size of the vectors:
+query leave a task. Four layouts, chosen by the measured size of the vectors:
 
 * the collection fits the broadcast limit: every query finds its answer where it lies, no shuffle;
+* ``k`` is a large part of a collection that fits a task: the collection is sent to each block of queries, so that
+  the vectors are shuffled and the answers, which are far more, are not;
 * the queries fit: the collection is scanned in place, the per-task answers are merged;
 * neither fits: both sides are cut into blocks of bounded size by a hash of their id, and each
   pair of blocks meets in one task.
@@ -15,6 +17,7 @@ on the layout.
 from __future__ import annotations
 
 import math
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from ..session import reliable_checkpoint
 BROADCAST_BYTES = 32 << 20
 BLOCK_ROWS, MOST_BLOCK_ROWS = 4096, 32768
 DIGITS = 6
+WIDE_BYTES = 512 << 20  # a collection that a task may hold
+WIDE_QUERIES = 8192  # queries that meet a sent collection
 _CELLS = 2 << 20  # distances held at a time in one task
 _ROWS = 1 << 18  # answers held at a time in one task
 _PAIRS = 1 << 16
@@ -49,6 +54,10 @@ def answers(queries: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int):
     if not len(queries) or not len(docs):
         return
     k = min(k, len(docs))
+    if _takes_most(queries, docs, k):
+        for start, c, v in _sorted_all(queries, docs, k):
+            yield np.repeat(np.arange(start, start + len(c)), k), doc_ids[c.ravel()], v.ravel()
+        return
     norms, coarse = (docs * docs).sum(axis=1), _coarse(queries, docs) if k < len(docs) else None
     step = max(1, min(_CELLS // len(docs), _ROWS // k))
     for start in range(0, len(queries), step):
@@ -60,6 +69,34 @@ def answers(queries: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int):
         yield r[keep] + start, doc_ids[c[keep]], v[keep]
 
 
+def _takes_most(queries: np.ndarray, docs: np.ndarray, k: int) -> bool:
+    """Nothing can be ruled out before the sort."""
+    return 2 * k >= len(docs) > _ROWS >> 6 and bool(np.isfinite(docs).all() and np.isfinite(queries).all())
+
+
+def _sorted_all(queries: np.ndarray, docs: np.ndarray, k: int):
+    """(first query, places of the docs, distances), a row for each query: the distances are sorted as whole numbers of the last digit.
+
+    The place stands in the lower bits, so that ties stay in its order.
+    """
+    k = min(k, len(docs))
+    norms, bits = (docs * docs).sum(axis=1), int(len(docs) - 1).bit_length()
+    place, mask = np.arange(len(docs)), (1 << bits) - 1
+    step = max(1, min(_CELLS // len(docs), _ROWS // k))
+    for start in range(0, len(queries), step):
+        q = queries[start:start + step]
+        d = (q * q).sum(axis=1)[:, None] + norms[None, :] - 2.0 * (q @ docs.T)
+        d = np.rint(np.maximum(d, 0.0) * 10.0 ** DIGITS)
+        if d.max() < 2.0 ** (62 - bits):
+            keys = (d.astype(np.int64) << bits) | place
+            keys.sort(axis=1)
+            keys = keys[:, :k]
+            yield start, keys & mask, (keys >> bits) / 10.0 ** DIGITS
+        else:
+            c = np.argsort(d, axis=1, kind="stable")[:, :k]
+            yield start, c, np.take_along_axis(d, c, axis=1) / 10.0 ** DIGITS
+
+
 def top_k(queries: np.ndarray, docs: np.ndarray, doc_ids: np.ndarray, k: int):
     """Per query the ``k`` nearest docs: (query row, doc id, distance) arrays.
 
@@ -180,6 +217,48 @@ def _local_to_queries(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return queries.mapInArrow(answer, f"{OUT}, rank int")
 
 
+def _local_to_blocks(queries: DataFrame, docs: DataFrame, n_q: int, k: int) -> DataFrame:
+    """The whole collection meets each block of queries: no answer is shuffled, those of a query leave its task in order."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n_q / min(WIDE_QUERIES, max(1, math.ceil(n_q / (2 * cores))))))
+    own = F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    asked = queries.where("id is not null").select(own.cast("int").alias("blk"), F.lit(True).alias("asks"), "id", "vector")
+    there = docs.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.lit(False).alias("asks"), "id", "vector")
+    met = there.unionByName(asked).repartition(2 * blocks, "blk").sortWithinPartitions("blk", "asks", "id")
+
+    def answer(batches):
+        at, held, vectors, ids = None, [], None, None
+        for b in batches:
+            blk, asks = b.column("blk").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            for lo, hi in pairwise([0, *(np.flatnonzero((np.diff(blk) != 0) | (np.diff(asks.view(np.int8)) != 0)) + 1).tolist(), len(blk)]):
+                part = b.slice(lo, hi - lo)
+                if blk[lo] != at:
+                    at, held, vectors = blk[lo], [], None
+                if not asks[lo]:
+                    held.append(part.select(["id", "vector"]))
+                    continue
+                if vectors is None:
+                    ids, vectors = _sorted_docs(pa.Table.from_batches(held)) if held else (np.empty(0, object), np.empty((0, 0)))
+                    ids, held = pa.array(ids, pa.string()), []
+                names = part.column("id")
+                asked = matrix(part.column("vector"))
+                # a row for each query, taken apart behind the task; the rank is the place in the list
+                if _takes_most(asked, vectors, k):
+                    found = ((np.arange(at, at + len(c)), np.arange(len(c) + 1) * c.shape[1], c.ravel(), d.ravel()) for at, c, d in _sorted_all(asked, vectors, k))
+                else:
+                    found = ((r[n], np.append(n, len(r)), c, d) for r, c, d in answers(asked, vectors, np.arange(len(vectors)), k)
+                             for n in [np.flatnonzero(np.diff(r, prepend=-1))])
+                for q, ends, c, d in found:
+                    ends = pa.array(ends, pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(q)), pa.ListArray.from_arrays(ends, ids.take(pa.array(c))), pa.ListArray.from_arrays(ends, pa.array(d))],
+                        names=["query_id", "ids", "distances"])
+
+    lists = met.mapInArrow(answer, "query_id string, ids array<string>, distances array<double>")
+    return lists.select("query_id", F.posexplode(F.arrays_zip("ids", "distances")).alias("at", "a")).select(
+        "query_id", F.col("a.ids").alias("id"), F.col("a.distances").alias("distance"), (F.col("at") + 1).alias("rank"))
+
+
 def _scan(batches, query_ids: np.ndarray, vectors: np.ndarray, k: int):
     """Answers of all queries from the documents of a task; with a large ``k`` those of each batch, in slices of queries."""
     best = None  # the best k of all batches of the task so far
@@ -275,6 +354,8 @@ def nearest(
     if d_bytes <= broadcast_bytes:
         return _local_to_queries(q.where("id is not null"), d, k)
     n_q, q_bytes = measure(q)
+    if k > BLOCK_ROWS and d_bytes <= WIDE_BYTES:
+        return _local_to_blocks(q, d, n_q, k)
     if q_bytes <= broadcast_bytes:
         return unnumbered(_local_to_docs(numbered(q), d, k))
     rows = block_rows or block_rows_for(n_q, n_d, k, q.sparkSession.sparkContext.defaultParallelism)

@@ -248,3 +248,33 @@ def test_scan_holds_few_pairs(monkeypatch):
     assert max(b.num_rows for b in out) <= 100
     rows = [(r["query_id"], r["id"], r["distance"]) for b in out for r in b.to_pylist()]
     assert sorted(rows) == sorted((f"q{i}", f"d{j}", float(((q - d) ** 2).sum())) for i, q in enumerate(queries) for j, d in enumerate(docs))
+
+
+def test_large_k_does_not_shuffle_its_answers(spark, monkeypatch):
+    """The vectors go to the queries: what is shuffled is the collection for each block, not a row for each pair."""
+    rng = np.random.default_rng(8)
+    docs = np.round(rng.normal(size=(90, 4)), 2).astype(np.float32)
+    docs[40:60] = docs[3]  # ties
+    asked = np.vstack([docs[:30], rng.normal(size=(11, 4))]).astype(np.float32)
+    d = spark.createDataFrame([(f"d{i % 80:02d}", v.tolist()) for i, v in enumerate(docs)], "id STRING, embedding ARRAY<FLOAT>")  # ids that repeat
+    q = spark.createDataFrame([(f"q{i % 35}", v.tolist()) for i, v in enumerate(asked)] + [(None, [0.0] * 4), ("n", None)], "query_id STRING, embedding ARRAY<FLOAT>")
+    whole = rows_of(nn.nearest(q, d, 5000, broadcast_bytes=1 << 20))
+    assert len(whole) == 41 * 90
+    for blocks in (8192, 7):
+        monkeypatch.setattr(nn, "WIDE_QUERIES", blocks)
+        got = nn.nearest(q, d, 5000, broadcast_bytes=0)
+        assert rows_of(got) == whole
+        assert "Window" not in got._jdf.queryExecution().toString()
+    # fewer than all, both ways to sort, beside the merge of blocks
+    monkeypatch.setattr(nn, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(nn, "_ROWS", 64)
+    for size in (1.0, 1e6):
+        big_d, big_q = (x.withColumn("embedding", F.transform("embedding", lambda v: (v * size).cast("float"))) for x in (d, q))
+        for k in (30, 70, 89):
+            assert rows_of(nn.nearest(big_q, big_d, k, broadcast_bytes=0)) == rows_of(nn.nearest(big_q, big_d, k))
+    few = nn.nearest(q, d.limit(0), 5000, broadcast_bytes=-1)
+    assert few.count() == 0
+
+
+def rows_of(df):
+    return sorted((r.query_id, r["rank"], r.id, r.distance) for r in df.collect())
