@@ -79,6 +79,43 @@ def test_index_groups(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in got} == {tuple(r) for r in nearest(queries, docs, 4).collect()}
 
 
+def test_index_search_sends_lists_not_rows(spark, tmp_path, monkeypatch):
+    """No row for each query and list it opens, nor for each chosen row: they travel as lists."""
+    rnd = np.random.default_rng(9)
+    points = clustered(rnd, 150, 5, 4)
+    docs = vectors(spark, [(f"d{i}", v.tolist()) for i, v in enumerate(points)])
+    queries = vectors(spark, [(f"q{i}", v.tolist()) for i, v in enumerate(clustered(rnd, 9, 5, 4))], "query_id")
+    index = inverted.build_index(docs, str(tmp_path / "ix"), n_lists=5)
+    exact, size = {tuple(r) for r in nearest(queries, docs, 3).collect()}, dict(zip(index.lists.tolist(), index.sizes.tolist(), strict=True))
+    opened = Counter()
+    for r in index.probes(inverted._asked(queries), 2).collect():
+        opened[r.q] += size[r.list]
+    monkeypatch.setattr(inverted.Index, "probes", None)
+    assert {r.q: r.searched for r in index.rows_searched(queries, 2).collect()} == opened
+    for blocks, groups, room in ((1 << 17, 1 << 20, 1 << 10), (20, 40, 7)):  # vectors and codes in one part, or in several
+        for name, value in (("BLOCK_VECTORS", blocks), ("GROUP_ROWS", groups), ("_ROOM", room), ("SLICE_QUERIES", 4), ("MOST_CHOSEN", 40)):
+            monkeypatch.setattr(inverted, name, value)
+        assert {tuple(r) for r in index.search(queries, 3, n_probe=5, rerank=50).collect()} == exact
+
+
+def test_best_places_are_held_in_bounds():
+    """Beside a sort of all distances: ties to the earlier place, values that single precision cannot hold come last."""
+    rnd = np.random.default_rng(10)
+    x, y = rnd.integers(0, 4, (30, 3)).astype(float), rnd.integers(0, 4, (5000, 3)).astype(float)
+    y[17], y[18] = 1e30, np.nan
+    best = inverted._Best(len(x), 12, len(y))
+    for lo in range(0, len(y), inverted._ROOM):
+        for part in (np.arange(20), np.arange(20, 30)):
+            best.add(part, lo, inverted._apart(x[part], y[lo:lo + inverted._ROOM]))
+    assert np.isfinite(inverted._apart(x, y)).all()
+    n, place, value = best.found()
+    assert best.keys.shape[1] < len(y) and n.tolist() == [12] * 30
+    d = ((x[:, None, :] - np.nan_to_num(y, nan=1e30)[None]) ** 2).sum(axis=2)
+    for i, (p, v) in enumerate(zip(place.reshape(30, 12), value.reshape(30, 12), strict=True)):
+        want = np.lexsort((np.arange(len(y)), d[i]))[:12]
+        assert sorted(p.tolist()) == sorted(want.tolist()) and sorted(v.tolist()) == sorted(d[i][want].tolist())
+
+
 def test_index_odd(spark, tmp_path):
     with pytest.raises(ValueError, match="nothing"):
         inverted.build_index(vectors(spark, []), str(tmp_path / "a"))
